@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .fingerprints import fingerprint_documents
+from .langid import identify_languages, learn_dictionaries
 from .mixing import SEED, mix_sources
 from .packing import pack_documents
+from .quality import THRESHOLD, score_quality, train_quality
 from .shared import documents
 from .sharding import shard_rows
 
@@ -17,6 +21,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def crc_fold(modulus: int) -> Column:
+    """The checksum of doc_id as text, modulo; null for a null doc_id."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
+def op3_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.coalesce(crc_fold(5) == 0, F.lit(False))
+    model = train_quality(docs, labels.where(~held_out))
+    scored = score_quality(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(crc_fold(3) == 1, F.lit(False))
+    found = identify_languages(docs, learn_dictionaries(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
@@ -27,8 +55,11 @@ def op5_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_order_minhash": op2_order_minhash,
+    "op3_quality_nbsvm": op3_quality_nbsvm,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_shard_interleave": op5_shard_interleave,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
