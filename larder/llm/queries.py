@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fingerprints import fingerprint_documents
+from .htmltext import extract_pages
 from .langid import identify_languages, learn_dictionaries
 from .mixing import SEED, mix_sources
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import THRESHOLD, score_quality, train_quality
 from .shared import documents
@@ -53,12 +55,22 @@ def op5_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(documents(spark, sf_dir)).drop("source")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_order_minhash": op2_order_minhash,
     "op3_quality_nbsvm": op3_quality_nbsvm,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_shard_interleave": op5_shard_interleave,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
 }
 
