@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .fingerprints import fingerprint_documents
 from .htmltext import extract_pages
 from .langid import identify_languages, learn_dictionaries
 from .mixing import SEED, mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .pii import find_personal_data
 from .quality import THRESHOLD, score_quality, train_quality
 from .shared import documents
 from .sharding import shard_rows
@@ -55,6 +57,14 @@ def op5_shard_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(documents(spark, sf_dir)).drop("source")
 
 
+def op6_ivfpq_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_nbsvm": op3_quality_nbsvm,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_shard_interleave": op5_shard_interleave,
+    "op6_ivfpq_search": op6_ivfpq_search,
+    "op8_pii_spans": op8_pii_spans,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
