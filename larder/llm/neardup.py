@@ -72,7 +72,8 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     spokes is split and its text repeated once a part; a task holds one hub's set at a time.
     """
     many = edges.groupBy("b").agg(F.count("*").alias("n"))
-    dealt = edges.join(many, "b").select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SPOKES})").alias("part"))
+    # written, so that nothing but the join, which Spark can split, gets a hot hub's edges at once
+    dealt = written(edges.join(many, "b").select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SPOKES})").alias("part")), "dealt")
     spokes = dealt.join(texts.withColumnRenamed("node", "a"), "a").select("b", "part", F.col("a").alias("node"), "text")
     hubs = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("node", "b"), "b").select("b", "part", F.col("b").alias("node"), "text")
     together = hubs.unionByName(spokes).withColumn("role", (F.col("node") != F.col("b")).cast("int"))
@@ -124,7 +125,8 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
     star = written(members.where("node != hub").groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "stars")
     wanted = star.select("node").union(star.select(F.explode("hubs").alias("node"))).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
-    texts = written(texts.join(wanted, "node", "left_semi"), "candidate-texts")
+    # both sides grow with the input, so the join is by shuffle at every size
+    texts = written(texts.join(wanted.hint("merge"), "node", "left_semi"), "candidate-texts")
 
     tried = star.select(F.col("node").alias("a"), F.col("hubs")[0].alias("b"))
     links = written(confirmed(tried, texts), "links")
