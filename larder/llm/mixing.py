@@ -81,10 +81,11 @@ def expand_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
     full = F.expr("taken div size")
     rest = F.col("taken") - full * F.col("size")
     copies = F.expr("sequence(1L, taken div size + if(taken % size > 0, 1L, 0L))")
-    head = F.concat(F.lit(r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__rest").cast("string"), F.lit("}"))
     rows = mixed.where((F.col("size") > 0) & (F.col("taken") > 0)).withColumn("__rest", rest)
     rows = rows.withColumn("__copy", F.explode(copies))
-    cut = F.when(F.col("__copy") > F.expr("taken div size"), F.rtrim(F.regexp_extract(F.col("text"), head, F.lit(0)))).otherwise(F.col("text"))
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), "")
+    cut = F.when(F.col("__copy") > F.expr("taken div size"), head).otherwise(F.col("text"))
     rows = rows.withColumn("text", cut)
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
