@@ -50,7 +50,7 @@ intake AS (SELECT user_id, nutrient, target, avg(ma) AS avg FROM long WHERE day_
 _BINS = f"""{_DAILY},
 signals AS ({" UNION ALL ".join(f"SELECT user_id, day_index, 'cat_{c}' AS signal, cat_{c} AS x FROM daily" for c in CATEGORIES)}),
 sized AS (SELECT *, count(*) OVER (PARTITION BY user_id, signal) AS n FROM signals),
-ks AS (SELECT *, unnest(generate_series(1, n // 2 - 1)) AS k FROM sized WHERE n >= 4),
+ks AS (SELECT *, unnest(generate_series(1, n // 2 - 1))::INT AS k FROM sized WHERE n >= 4),
 spectrum AS (
   SELECT user_id, signal, n, k, sqrt(pow(sum(x * cos(2 * pi() * (k * day_index % n) / n)), 2) + pow(sum(x * sin(2 * pi() * (k * day_index % n) / n)), 2)) AS magnitude
   FROM ks GROUP BY user_id, signal, n, k),
