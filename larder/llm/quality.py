@@ -147,7 +147,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
     known = known.agg((F.avg(F.col("quality").cast("double")) >= 0.5).alias("good"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    marked = texts.join(known, "doc_id").select("doc_id", "text", "good")
+    # labels grow with the documents, so this join is by shuffle at every size
+    marked = texts.join(known.hint("merge"), "doc_id").select("doc_id", "text", "good")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, size), np.int64)
