@@ -84,7 +84,9 @@ def plain_sql(text: str) -> str:
     """The SQL with every view in braces written out, for an engine that knows only the tables."""
 
     def expand(m: re.Match) -> str:
-        return m[1] if m[1] in TABLES else f"({plain_sql(VIEWS[m[1]])})"
+        if m[1] in TABLES:
+            return m[1]
+        return f"({plain_sql(VIEWS[m[1]])})" if m[1] in VIEWS else m[0]
 
     text = re.sub(r"(FROM|JOIN|,)(\s+)\{(\w+)\}(?!\s+(?:AS\s+)?(?!ON\b|JOIN\b|CROSS\b|WHERE\b|GROUP\b|UNION\b|USING\b|ORDER\b|LEFT\b|LIMIT\b)[a-z]\w*)", lambda m: f"{m[1]}{m[2]}{{{m[3]}}}" + ("" if m[3] in TABLES else f" {m[3]}"), text)
     return re.sub(r"\{(\w+)\}", expand, text)
