@@ -55,7 +55,7 @@ def unmerged(text: Column) -> Column:
     padded = F.concat(text, F.lit(" "))
     # two passes, as a match takes the space that a following code would begin with
     marked = F.regexp_replace(F.regexp_replace(padded, code, "\u0001$2"), r"( )(\d{9,13}\s)", "\u0001$2")
-    parts = F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda p: F.trim(p)), lambda p: p != "")
     many = F.size(F.split(marked, "\u0001")) > 2
     return F.when(text.rlike(stamp), dated).when(many, parts).otherwise(F.array(F.trim(text)))
 

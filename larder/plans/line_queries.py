@@ -44,12 +44,12 @@ def ln1(spark, sf):
     return ln.explode_lines(view(spark, sf, "documents"), "doc_id").withColumn("line_pos", F.round("line_pos", 6))
 
 
-_MERGED = """SELECT receipt_id, line_no, CASE line_no % 3 WHEN 0 THEN concat('0', 1 + receipt_id % 9, '/12/2026 10:15 AM ', text, ' ..........') WHEN 1 THEN concat(upper(text), ' ', 210070000 + line_no, ' ', text, ' ', 1267008000 + line_no, ' X ', text) ELSE concat(450000000 + line_no, ' ', text) END AS text FROM {receipt_lines}"""
+_MERGED = """SELECT receipt_id, line_no, CASE line_no % 3 WHEN 0 THEN concat('0', 1 + receipt_id % 9, '/12/2026 10:15 AM ', text, ' ..........') WHEN 1 THEN concat(upper(text), ' ', 210070000 + line_no, ' ', text, ' ', 1267008000 + line_no, ' X ', text) ELSE concat(450000000 + line_no, ' ', text) END AS text FROM {receipt_lines} WHERE line_no <> 1"""
 
 
 @query(
     "ln2_unmerge_lines",
-    f"""WITH m AS ({_MERGED}), l AS (SELECT receipt_id, line_no, text FROM {{receipt_lines}})
+    f"""WITH m AS ({_MERGED}), l AS (SELECT receipt_id, line_no, text FROM {{receipt_lines}} WHERE line_no <> 1)
 SELECT receipt_id, line_no, 0 AS part, CASE line_no % 3 WHEN 0 THEN concat('0', 1 + receipt_id % 9, '/12/2026 10:15 AM') WHEN 1 THEN upper(text) ELSE concat(450000000 + line_no, ' ', text) END AS text FROM l
 UNION ALL SELECT receipt_id, line_no, 1, CASE line_no % 3 WHEN 0 THEN concat(text, ' ..........') ELSE concat(210070000 + line_no, ' ', text) END FROM l WHERE line_no % 3 < 2
 UNION ALL SELECT receipt_id, line_no, 2, concat(1267008000 + line_no, ' X ', text) FROM l WHERE line_no % 3 = 1""",

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = "region nation customer supplier part orders lineitem events documents labels pages conversations".split()
 
 VIEWS = {
+    "numbered": """
+SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS n
+FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "daily_items": """
 SELECT user_id, CAST(ts AS DATE) AS date, event_type AS category, CAST(round(value * 100) AS BIGINT) AS cents,
        CAST(round(value * 100) AS BIGINT) * CAST(0.25 AS DOUBLE) AS calories, CAST(round(value * 100) AS BIGINT) * CAST(0.0078125 AS DOUBLE) AS protein_g,
@@ -46,29 +49,29 @@ SELECT p_partkey AS fdc_id, CASE k WHEN 1 THEN 1008 WHEN 2 THEN 1004 WHEN 3 THEN
 FROM {part} CROSS JOIN (SELECT CAST(l_linenumber AS INT) AS k FROM {lineitem} GROUP BY l_linenumber UNION SELECT 8 UNION SELECT 9 UNION SELECT 10) ks
 WHERE p_partkey % 17 <> 0""",
     "food_category": "SELECT p_type AS id, concat('category ', lower(p_type)) AS description FROM {part} WHERE p_type <> 'PROMO' GROUP BY p_type",
-    "food_portion": "SELECT l_partkey AS fdc_id, CASE WHEN l_linenumber = 2 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS gram_weight, l_orderkey * 10 + l_linenumber AS row_ord FROM {lineitem} WHERE l_partkey % 4 <> 0",
+    "food_portion": "SELECT l_partkey AS fdc_id, CASE WHEN n = 2 THEN 'x' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS gram_weight, l_orderkey * 1000 + n AS row_ord FROM {numbered} WHERE l_partkey % 4 <> 0",
     "receipts": """
 SELECT o_orderkey AS receipt_no, o_custkey AS user_id, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 10 = 0 THEN ' ' ELSE n_name END AS store,
        CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) / CAST(100 AS DOUBLE) END AS total_price
 FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey""",
     "receipt_items": """
-SELECT l_orderkey AS receipt_no, CAST(l_linenumber AS INT) AS pos, CASE WHEN l_linenumber % 4 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS qty,
-       CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(100 AS DOUBLE) END AS line_price, p_type AS category,
+SELECT l_orderkey AS receipt_no, CAST(n AS INT) AS pos, CASE WHEN n % 4 = 0 THEN upper(p_name) ELSE p_name END AS name, CASE WHEN n % 5 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS qty,
+       CASE WHEN n % 3 = 0 THEN NULL ELSE CAST(round(l_extendedprice * 100) AS BIGINT) / CAST(100 AS DOUBLE) END AS line_price, p_type AS category,
        CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE l_quantity * CAST(4 AS DOUBLE) END AS calories, CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE l_quantity * CAST(0.5 AS DOUBLE) END AS protein_g,
        CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE l_quantity * CAST(0.25 AS DOUBLE) END AS carbs_g, CASE WHEN p_partkey % 6 = 1 THEN NULL ELSE l_quantity * CAST(0.125 AS DOUBLE) END AS fat_g,
        CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE l_quantity * CAST(0.0625 AS DOUBLE) END AS fiber_g
-FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
+FROM {numbered}""",
     "searches": """
 SELECT p_partkey AS search_id, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('organic ', p_name) WHEN 2 THEN substr(p_name, 1, 6) WHEN 3 THEN concat('my fine ', p_name) WHEN 4 THEN concat(p_name, ' extra') ELSE p_name END AS name,
        p_brand AS store FROM {part}""",
     "receipt_lines": """
 SELECT receipt_id, line_no, text FROM (
-  SELECT l_orderkey AS receipt_id, CAST(l_linenumber * 10 AS INT) AS line_no,
-         concat(upper(p_name), CASE WHEN l_linenumber % 5 = 4 THEN concat(' ', CAST(p_size AS STRING), ' oz') ELSE '' END, CASE WHEN l_linenumber % 6 = 5 THEN '' ELSE concat(' ', CAST(CAST(floor(c / 100) AS BIGINT) AS STRING), '.', lpad(CAST(c % 100 AS STRING), 2, '0')) END, CASE WHEN l_linenumber % 7 = 3 THEN ' -' ELSE '' END) AS text
-  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) i
-  UNION ALL SELECT l_orderkey, CAST(l_linenumber * 10 + 1 AS INT), concat(CAST(CAST(l_quantity AS INT) AS STRING), CASE WHEN l_linenumber % 2 = 0 THEN ' EA @ $1.99' ELSE ' DZ @ $12.49' END) FROM {lineitem} WHERE l_linenumber % 3 = 1
-  UNION ALL SELECT l_orderkey, CAST(l_linenumber * 10 + 2 AS INT), concat(CAST(CAST(l_quantity AS INT) AS STRING), '.25 lb @ $3.99/lb') FROM {lineitem} WHERE l_linenumber % 4 = 2
-  UNION ALL SELECT l_orderkey, CAST(l_linenumber * 10 + 3 AS INT), 'GROCERY' FROM {lineitem} WHERE l_linenumber % 5 = 1
+  SELECT l_orderkey AS receipt_id, CAST(n * 10 AS INT) AS line_no,
+         concat(upper(p_name), CASE WHEN n % 5 = 4 THEN concat(' ', CAST(p_size AS STRING), ' oz') ELSE '' END, CASE WHEN n % 6 = 5 THEN '' ELSE concat(' ', CAST(CAST(floor(c / 100) AS BIGINT) AS STRING), '.', lpad(CAST(c % 100 AS STRING), 2, '0')) END, CASE WHEN n % 7 = 3 THEN ' -' ELSE '' END) AS text
+  FROM (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS c FROM {numbered}) i
+  UNION ALL SELECT l_orderkey, CAST(n * 10 + 1 AS INT), concat(CAST(CAST(l_quantity AS INT) AS STRING), CASE WHEN n % 2 = 0 THEN ' EA @ $1.99' ELSE ' DZ @ $12.49' END) FROM {numbered} WHERE n % 3 = 1
+  UNION ALL SELECT l_orderkey, CAST(n * 10 + 2 AS INT), concat(CAST(CAST(l_quantity AS INT) AS STRING), '.25 lb @ $3.99/lb') FROM {numbered} WHERE n % 4 = 2
+  UNION ALL SELECT l_orderkey, CAST(n * 10 + 3 AS INT), 'GROCERY' FROM {numbered} WHERE n % 5 = 1
   UNION ALL SELECT o_orderkey, 0, CASE o_orderkey % 4 WHEN 0 THEN 'WALMART SUPERCENTER' WHEN 1 THEN 'Trader Joe''s #512' WHEN 2 THEN 'corner shop' ELSE 'COSTCO WHOLESALE' END FROM {orders}
   UNION ALL SELECT o_orderkey, 1, CASE o_orderkey % 3 WHEN 0 THEN concat('DATE: ', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '/', CAST(year(o_orderdate) AS STRING)) WHEN 1 THEN concat(CAST(month(o_orderdate) AS STRING), '/', CAST(day(o_orderdate) AS STRING), '/', substr(CAST(year(o_orderdate) AS STRING), 3, 2), ' 10:15 AM') ELSE '123 Main St' END FROM {orders}
   UNION ALL SELECT o_orderkey, 2, CASE o_orderkey % 3 WHEN 0 THEN 'HOME' ELSE 'PRODUCE' END FROM {orders} WHERE o_orderkey % 2 = 0
