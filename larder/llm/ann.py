@@ -125,7 +125,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int =
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
     vec_ids or vectors of another length than the most frequent one. Repeated rows are one
     candidate; a vec_id with several vectors is a query once for each. With fewer than k
-    candidates all within reach are returned. Other columns are not read. No rows give no rows.
+    candidates all are returned. Other columns are not read. No rows give no rows.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -182,7 +182,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int =
                 else:
                     bound = near + np.linalg.norm(q, axis=1)[:, None] * radius
                     worst = np.array([-np.inf if w is None else w for w in piece.column(2).to_pylist()])
-                    cells = [o[FIRST_CELLS:reach][bound[i, o[FIRST_CELLS:reach]] >= worst[i]] for i, o in enumerate(order)]
+                    # a query that has found fewer than it asks for goes on into all cells
+                    rest = [o[FIRST_CELLS : reach if w > -np.inf else None] for o, w in zip(order, worst, strict=True)]
+                    cells = [r[bound[i, r] >= worst[i]] for i, r in enumerate(rest)]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([c.astype(np.int32) for c in cells], pa.list_(pa.int32()))], ["query", "vec", "cells"])
 
     def found(asked: DataFrame, first: bool) -> DataFrame:
