@@ -92,7 +92,7 @@ def receipt_keys(receipts: DataFrame, key: str, date: str, store: str, order: st
     Receipts without a date are missing_date_001 and so on. First come, first served, by ``order``."""
     slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(store)), " ", "_"), "'", ""), "&", "and")
     rows = receipts.withColumn("__slug", F.coalesce(slug, F.lit(""))).withColumn("__day", F.row_number().over(Window.partitionBy(key, date).orderBy(order)))
-    stem = F.when((F.col("__day") > 1) & (F.col("__slug") != ""), F.concat_ws("_", F.col(date).cast("string"), "__slug")).otherwise(F.col(date).cast("string"))
+    stem = F.when((F.col("__day") > 1) & (F.col("__slug") != ""), F.concat(F.col(date).cast("string"), F.lit("_"), F.col("__slug"))).otherwise(F.col(date).cast("string"))
     rows = rows.withColumn("__stem", stem).withColumn("__nth", F.row_number().over(Window.partitionBy(key, "__stem").orderBy(order)))
     dated = F.when(F.col("__nth") > 1, F.concat_ws("_", "__stem", F.col("__nth").cast("string"))).otherwise(F.col("__stem"))
     undated = F.concat(F.lit("missing_date_"), F.lpad(F.col("__nth").cast("string"), 3, "0"))
