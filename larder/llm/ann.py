@@ -142,7 +142,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int =
     entries = written(entries, "vectors")
 
     n = entries.count()
-    sample = entries.orderBy(F.xxhash64("rep"), "rep").limit(fit_vectors).select("vec").toArrow()
+    few = math.ceil(2 * fit_vectors / max(n, 1) * (1 << 20))  # twice the share that is wanted, so that the sort has a bound
+    sample = entries.where(F.expr(f"pmod(xxhash64(rep), {1 << 20})") < few).orderBy(F.xxhash64("rep"), "rep").limit(fit_vectors).select("vec").toArrow()
     index = fit_index(sample["vec"].combine_chunks().values.to_numpy().reshape(len(sample), -1), min(most_cells, round(4 * math.sqrt(n))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import shuffle_key
+from .shared import share_of, shuffle_key
 
 #: Bound of the training sample: rows of a language, and bytes of the longest text among them.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 16384
@@ -30,6 +30,9 @@ def learn_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_b
     out, as are texts over ``sample_bytes``. The sample's size doesn't depend on the table's.
     """
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
+    # twice the share of rows that is wanted, so that what meets in one task does not grow with the table
+    many = fit_counts(docs)
+    fit = fit.join(F.broadcast(many), "lang").where(share_of(shuffle_key(5, F.col("doc_id"))) * F.col("rows") < 2 * sample_rows)
     order = Window.partitionBy("lang").orderBy(shuffle_key(5, F.col("doc_id")), "text")
     fit = fit.select("doc_id", "lang", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)
     texts: dict[str, list[bytes]] = {}
@@ -38,6 +41,11 @@ def learn_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_b
     return {lang: content[:size] for lang, found in texts.items() if (content := b" ".join(found).strip())}
 
 
+def fit_counts(docs: DataFrame) -> DataFrame:
+    """A row per language, however many documents."""
+    return docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("rows"))
+
+
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shuffle_key
+from .shared import share_of, shuffle_key
 from .words import _SPACE, mix64, text_buffer
 
 #: log2 of the number of hashed features.
@@ -171,7 +171,9 @@ def train_quality(docs: DataFrame, labels: DataFrame, bits: int = BITS, fit_rows
     share = [(table[k, :size] + ALPHA) / (table[k, size] + 2 * ALPHA) for k in (0, 1)]
     ratio = np.log(share[1] / share[0])
 
-    picked = known.withColumn("key", shuffle_key(11, F.col("doc_id"))).orderBy("key").limit(fit_rows).select("doc_id", "good", "key")
+    # twice the share that is wanted first, so that what is sorted at once does not grow with the labels
+    few = 2 * fit_rows / max(1.0, float(table[:, size].sum()))
+    picked = known.withColumn("key", shuffle_key(11, F.col("doc_id"))).where(share_of(F.col("key")) < few).orderBy("key").limit(fit_rows).select("doc_id", "good", "key")
     sample = texts.join(F.broadcast(picked), "doc_id").select("text", "good", "key")  # fit_rows rows at most
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

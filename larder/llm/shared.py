@@ -51,6 +51,11 @@ def bucket16(hex_key: Column) -> Column:
     return F.conv(F.substring(hex_key, 1, 4), 16, 10).cast("int")
 
 
+def share_of(hex_key: Column) -> Column:
+    """A hex key as a number from 0 to 1."""
+    return F.conv(F.substring(hex_key, 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
 def null_safe(name: Column) -> Column:
     """A text that stands for a nullable name, so that null is a group of its own in joins."""
     return F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), name.cast("string")))
