@@ -80,11 +80,11 @@ def lk13(spark, sf):
     return out.select("search_id", "name", "resolved_name", "qty", "weight_source", "weight_grams", F.col("per100.energy_kcal").alias("kcal_per100"), F.col("actual.energy_kcal").alias("kcal"))
 
 
-@query("lk15_scale_nutrition", "SELECT code, round(g * (code % 3 + 1), 2) AS weight_grams, CASE WHEN energy_kcal IS NOT NULL THEN round(energy_kcal * (g * (code % 3 + 1)) / 100, 2) END AS kcal FROM (SELECT code, energy_kcal, CASE WHEN code % 4 <> 0 THEN (code % 50) * 28.3495::DOUBLE END AS g FROM {products})")
+@query("lk15_scale_nutrition", "SELECT code, round(g * (code % 3 + 1), 2) AS weight_grams, CASE WHEN energy_kcal IS NOT NULL THEN round(energy_kcal * (g * (code % 3 + 1)) / 100, 2) END AS kcal FROM (SELECT code, energy_kcal, CASE WHEN code % 4 <> 0 THEN (code % 50)::DOUBLE END AS g FROM {products})")
 def lk15(spark, sf):
     p = view(spark, sf, "products")
     per100 = F.struct(*[F.col(n) if n in p.columns else F.lit(None).cast("double").alias(n) for n in fixed.NUTRIENTS])
-    weight = F.when(F.col("code") % 4 != 0, F.struct((F.col("code") % 50).cast("double").alias("value"), F.lit("oz").alias("unit")))
+    weight = F.when(F.col("code") % 4 != 0, F.struct((F.col("code") % 50).cast("double").alias("value"), F.lit("g").alias("unit")))
     out = lk.scale_nutrition(p.select("code", (F.col("code") % 3 + 1).alias("qty"), per100.alias("per100"), weight.alias("weight")))
     return out.select("code", "weight_grams", F.col("actual.energy_kcal").alias("kcal"))
 
