@@ -153,7 +153,7 @@ def rule_items(kinds: DataFrame) -> DataFrame:
     price = F.when(F.col("line_kind") == "price", F.col("text").try_cast("double")).otherwise(price)
     good = (F.char_length("name") > 1) & ~lines.is_noise(F.col("name"))
     kind = F.when(F.col("line_kind") == "price", "P").when(F.col("line_kind") == "item", "I").when(F.col("line_kind") == "name", F.when(good, "N").otherwise("X")).otherwise("S")
-    rows = kinds.withColumns({"name": name, "price": price}).withColumn("kind", kind)
+    rows = kinds.where("line_kind in ('item', 'price', 'name')").withColumns({"name": name, "price": price}).withColumn("kind", kind)
     items = pair_name_price(rows).where((F.char_length("name") > 1) & ~lines.is_noise(F.col("name")))
     return attach_forward(kinds, items)
 
