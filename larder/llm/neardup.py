@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -19,8 +19,8 @@ WIDTH, BANDS, ROWS = 5, 32, 4
 PERCENT = 75
 #: Spokes of a hub that are checked by one task at once.
 SPOKES = 512
-#: Times that unlinked members of a bucket turn to another hub of it.
-TURNS = 3
+#: Most hubs that a bucket takes at once when its first one is not enough; a turn takes twice as many as the one before.
+HUBS = 512
 _BINS = BANDS * ROWS
 _SHIFT = np.uint64(64 - (_BINS.bit_length() - 1))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,17 +99,20 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return together.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
+def near_duplicates(docs: DataFrame, hubs_at_once: int = HUBS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     1. Rows of equal shingle sets become one node, the least doc_id of them (pre-aggregated,
        so a group of a third of all rows is one row per task).
     2. Each node goes into a bucket per band. Nodes of a bucket get an edge to its least
        node only, so a bucket of n nodes makes n - 1 candidate edges, not all pairs.
-    3. A node is checked against its least hub first; then all other star edges that still
-       join different components; then, ``turns`` times, buckets that still hold several
-       components turn to their least node outside the first hub's component.
-       Every check is on the full sets. Nothing is capped: an edge is left out only if its ends are linked.
+    3. A node is checked against its least hub first, then all other star edges that still
+       join different components.
+    4. Members of a bucket outside its first hub's component become hubs of it in turn, in order
+       of node, and meet the members outside their own component whose size allows a link, until
+       each has been one or has joined. So all pairs of a bucket are linked, checked or of too
+       different sizes; those within a component, a group of copies say, make no edges here.
+       Every check is on the full sets.
 
     Null or wordless texts have size 0 and link with nothing: component_id is the doc_id.
     A null doc_id links with nothing and is kept, with component_id null. Rows of one doc_id are one
@@ -121,7 +124,7 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
     sets = written(sets.select("h1", "h2", F.col("least.doc_id").alias("node"), F.col("least.n_shingles").alias("size"), F.col("least.bands").alias("bands")), "sets")
     buckets = sets.select("node", "size", F.explode("bands").alias("bucket"))
     hubs = buckets.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = written(buckets.join(hubs, "bucket").select("bucket", "node", "hub"), "buckets")
+    members = written(buckets.join(hubs, "bucket").select("bucket", "node", "size", "hub"), "buckets")
     star = written(members.where("node != hub").groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs")), "stars")
     wanted = star.select("node").union(star.select(F.explode("hubs").alias("node"))).distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
@@ -132,26 +135,25 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
     links = written(confirmed(tried, texts), "links")
     labels = components(links)
     more = star.select(F.col("node").alias("a"), F.explode(F.slice("hubs", 2, BANDS)).alias("b"))
-    for turn in range(turns + 1):
-        if turn:
-            of = _labelled(members, labels, "node")
-            top = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-            of = of.join(top, "hub", "left").withColumn("hub_comp", F.coalesce("hub_comp", "hub"))
-            apart = written(of.where(F.col("comp") != F.col("hub_comp")).groupBy("bucket").agg(F.min("node").alias("next")), "turns")
-            if apart.isEmpty():
-                break
-            members = written(members.join(apart, "bucket").select("bucket", "node", F.col("next").alias("hub")), "buckets")
-            more = members.where("node != hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
+    more = more.select("a", "b", F.col("b").alias("hub"))
+    members, width = members.withColumn("seen", F.col("hub")), 1
+    while True:
         ends = _labelled(more.withColumnRenamed("a", "node"), labels, "node").withColumnRenamed("node", "a").withColumnRenamed("comp", "a_comp")
         ends = _labelled(ends.withColumnRenamed("b", "node"), labels, "node").withColumnRenamed("node", "b")
-        open_ = written(ends.where(F.col("a_comp") != F.col("comp")).select("a", "b").join(tried, ["a", "b"], "left_anti"), "open")
-        if open_.isEmpty():
-            continue
-        found = written(confirmed(open_, texts), "links")
-        tried = tried.unionByName(open_)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+        open_ = ends.where(F.col("a_comp") != F.col("comp")).select("a", "b", "hub").join(tried, ["a", "b"], "left_anti")
+        open_ = written(open_, "open")
+        if not open_.isEmpty():
+            spokes = open_.select((F.col("a") + F.col("b") - F.col("hub")).alias("a"), F.col("hub").alias("b"))
+            found = written(confirmed(spokes, texts), "links")
+            tried = tried.unionByName(open_.select("a", "b"))
+            if not found.isEmpty():
+                links = links.unionByName(found)
+                labels = components(links)
+        members, nexts = _outside(members, labels, width)
+        if nexts.isEmpty():
+            break
+        more, width = _turn(members, nexts), min(2 * width, hubs_at_once)
+        members = members.join(nexts, "bucket").select("bucket", "node", "size", "hub", F.col("last").alias("seen"))
 
     named = sets.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("comp", "node").alias("comp"))
     slim = rows.select("doc_id", "n_shingles", "h1", "h2")
@@ -162,3 +164,22 @@ def near_duplicates(docs: DataFrame, turns: int = TURNS) -> DataFrame:
 
 def _labelled(df: DataFrame, labels: DataFrame, node: str) -> DataFrame:
     return df.join(labels.withColumnRenamed("node", node), node, "left").withColumn("comp", F.coalesce("comp", node))
+
+
+def _outside(members: DataFrame, labels: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """The members with their components, and for each bucket the first ``width`` nodes outside the first hub's component that were no hubs yet."""
+    top = labels.select(F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
+    of = _labelled(members, labels, "node").join(top, "hub", "left")
+    of = written(of.withColumn("hub_comp", F.coalesce("hub_comp", "hub")), "members")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+    outside = of.where((F.col("comp") != F.col("hub_comp")) & (F.col("node") > F.col("seen")))
+    outside = outside.withColumn("n", rank).where(F.col("n") <= width)
+    nexts = outside.groupBy("bucket").agg(F.collect_list(F.struct("node", "size", "comp")).alias("next"), F.max("node").alias("last"))
+    return of, written(nexts, "next-hubs")
+
+
+def _turn(members: DataFrame, nexts: DataFrame) -> DataFrame:
+    """Edges (a > b) of each next hub of a bucket to its members in other components and of a size that may link."""
+    may = (F.col("comp") != F.col("next.comp")) & (100 * F.least("size", "next.size") >= PERCENT * F.greatest("size", "next.size"))
+    pairs = members.join(nexts, "bucket").withColumn("next", F.explode("next")).where(may).select("node", F.col("next.node").alias("hub"))
+    return pairs.groupBy(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).agg(F.min("hub").alias("hub"))

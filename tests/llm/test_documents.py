@@ -109,15 +109,7 @@ def test_fingerprints_match_brute_force(spark, nasty, empty):
     assert len(equal) == 1
 
 
-def test_near_duplicates_match_brute_force(spark, nasty, empty):
-    assert neardup.near_duplicates(empty).count() == 0
-    rows = []
-    for i in range(40):
-        base = [f"w{(i // 4) * 1000 + j * j % 500}" for j in range(80)]
-        for k in range(i % 4):
-            base[5 + 17 * k] = f"new{i}{k}"
-        rows.append((i, " ".join(base)))
-    rows += [(100, "one two three"), (101, "ONE two\tthree"), (102, "one two four"), (103, None), (104, " ")]
+def _components_by_brute_force(rows):
     sets = {}
     for doc, text in rows:
         w = [x.lower() for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
@@ -128,6 +120,19 @@ def test_near_duplicates_match_brute_force(spark, nasty, empty):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
+    return sets, comp
+
+
+def test_near_duplicates_match_brute_force(spark, nasty, empty):
+    assert neardup.near_duplicates(empty).count() == 0
+    rows = []
+    for i in range(40):
+        base = [f"w{(i // 4) * 1000 + j * j % 500}" for j in range(80)]
+        for k in range(i % 4):
+            base[5 + 17 * k] = f"new{i}{k}"
+        rows.append((i, " ".join(base)))
+    rows += [(100, "one two three"), (101, "ONE two\tthree"), (102, "one two four"), (103, None), (104, " ")]
+    sets, comp = _components_by_brute_force(rows)
     got = {r.doc_id: r for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {d: r.component_id for d, r in got.items()} == comp
     assert all(r.n_shingles == len(sets[d]) and r.kept == (comp[d] == d) for d, r in got.items())
@@ -136,6 +141,20 @@ def test_near_duplicates_match_brute_force(spark, nasty, empty):
     assert {r.component_id for r in odd if r.doc_id in (4, 5, 6)} == {4}
 
 
+def test_pairs_behind_unlinked_hubs_are_found(spark):
+    # one passage in every document: similarities of 0.73 at most fill buckets with documents that link
+    # with their own partner only, mostly not the bucket's first hub
+    rows = []
+    for i in range(60):
+        text = [f"w{j}" for j in range(100)]
+        text[20], text[40], text[60] = (f"{c}{i // 2}" for c in "abc")
+        text[90] = f"d{i}" if i % 2 else text[90]
+        rows.append((i * 37 % 60, " ".join(text)))
+    _, comp = _components_by_brute_force(rows)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(set(comp.values())) == 30 and {r.doc_id: r.component_id for r in got.collect()} == comp
+
+
 def test_word_hashes_over_small_windows(monkeypatch):
     texts = pa.array(["a bb  ccc", None, "", "bb\tCCC a", "ünï bb " * 50, "x" * 300])
     whole = words.word_hashes(texts, lower=True)
