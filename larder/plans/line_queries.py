@@ -213,7 +213,7 @@ r AS (SELECT receipt_id, i, line_no, CASE WHEN kind = 'N' THEN n END AS pn, CASE
 SELECT receipt_id, line_no, name, price FROM r WHERE name IS NOT NULL""",
 )
 def ln18(spark, sf):
-    turns = spark.sql(_TURNS, conversations=view(spark, sf, "conversations"))
+    turns = spark.sql(_TURNS.replace("substr(text, 1, 12)", "text"), conversations=view(spark, sf, "conversations"))
     name, price = F.when(F.col("kind").isin("N", "I"), F.col("n")), F.when(F.col("kind").isin("P", "I"), F.col("p"))
     return ln.pair_name_price(turns.withColumns({"name": name, "price": price}))
 
