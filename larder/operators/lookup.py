@@ -102,9 +102,9 @@ def store_preference(names: DataFrame, products: DataFrame, name: str, store: st
     return pairs.where(F.col("brand").contains(F.lower(store))).groupBy(name, store).agg(F.min(id_).alias(id_))
 
 
-def fuzzy_candidates(names: DataFrame, products: DataFrame, name: str = "name", id_: str = "code", cap: int | None = 200) -> DataFrame:
+def fuzzy_candidates(names: DataFrame, products: DataFrame, name: str = "name", id_: str = "code", cap: int | None = None) -> DataFrame:
     """Names and products that hold the first three words of three letters or more that are not generic; where there are
-    none, those that hold the first word. At most ``cap`` of lowest id each; None for all."""
+    none, those that hold the first word. All of them; with ``cap`` (200 in the reference) at most so many of lowest id each."""
     cleaned = strip_codes(F.col(name))
     words = F.filter(_words(F.regexp_replace(cleaned, "[^a-zA-Z ]", " ")), lambda w: (F.char_length(w) >= 3) & ~F.lower(w).isin(fixed.GENERIC_WORDS))
     asked = names.select(name).distinct().withColumns({"query": cleaned, "words": F.transform(F.slice(words, 1, 3), lambda w: F.lower(w))}).where(F.size("words") > 0)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larder.operators import lookup
 from larder.plans.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,3 +36,17 @@ def test_marker_words_late_in_a_text(spark, tmp_path):
     spark.createDataFrame([(1, text, 0)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     assert QUERIES["dq6_drop_junk"](spark, str(tmp_path)).count() == 0
+
+
+def test_best_candidate_of_high_id_counts(spark):
+    rows = [(i, f"Kefir Cookies {chr(97 + i // 26)}{chr(97 + i % 26)} Crunchy", "") for i in range(250)] + [(999, "Kefir Fresh", "1 l")]
+    products = spark.createDataFrame(rows, "code long, product_name string, quantity string")
+    names = spark.createDataFrame([("Kefir",)], "name string")
+    pairs = lookup.fuzzy_candidates(names, products)
+    assert pairs.where("name = 'Kefir'").count() == 251 and lookup.fuzzy_candidates(names, products, cap=200).where("name = 'Kefir'").count() == 200
+    wanted = spark.createDataFrame([("Kefir Fesh",)], "name string")
+    best = lookup.fuzzy_best(lookup.fuzzy_candidates(wanted, products)).collect()
+    assert [(r.name, r.code) for r in best] == [("Kefir Fesh", 999)]
+    items = wanted.select("name", F.lit("").alias("resolved_name"), F.lit(1).alias("qty"), F.lit(None).cast("struct<value:double,unit:string>").alias("weight"), F.lit("").alias("weight_source"))
+    (r,) = lookup.resolve_items(items, products).collect()
+    assert (r.resolved_name, r.weight_source, r.weight_grams) == ("Kefir Fresh", "off_db_fuzzy", 1000.0)
