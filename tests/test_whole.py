@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import lookup
+from larder.plans import classify_queries
 from larder.plans.queries import ORACLE_SQL, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,3 +51,11 @@ def test_best_candidate_of_high_id_counts(spark):
     items = wanted.select("name", F.lit("").alias("resolved_name"), F.lit(1).alias("qty"), F.lit(None).cast("struct<value:double,unit:string>").alias("weight"), F.lit("").alias("weight_source"))
     (r,) = lookup.resolve_items(items, products).collect()
     assert (r.resolved_name, r.weight_source, r.weight_grams) == ("Kefir Fresh", "off_db_fuzzy", 1000.0)
+
+
+def test_labels_of_all_receipts_are_learned(spark, monkeypatch):
+    texts = ["MILK 3.99", "TOTAL 9.00", "2 EA @ $1.00"]
+    lines = spark.createDataFrame([(10 * r + 1, i, texts[i % 3]) for r in range(20) for i in range(9)], "receipt_id long, line_no int, text string")
+    monkeypatch.setattr(classify_queries, "view", lambda *_: lines)
+    got = classify_queries.ml9(spark, "").collect()
+    assert len(got) == 180 and {r.label for r in got} <= {r.predicted for r in got}
