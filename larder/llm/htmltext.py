@@ -34,6 +34,9 @@ UNLIKELY = re.compile(
     re.I,
 )
 UNLIKELY_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form note".split())
+#: Names of layout ("has-sidebar") tell of other elements; names of readers' words are never the article's own for their length.
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S+", re.I)
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reader-comments)(?:$|[\s_-])", re.I)
 LIKELY = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S
@@ -45,11 +48,11 @@ _SPACES = re.compile(r"\s+")
 class Node:
     """An element: children are elements, strings of text, or None for a break between blocks' words."""
 
-    __slots__ = ("attrs", "children", "dead", "inside_link", "parent", "score", "tag", "text_len", "link_len")
+    __slots__ = ("attrs", "children", "dead", "doubted", "inside_link", "parent", "score", "tag", "text_len", "link_len")
 
     def __init__(self, tag: str, parent: Node | None, dead: bool = False):
         self.tag, self.parent, self.children, self.dead, self.score = tag, parent, [], dead, None
-        self.attrs, self.text_len, self.link_len = {}, 0, 0
+        self.attrs, self.doubted, self.text_len, self.link_len = {}, False, 0, 0
         self.inside_link = tag == "a" or bool(parent and parent.inside_link)
 
 
@@ -67,9 +70,16 @@ def _dead(tag: str, attrs: dict[str, str]) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in UNLIKELY_ROLE:
         return True
-    if "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    return "display:none" in attrs.get("style", "").replace(" ", "").lower()
+
+
+def _names(attrs: dict[str, str]) -> str:
+    """Class and id, without what they tell of other elements."""
+    return LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else ""
+
+
+def _doubted(tag: str, attrs: dict[str, str]) -> bool:
+    names = _names(attrs)
     return tag not in ("html", "body", "article", "main") and bool(names.strip()) and bool(UNLIKELY.search(names))
 
 
@@ -119,7 +129,7 @@ def parse(page: str) -> Node:
             node.children.append(None)
             continue
         new = Node(tag, node, node.dead or _dead(tag, attrs))
-        new.attrs = attrs
+        new.attrs, new.doubted = attrs, not new.dead and _doubted(tag, attrs)
         node.children.append(new)
         if tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
             node = new
@@ -136,6 +146,7 @@ def _measure(root: Node) -> list[Node]:
         if node.dead:
             continue
         order.append(node)
+        node.text_len = node.link_len = 0
         stack.extend(c for c in node.children if isinstance(c, Node))
     for node in reversed(order):
         own = sum(len(c.strip()) for c in node.children if isinstance(c, str))
@@ -151,6 +162,47 @@ def link_density(node: Node) -> float:
     return node.link_len / node.text_len if node.text_len else 0.0
 
 
+def drop_doubted(root: Node) -> list[Node]:
+    """Marks elements dead whose name is not an article's, and returns them.
+
+    The largest come first. One lives if it holds more text outside links than all that lives so far, unless it is
+    named for readers' words, or a fourth as much where it also has an article's name or its largest article element
+    holds as much, or if it holds the main element; never one that is mostly links.
+    """
+    order = _measure(root)
+    doubted = [n for n in order if n.doubted]
+    if not doubted:
+        return []
+    plain = lambda n: n.text_len - n.link_len
+    owner: dict[Node, Node] = {}
+    outside: dict[Node, int] = {}
+    largest: dict[Node, float] = {}
+    for node in order:
+        owner[node] = node if node.doubted or node is root else owner[node.parent]
+        own = 0 if node.inside_link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        outside[owner[node]] = outside.get(owner[node], 0) + own
+        if node.tag in ("article", "main") and plain(node) and not UNLIKELY.search(_names(node.attrs)):
+            up = owner[node]
+            while up is not root:
+                largest[up] = max(largest.get(up, 0.0), float("inf") if node.tag == "main" else plain(node))
+                up = owner[up.parent]
+    living, dropped = outside[root], []
+    for node in sorted(doubted, key=lambda n: -plain(n)):
+        above = owner[node.parent]
+        if above.dead:
+            node.dead = True
+            continue
+        names = _names(node.attrs)
+        named = any(LIKELY.search(x) and not UNLIKELY.search(x) for x in names.split())
+        enough = plain(node) > living and not READERS.search(names) or named and plain(node) * 4 > living or largest.get(node, 0) * 4 > living
+        if plain(node) and link_density(node) < 0.5 and enough:
+            living += outside[node]
+        else:
+            node.dead = True
+            dropped.append(node)
+    return dropped
+
+
 def _own_text(node: Node) -> str:
     """Text of the node that no block inside it holds."""
     out, stack = [], [node]
@@ -240,7 +292,14 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    dropped = drop_doubted(root)
     best = best_container(root, _measure(root))
+    if best is None and dropped:  # once more without the names
+        for node in dropped:
+            node.dead = False
+        best = best_container(root, _measure(root))
+        if best is not None and link_density(best) >= 0.5:
+            best = None
     if best is None:
         return ""
     found = (_SPACES.sub(" ", html.unescape(b)).strip() for part in kept_parts(best) for b in blocks(part))
@@ -251,7 +310,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, from its whole html.
 
     Null and empty html give an empty text. Pages without an article give what the best
-    scored container holds, or an empty text where nothing but menus and the like is left.
+    scored container holds, or an empty text where nothing but menus and the like is left. Names
+    of class and id alone never drop what holds most of a page's text (``drop_doubted``).
     Repeated rows give equal rows; other columns are not read. A row is worked on alone, so
     there is no shuffle.
     """

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from larder.llm import htmltext
 from larder.operators import lookup
 from larder.plans import classify_queries
 from larder.plans.queries import ORACLE_SQL, QUERIES
@@ -59,3 +60,16 @@ def test_labels_of_all_receipts_are_learned(spark, monkeypatch):
     monkeypatch.setattr(classify_queries, "view", lambda *_: lines)
     got = classify_queries.ml9(spark, "").collect()
     assert len(got) == 180 and {r.label for r in got} <= {r.predicted for r in got}
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "content-sidebar-wrap", "page with-footer", "layout sidebar"])
+def test_wrappers_named_for_other_parts_keep_the_article(name):
+    body = "<p>It rained, and it rained, and then the sun came out over the long green valley, as it does.</p>" * 4
+    talk = "<div class='comments'>" + "<p>First, second, third, a comment that is long, indeed.</p>" * 30 + "</div>"
+    box = "<div class='sidebar'><p>Some box, of words.</p></div><div class='related'><article><p>A teaser.</p></article></div>"
+    for inside in (body, f"<article>{body}</article>", f"<div class='hentry'>{body}{talk}</div>{box}"):
+        for after in ("", "<p>Outside, too.</p>", talk, box):
+            text = htmltext.main_text(f"<body><div class='{name}'>{inside}</div>{after}</body>")
+            assert text.count("It rained,") == 4 and not any(x in text for x in ("comment", "box", "teaser"))
+    assert htmltext.main_text(f"<div class='sidebar'>{body}</div>").count("It rained,") == 4
+    assert htmltext.main_text("<div id=menu><ul><li><a>x</a></ul></div>") == ""
