@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, lines
 from ..operators import fragments as fr
 from ..operators import lines as ln
+from ..operators.classify import effective_label
 from .registry import query
 from .views import view
 
@@ -125,7 +126,7 @@ _P1 = _q(lines.ONE_PRICE)
 FROM {{receipt_lines}} WHERE line_no >= 900 GROUP BY receipt_id""",
 )
 def ln11(spark, sf):
-    return ln.receipt_totals(_rows(spark, sf).where("line_no >= 900").withColumn("label", F.lit("noise")))
+    return ln.receipt_totals(ln.labelled(_rows(spark, sf)).withColumn("label", effective_label(F.lit(""), F.col("label"))))
 
 
 _ATTACHED = f"""{_SECTIONS}, num AS (SELECT *, count(*) FILTER (label = 'item') OVER (PARTITION BY receipt_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS item_no FROM sec),
@@ -181,7 +182,7 @@ _QTY_OF = lambda t: f"coalesce(try_cast(nullif(regexp_extract({t}, {_QTY}, 1), '
 
 @query("ln16_parse_qty", f"SELECT receipt_id, line_no, {_QTY_OF('text')} AS qty FROM {{receipt_lines}} WHERE line_no % 10 = 1")
 def ln16(spark, sf):
-    return _rows(spark, sf).where("line_no % 10 = 1").select("receipt_id", "line_no", lines.parse_qty(F.col("text")).alias("qty"))
+    return _rows(spark, sf).select("receipt_id", "line_no", lines.parse_qty(F.col("text")).alias("qty"))
 
 
 _NW = _q(r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|lb|lbs|oz|ml|l)\b")

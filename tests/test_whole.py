@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from larder.llm import htmltext
 from larder.operators import lookup
-from larder.plans import classify_queries
+from larder.plans import classify_queries, line_queries
 from larder.plans.queries import ORACLE_SQL, QUERIES
+from larder.plans.views import view
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -73,3 +74,26 @@ def test_wrappers_named_for_other_parts_keep_the_article(name):
             assert text.count("It rained,") == 4 and not any(x in text for x in ("comment", "box", "teaser"))
     assert htmltext.main_text(f"<div class='sidebar'>{body}</div>").count("It rained,") == 4
     assert htmltext.main_text("<div id=menu><ul><li><a>x</a></ul></div>") == ""
+
+
+def test_all_lines_are_read(spark):
+    lines = view(spark, SMALL, "receipt_lines")
+    got = {(r.receipt_id, r.line_no): r.qty for r in QUERIES["ln16_parse_qty"](spark, SMALL).collect()}
+    assert len(got) == lines.count()
+    whole = ORACLE_SQL["ln16_parse_qty"].replace(" WHERE line_no % 10 = 1", "")
+    assert sorted(((*k, v) for k, v in got.items()), key=str) == _by_sql(whole)
+
+
+def test_totals_of_noise_lines_anywhere(spark, monkeypatch):
+    texts = ["SUBTOTAL $5.10", "TAX 0.40", "TOTAL $5.50"]
+    lines = spark.createDataFrame([(1, 10 * i, t) for i, t in enumerate(["MILK 5.10", *texts, "Thank you"])], "receipt_id long, line_no int, text string")
+    monkeypatch.setattr(line_queries, "view", lambda *_: lines)
+    got = {r.receipt_id: (r.subtotal, r.tax, r.total) for r in line_queries.ln11(spark, "").collect()}
+    assert got[1] == ("5.10", "0.40", "5.50")
+
+
+def test_gaps_are_null_values(spark):
+    for name, gap in (("food_nutrient", "fdc_id % 17 = 0"), ("food_portion", "fdc_id % 4 = 0")):
+        assert view(spark, SMALL, name).where(gap).count() > 0
+    for name in ("cat6_pivot_nutrients", "cat8_first_portion"):
+        assert QUERIES[name](spark, SMALL).count() == len(_by_sql(ORACLE_SQL[name]))
