@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, IDF, IndexToString, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,25 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hand": array_to_vector(F.array(*[c.cast("double") for c in feats.values()])), "normal": lines.normalize_line(F.col("text"))})
 
 
+class LogCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln(count) of the counts over 0."""
+
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None):
+        super().__init__()
+        if inputCol and outputCol:
+            self._set(inputCol=inputCol, outputCol=outputCol)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        logs = F.transform(vector_to_array(self.getInputCol()), lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))
+        return dataset.withColumn(self.getOutputCol(), array_to_vector(logs))
+
+
 def text_features() -> list:
     """Stages from ``normal`` to ``tfidf``: one- and two-word terms, logarithmic counts, idf, unit length."""
     return [
         RegexTokenizer(inputCol="normal", outputCol="words", pattern=r"\s+", toLowercase=False), NGram(n=NGRAMS, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"), CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=FEATURES, minDF=LEAST_DOCS),
-        IDF(inputCol="counts", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="tfidf"),
+        LogCounts(inputCol="counts", outputCol="logs"), IDF(inputCol="logs", outputCol="weighted"), Normalizer(inputCol="weighted", outputCol="tfidf"),
     ]
 
 

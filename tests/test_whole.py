@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import duckdb
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from larder.llm import htmltext
-from larder.operators import lookup
+from larder.operators import classify, lookup
 from larder.plans import classify_queries, line_queries
 from larder.plans.queries import ORACLE_SQL, QUERIES
 from larder.plans.views import view
@@ -97,3 +100,14 @@ def test_gaps_are_null_values(spark):
         assert view(spark, SMALL, name).where(gap).count() > 0
     for name in ("cat6_pivot_nutrients", "cat8_first_portion"):
         assert QUERIES[name](spark, SMALL).count() == len(_by_sql(ORACLE_SQL[name]))
+
+
+def test_repeated_terms_count_by_their_logarithm(spark, tmp_path):
+    df = spark.createDataFrame([("a a a b",), ("a b",), ("c",)], "normal string")
+    model = Pipeline(stages=classify.text_features()).fit(df)
+    model.save(str(tmp_path / "model"))
+    vocabulary = next(s.vocabulary for s in model.stages if hasattr(s, "vocabulary"))
+    a, b = vocabulary.index("a"), vocabulary.index("b")
+    for fitted in (model, PipelineModel.load(str(tmp_path / "model"))):
+        row = fitted.transform(df).where("normal = 'a a a b'").first().tfidf
+        assert row[a] / row[b] == pytest.approx(1 + math.log(3))
