@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .shared import share_of, shuffle_key
 
-#: Bound of the training sample: rows of a language, and bytes of the longest text among them.
+#: Bound of the training sample: rows of a language, and bytes of each, a longer text's first part.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 16384
 #: Bytes of each language's dictionary, of the small ones for a second look, and bytes compressed at once.
 DICTIONARY, SLICE, CHUNK = 160_000, 20_000, 4096
@@ -27,11 +27,13 @@ def learn_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_b
     """Raw content for each language: texts of at most ``sample_rows`` rows, those of least hashed doc_id.
 
     ``docs`` has doc_id, text and lang of the rows to learn from; null lang or text is left
-    out, as are texts over ``sample_bytes``. The sample's size doesn't depend on the table's.
+    out; of a text over ``sample_bytes`` the first ``sample_bytes`` // 4 characters, which are no
+    more bytes, teach. The sample's size doesn't depend on the table's.
     """
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # twice the share of rows that is wanted, so that what meets in one task does not grow with the table
-    many = fit_counts(docs)
+    many = fit_counts(fit)
+    fit = fit.withColumn("text", F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.left(F.col("text"), F.lit(sample_bytes // 4))))
     fit = fit.join(F.broadcast(many), "lang").where(share_of(shuffle_key(5, F.col("doc_id"))) * F.col("rows") < 2 * sample_rows)
     order = Window.partitionBy("lang").orderBy(shuffle_key(5, F.col("doc_id")), "text")
     fit = fit.select("doc_id", "lang", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)

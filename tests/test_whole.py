@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from larder.llm import htmltext
+from larder.llm import htmltext, langid
 from larder.operators import classify, lookup
 from larder.plans import classify_queries, line_queries
 from larder.plans.queries import ORACLE_SQL, QUERIES
@@ -111,3 +111,12 @@ def test_repeated_terms_count_by_their_logarithm(spark, tmp_path):
     for fitted in (model, PipelineModel.load(str(tmp_path / "model"))):
         row = fitted.transform(df).where("normal = 'a a a b'").first().tfidf
         assert row[a] / row[b] == pytest.approx(1 + math.log(3))
+
+
+def test_languages_of_long_texts_teach(spark):
+    rows = [(i, "the quick brown fox and the lazy dog " * 600, "en") for i in range(20)] + [(100 + i, "der schnelle braune Fuchs und der faule Hund", "de") for i in range(20)]
+    rows += [(200 + i, None, "fr") for i in range(9000)] + [(9999, "le renard brun et le chien paresseux", "fr")]
+    learned = langid.learn_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(learned) == {"de", "en", "fr"} and all(learned.values())
+    found = langid.identify_languages(spark.createDataFrame([(1, "the lazy dog and the brown fox")], "doc_id long, text string"), learned)
+    assert found.first().lang_pred == "en"
