@@ -66,7 +66,7 @@ def op8_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("text_key")
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

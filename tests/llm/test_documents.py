@@ -153,6 +153,15 @@ def test_pairs_behind_unlinked_hubs_are_found(spark):
     _, comp = _components_by_brute_force(rows)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert len(set(comp.values())) == 30 and {r.doc_id: r.component_id for r in got.collect()} == comp
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = neardup.near_duplicates(docs, rounds=neardup.ROUNDS[:1], exhaustive=True)
+    assert {r.doc_id: r.component_id for r in one.collect()} == comp
+
+
+def test_texts_of_a_repeated_id_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, PROSE[0]), (2, PROSE[0]), (2, PROSE[1]), (2, PROSE[1])], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (2, 2, True)]
 
 
 def test_word_hashes_over_small_windows(monkeypatch):
@@ -172,7 +181,8 @@ def test_near_copies_share_a_bucket():
         for _ in range(300):
             both = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
             extra = rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)  # similarity of 0.75 and more
-            a, b = neardup.bands(np.unique(both)), neardup.bands(np.unique(np.concatenate([both, extra])))
+            a, b = neardup.signature(np.unique(both)), neardup.signature(np.unique(np.concatenate([both, extra])))
+            a, b = neardup.bands(np.stack([a, b]).astype(np.uint64), 0, *neardup.ROUNDS[0])
             missed += not (a == b).any()
     assert missed == 0
 
