@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,12 +37,26 @@ UNLIKELY = re.compile(
 UNLIKELY_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form note".split())
 #: Names of layout ("has-sidebar") tell of other elements; names of readers' words are never the article's own for their length.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S+", re.I)
+SENTENCE = 40
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reader-comments)(?:$|[\s_-])", re.I)
+#: Words that go along with those of UNLIKELY in names and change nothing about them.
+HELPERS = frozenset(
+    "area bar block bottom box button buttons card center column container content desktop entry form full global group head holder home icon icons inner item "
+    "items large left link links list main mobile module outer page panel post right row section site slot small sticky story text title top unit wrap wrapper".split()
+)
 LIKELY = re.compile(r"article|body|content|entry|hentry|main|page|post|text|blog|story", re.I)
+# A quote opens a value only right after "="; anywhere else it is a character like others. A quote that
+# nothing closes opens nothing. A tag that the page's end cuts off ends there.
+_VALUE = r"\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S
+    rf"<!--.*?(?:-->|--!>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|[^\s/>=]++(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)|<[!?/][^>]*+>?", re.S
 )
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?+)?+")
+#: Ends of raw elements, searched in the page as it is; only ASCII letters match without regard to case.
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I | re.A) for tag in RAW}
+#: Raw elements whose content browsers take as text to the page's end where nothing closes them.
+TO_THE_END = frozenset("script style title textarea noscript iframe xmp".split())
 _SPACES = re.compile(r"\s+")
 
 
@@ -52,7 +67,7 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, dead: bool = False):
         self.tag, self.parent, self.children, self.dead, self.score = tag, parent, [], dead, None
-        self.attrs, self.doubted, self.text_len, self.link_len = {}, False, 0, 0
+        self.attrs, self.doubted, self.text_len, self.link_len = {}, 0, 0, 0
         self.inside_link = tag == "a" or bool(parent and parent.inside_link)
 
 
@@ -78,64 +93,101 @@ def _names(attrs: dict[str, str]) -> str:
     return LAYOUT.sub("", f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else ""
 
 
-def _doubted(tag: str, attrs: dict[str, str]) -> bool:
+def _doubted(tag: str, attrs: dict[str, str]) -> int:
+    """0 for names that speak of no other part of a page, 2 where a whole name does ("cookie-banner"), 1 where only a part of one ("share-price")."""
+    if tag in ("html", "body", "article", "main") or not attrs:
+        return 0
     names = _names(attrs)
-    return tag not in ("html", "body", "article", "main") and bool(names.strip()) and bool(UNLIKELY.search(names))
+    if not UNLIKELY.search(names):
+        return 0
+    for name in names.split():
+        if UNLIKELY.search(name) and all(UNLIKELY.search(x) or x.lower() in HELPERS for x in re.split(r"[_-]+", name) if x):
+            return 2
+    return 1
+
+
+class _Open:
+    """The elements that are open, and for each name at which depths, so that no tag searches through them one by one."""
+
+    def __init__(self) -> None:
+        self.root = Node("html", None)
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def close_from(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.tag].pop()
+            if node.tag in BLOCK:
+                self.blocks.pop()
+
+    def close_tag(self, tag: str) -> None:
+        if found := self.depths.get(tag):
+            self.close_from(found[-1])
+
+    def close_paragraph(self) -> None:
+        if self.blocks and self.stack[self.blocks[-1]].tag == "p":
+            self.close_from(self.blocks[-1])
+
+    def close_above(self, tags: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        """Closes the outermost of ``tags`` that is open inside the innermost of ``limits``."""
+        limit = max((found[-1] for x in limits if (found := self.depths.get(x))), default=0)
+        firsts = [found[k] for x in tags if (found := self.depths.get(x)) and (k := bisect_right(found, limit)) < len(found)]
+        if firsts:
+            self.close_from(min(firsts))
 
 
 def parse(page: str) -> Node:
     """A tree of the page. Elements left open are closed as the HTML standard does for p, li, dt, dd and table parts;
     an end tag without its start is left out; what scripts, styles and the like hold is not text."""
-    root = node = Node("html", None)
-    at, low = 0, None
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside a raw element that was skipped
+    open_ = _Open()
+    at = 0
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            node.children.append(page[at : m.start()])
+            open_.stack[-1].children.append(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
             continue
         tag = tag.lower()
         if m[1]:
-            found = node
-            while found is not root and found.tag != tag:
-                found = found.parent
-            if found is not root:
-                node = found.parent
+            open_.close_tag(tag)
             continue
         if tag in ("html", "body"):
             continue
         if tag in ENDS_P:
-            opened = node
-            while opened is not root and opened.tag not in BLOCK:
-                opened = opened.parent
-            if opened.tag == "p":
-                node = opened.parent
+            open_.close_paragraph()
         if tag in CLOSES:
-            opened, limit = node, LIMITS.get(tag, ())
-            while opened is not root and opened.tag not in limit:
-                if opened.tag in CLOSES[tag]:
-                    node = opened.parent
-                opened = opened.parent
+            open_.close_above(CLOSES[tag], LIMITS.get(tag, ()))
+        node = open_.stack[-1]
         attrs = attributes(m[3]) if m[3] and not m[3].isspace() else {}
         if tag in RAW:
-            if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea", "noscript", "iframe", "xmp"):
-                low = low if low is not None else page.lower()
-                end = low.find(f"</{tag}", at)
-                stop = page.find(">", end) if end >= 0 else -1
-                at = stop + 1 if stop >= 0 else len(page)
+            if (not m[3].endswith("/") or tag in TO_THE_END) and tag not in unclosed:
+                if end := _RAW_ENDS[tag].search(page, at):
+                    stop = page.find(">", end.end())
+                    at = stop + 1 if stop >= 0 else len(page)
+                elif tag in TO_THE_END:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
             node.children.append(None)
             continue
         new = Node(tag, node, node.dead or _dead(tag, attrs))
-        new.attrs, new.doubted = attrs, not new.dead and _doubted(tag, attrs)
+        new.attrs, new.doubted = attrs, 0 if new.dead else _doubted(tag, attrs)
         node.children.append(new)
-        if tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
-            node = new
+        if tag not in VOID:
+            open_.push(new)
     if at < len(page):
-        node.children.append(page[at:])
-    return root
+        open_.stack[-1].children.append(page[at:])
+    return open_.root
 
 
 def _measure(root: Node) -> list[Node]:
@@ -165,11 +217,17 @@ def link_density(node: Node) -> float:
 def drop_doubted(root: Node) -> list[Node]:
     """Marks elements dead whose name is not an article's, and returns them.
 
+    Where only a part of a name is such a word ("share-price"), the name says nothing of an element of running
+    text: SENTENCE characters or more, or a heading, mostly outside links and without blocks inside.
+
     The largest come first. One lives if it holds more text outside links than all that lives so far, unless it is
     named for readers' words, or a fourth as much where it also has an article's name or its largest article element
     holds as much, or if it holds the main element; never one that is mostly links.
     """
     order = _measure(root)
+    for node in order:
+        if node.doubted == 1 and link_density(node) < 0.5 and (node.text_len >= SENTENCE or node.tag in HEADINGS) and _is_leaf(node):
+            node.doubted = 0
     doubted = [n for n in order if n.doubted]
     if not doubted:
         return []
@@ -183,8 +241,9 @@ def drop_doubted(root: Node) -> list[Node]:
         outside[owner[node]] = outside.get(owner[node], 0) + own
         if node.tag in ("article", "main") and plain(node) and not UNLIKELY.search(_names(node.attrs)):
             up = owner[node]
-            while up is not root:
-                largest[up] = max(largest.get(up, 0.0), float("inf") if node.tag == "main" else plain(node))
+            value = float("inf") if node.tag == "main" else plain(node)
+            while up is not root and largest.get(up, 0.0) < value:  # parents come first, so most stop at once
+                largest[up] = value
                 up = owner[up.parent]
     living, dropped = outside[root], []
     for node in sorted(doubted, key=lambda n: -plain(n)):
@@ -203,6 +262,11 @@ def drop_doubted(root: Node) -> list[Node]:
     return dropped
 
 
+def _is_leaf(node: Node) -> bool:
+    """Whether no child of the element is a block."""
+    return not any(isinstance(c, Node) and c.tag in BLOCK for c in node.children)
+
+
 def _own_text(node: Node) -> str:
     """Text of the node that no block inside it holds."""
     out, stack = [], [node]

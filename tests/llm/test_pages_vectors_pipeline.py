@@ -30,6 +30,77 @@ def test_main_text():
     assert htmltext.main_text(None) == ""
 
 
+def test_marks_inside_tags():
+    # a quote opens a value only after "="
+    assert htmltext.main_text(f"<article><p data-x=it's>First, one, two.</p>{BODY}</article>").startswith("First, one, two. It rained")
+    assert htmltext.main_text(f"<article><p title=\"a>b\" id='c>d' =x>First, one.</p>{BODY}</article>").startswith("First, one. It rained")
+    assert htmltext.main_text(f"<article><p class=\"x>First, one.</p>{BODY}</article>").endswith("as it does.")
+    # marks inside a script do not reach beyond it
+    assert htmltext.main_text(f"<article><script>if (a<b && c='x) {{ '<!-- ' }}</script><p>After, it, came.</p>{BODY}</article>").startswith("After, it, came. It rained")
+    # letters whose lower case is longer do not shift what follows a script
+    assert htmltext.main_text(f"<article><p>İİİİİİ, one, two.</p><SCRIPT>var a = '<p>no</p>';</Script><p>After, it, came.</p>{BODY}</article>").startswith("İİİİİİ, one, two. After, it, came. It rained")
+
+
+def test_names_with_words_of_other_parts():
+    page = f"<div><article>{BODY}<p class='share-price'>The share price rose by two, to nine, in the early hours of the day.</p><p class='alert-system note'>Sirens, forty of them, make up the alert system of the old town.</p><div class='share-buttons'><a href='#'>Share</a> <a href='#'>Send</a></div><div class='cookie-banner'>We use cookies, as all do, and you may accept.</div></article></div>"
+    text = htmltext.main_text(page)
+    assert "rose by two" in text and "Sirens, forty" in text and "Share" not in text and "cookies" not in text
+
+
+def test_time_is_linear_in_malformed_pages():
+    import time
+
+    def took(page):
+        begun = time.perf_counter()
+        htmltext.main_text(page)
+        return time.perf_counter() - begun
+
+    pages = {
+        "inline": lambda n: "<i>x" * n + "</b>" * n, "quotes": lambda n: "<p a=\"" * n + "x", "cut": lambda n: "<a " * n, "lists": lambda n: "<div><li>x" * n,
+        "paragraphs": lambda n: "<b>" * n + "<p>x" * n, "svg": lambda n: "<svg>x" * n, "doubted": lambda n: "<div class=ad><article>x, y" * n, "comments": lambda n: "<!-- " * n, "less": lambda n: "<" * n,
+    }
+    for name, make in pages.items():
+        took(make(2000))
+        small, large = took(make(4000)), took(make(32_000))
+        assert large < 0.2 or large < 20 * small, (name, small, large)  # eight times the page
+    assert took("<p title=it's>word, and " * 200_000) < 20  # 5 MB
+
+
+def test_parser_agrees_with_a_plain_one_on_pages(spark):
+    # html.parser finds tags on its own; the given pages hold the article in one element
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.out = False, 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside = self.inside or tag == "article"
+            self.skip += tag in ("script", "style")
+            if tag in htmltext.BLOCK:
+                self.out.append("")
+            elif tag == "br":
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.inside = self.inside and tag != "article"
+            self.skip -= tag in ("script", "style")
+            if tag in htmltext.BLOCK:
+                self.out.append("")
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.out[-1] += data
+
+    rows = spark.read.parquet(f"{SMALL}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in queries.op9_html_text(spark, SMALL).collect()}
+    for r in rows:
+        plain = Plain()
+        plain.feed(r.html)
+        assert got[r.page_id] == " ".join(x for x in (" ".join(b.split()) for b in plain.out) if x)
+
+
 def test_pages_table(spark):
     rows = [(i, "u", p, 1) for i, p in enumerate(PAGES)] + [(None, None, None, 1), (0, "u", next(iter(PAGES)), 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
