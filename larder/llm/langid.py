@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .shared import share_of, shuffle_key
 
-#: Bound of the training sample: rows of a language, and bytes of each, a longer text's first part.
+#: Bound of the training sample: rows of a language, and bytes of each; a longer text teaches by one window of it.
 SAMPLE_ROWS, SAMPLE_BYTES = 300, 16384
 #: Bytes of each language's dictionary, of the small ones for a second look, and bytes compressed at once.
 DICTIONARY, SLICE, CHUNK = 160_000, 20_000, 4096
@@ -27,14 +27,16 @@ def learn_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_b
     """Raw content for each language: texts of at most ``sample_rows`` rows, those of least hashed doc_id.
 
     ``docs`` has doc_id, text and lang of the rows to learn from; null lang or text is left
-    out; of a text over ``sample_bytes`` the first ``sample_bytes`` // 4 characters, which are no
-    more bytes, teach. The sample's size doesn't depend on the table's.
+    out; of a text over ``sample_bytes`` a window of ``sample_bytes`` // 4 characters, which are no
+    more bytes, teaches, its place chosen by a hash. The sample's size doesn't depend on the table's.
     """
     fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # twice the share of rows that is wanted, so that what meets in one task does not grow with the table
     many = fit_counts(fit)
-    fit = fit.withColumn("text", F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.left(F.col("text"), F.lit(sample_bytes // 4))))
     fit = fit.join(F.broadcast(many), "lang").where(share_of(shuffle_key(5, F.col("doc_id"))) * F.col("rows") < 2 * sample_rows)
+    window = sample_bytes // 4
+    begin = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.char_length("text") - window, F.lit(0)) + 1).cast("int") + 1
+    fit = fit.withColumn("text", F.when(F.octet_length("text") <= sample_bytes, F.col("text")).otherwise(F.substring("text", begin, F.lit(window))))
     order = Window.partitionBy("lang").orderBy(shuffle_key(5, F.col("doc_id")), "text")
     fit = fit.select("doc_id", "lang", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows)
     texts: dict[str, list[bytes]] = {}
@@ -71,31 +73,35 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, object, list]
     ]
 
 
-def identify(text: str | None, by_language: list, margin: float = MARGIN) -> tuple[str, float, float, bool]:
+def identify(
+    text: str | None, by_language: list, margin: float = MARGIN, second_look: float = SECOND_LOOK, chunk: int = CHUNK
+) -> tuple[str, float, float, bool]:
     """(language, score, margin, rejected) of a whole text.
 
-    What is compressed are the text's distinct words in their order, as repeats and marks
-    tell nothing of a language; each CHUNK of them alone, so that a long text cannot serve
-    as its own dictionary. Sizes are summed over the chunks.
+    What is compressed is the whole text, lower-cased, its marks and digits as spaces, in pieces of
+    ``chunk`` bytes, each alone, so that a long text cannot serve as its own dictionary. Sizes are summed
+    over the pieces. Under a gap of ``second_look`` the slices of the dictionaries decide.
     """
     if not text or not by_language or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0, 0.0, True
-    content = b" %b " % b" ".join(dict.fromkeys(words(text)))
-    parts = [content[k : k + CHUNK] for k in range(0, len(content), CHUNK)]
+    content = b" %b " % b" ".join(words(text))
+    parts = [content[k : k + chunk] for k in range(0, len(content), chunk)]
 
     def ranking(use) -> tuple[list[tuple[int, str]], float]:
         ranked = sorted((sum(len(compress(part)) for compress in use(x) for part in parts), x[0]) for x in by_language)
         return ranked, (ranked[1][0] - ranked[0][0]) / ranked[1][0] if len(ranked) > 1 else 1.0
 
     ranked, gap = ranking(lambda x: [x[1]])
-    if gap < SECOND_LOOK:
+    if gap < second_look:
         ranked, gap = ranking(lambda x: x[2])
     best, lang = ranked[0]
     score = 1 / sum(math.exp(-min(50.0, 40.0 * (size - best) / best)) for size, _ in ranked)
     return lang, score, gap, gap < margin
 
 
-def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, keep: bool = False) -> DataFrame:
+def identify_languages(
+    docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, second_look: float = SECOND_LOOK, chunk: int = CHUNK, keep: bool = False
+) -> DataFrame:
     """The language of every whole text, by the smallest compressed size; ties go to the first by code point.
 
     Returns doc_id, lang_pred, score, margin (the relative gap to the second language) and
@@ -109,14 +115,14 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin:
             with_all = compressors(dictionaries)
             for batch in batches:
                 texts = batch.column("text")
-                yield batch.filter(pa.array([not identify(t.as_py(), with_all, margin=margin)[3] for t in texts], pa.bool_()))
+                yield batch.filter(pa.array([not identify(t.as_py(), with_all, margin, second_look, chunk)[3] for t in texts], pa.bool_()))
 
         return docs.mapInArrow(select, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_all = compressors(dictionaries)
         for batch in batches:
-            found = [identify(t.as_py(), with_all, margin=margin) for t in batch.column(1)]
+            found = [identify(t.as_py(), with_all, margin, second_look, chunk) for t in batch.column(1)]
             columns = list(zip(*found, strict=True)) if found else [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["doc_id", "lang_pred", "score", "margin", "rejected"])

@@ -285,6 +285,45 @@ def test_language_by_compression(spark, nasty, empty):
     assert kept.columns == [*docs.columns, "extra"] and kept.count() >= 85
 
 
+def test_language_of_long_texts_is_learned(spark):
+    made = {"en": "the rain of that and with ", "de": "der regen und nicht mit von "}
+    rows = [(i, made["de"] * 1000, "de", "s", 1) for i in range(20)] + [(100 + i, made["en"] * 3, "en", "s", 1) for i in range(20)]
+    dictionaries = langid.learn_dictionaries(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(dictionaries) == ["de", "en"] and b"regen und nicht" in dictionaries["de"]
+    # of a long text a window inside it teaches, not its beginning only
+    late = "x " * 4000 + "zuletzt " * 40_000
+    learned = langid.learn_dictionaries(spark.createDataFrame([(i, late, "de", "s", 1) for i in range(20)], SCHEMA))
+    assert b"zuletzt" in learned["de"]
+
+
+def test_language_equals_a_plain_reimplementation(spark):
+    # the sizes of the whole text's pieces under each dictionary, counted one by one
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = langid.learn_dictionaries(docs)
+    got = {r.doc_id: r for r in langid.identify_languages(docs, dictionaries).collect()}
+    for r in docs.collect():
+        if not any(map(str.isalpha, r.text or "")):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].rejected
+            continue
+        plain = " " + " ".join(re.sub(r"[^a-z\x80-\U0010ffff]", " ", r.text.lower()).split(" ")) + " "
+        data = b" " + b" ".join(plain.encode().split()) + b" "
+        sizes = {}
+        for lang, content in dictionaries.items():
+            how = z.ZstdCompressionParameters.from_level(
+                3, source_size=langid.CHUNK, dict_size=len(content), strategy=z.STRATEGY_LAZY, min_match=4, search_log=4,
+                write_checksum=False, write_content_size=False, write_dict_id=False,
+            )
+            raw = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(compression_params=how)
+            one = z.ZstdCompressor(dict_data=raw, compression_params=how)
+            sizes[lang] = sum(len(one.compress(data[k : k + langid.CHUNK])) for k in range(0, len(data), langid.CHUNK))
+        first, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        if (second[0] - first[0]) / second[0] >= langid.SECOND_LOOK:
+            assert got[r.doc_id].lang_pred == first[1] and got[r.doc_id].margin == (second[0] - first[0]) / second[0]
+
+
 def test_quality_on_held_out_rows(spark, nasty, empty):
     rng = np.random.default_rng(3)
     good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) + "."
