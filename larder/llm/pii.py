@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,22 +23,40 @@ BASE = {
 }
 #: Cheap tests that a text must pass to hold a match of a kind.
 NEEDS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9][\x20().0-9-]"}
-# Gazetteers of given names, titles, endings of hosts, calling codes, and first digits of cards.
-GIVEN_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Pierre Marie Jean Claire Hans Greta Klaus Ingrid Carlos Lucia Javier Carmen Miguel Isabel".split()
+# Gazetteers of given names (common ones in English, German, French and Spanish), titles, endings
+# of hosts, calling codes, and first digits of cards.
+GIVEN_NAMES = """
+Adam Agnes Alan Albert Alejandro Alexander Alice Amanda Amelia Ana Andrea Andreas Andrew Angela Anna Anne Anthony Antoine Antonio Barbara Beatriz Benjamin Bernard Birgit Brian
+Camille Carla Carlos Carmen Carol Catherine Charles Charlotte Christian Christine Claire Claudia Daniel David Deborah Diego Donald Dorothy Edward Elena Elizabeth Emily Emma Eric
+Fernando Francisco Frank Friedrich Gabriel George Greta Hans Heinrich Helen Helga Henri Ingrid Isabel Isabella Jack Jacques James Jane Javier Jean Jennifer Jessica Joan Johannes
+John Jorge Joseph Juan Judith Julia Julie Jürgen Karen Karin Karl Kevin Klaus Laura Laurent Linda Lisa Louis Lucas Lucia Luis Manuel Margaret Maria Marie Mark Marta Martin Mary
+Matthew Michael Miguel Monika Nancy Nathalie Nicolas Nicole Olivia Pablo Patricia Paul Pedro Peter Philippe Pierre Rachel Rafael Rebecca Richard Robert Rosa Ruth Sabine Samuel
+Sandra Sara Sarah Sofia Sophie Stefan Stephanie Steven Susan Sylvie Teresa Thomas Ursula Victor Walter William Wolfgang
+""".split()
 TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 HOSTS = "com org net edu gov io de fr es uk eu info".split()
 CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92".split()
 CARDS = "34 36 37 38 4 51 52 53 54 55 60 62 65 2".split()
-_NAMES = "|".join(TITLES + GIVEN_NAMES)
+
+
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, by first letter, so that a text is not tried against all of them at each place."""
+    by: dict[str, list[str]] = {}
+    for word in words:
+        by.setdefault(word[0], []).append(word[1:])
+    return "(?=\\p{Lu})(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items())) + ")"
+
+
+_NAMES = any_of(TITLES + GIVEN_NAMES)
 #: Kinds that the method adds: candidates are what a broad pattern finds, labelers and classifier decide.
 ADDED = {
-    "name": rf"(?<!\p{{L}})(?:{_NAMES})\.?\x20\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?+",
+    "name": rf"(?<!\p{{L}}){_NAMES}\.?\x20\p{{Lu}}\p{{Ll}}++(?:\x20\p{{Lu}}\p{{Ll}}++)?+",
     "national_id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "near_card": r"(?<![0-9])(?:[0-9]{4}[\x20-]?){3}[0-9]{4}(?![0-9])",
     "near_phone": r"\+[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
     "spelled_email": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++\x20?[(\[](?:at|AT)[)\]]\x20?[A-Za-z0-9-]++(?:(?:\x20?[(\[](?:dot|DOT)[)\]]\x20?|\.)[A-Za-z0-9-]++)++",
 }
-NEEDS |= {"name": rf"(?:{_NAMES})\.?\x20\p{{Lu}}", "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "near_card": NEEDS["card"], "near_phone": NEEDS["phone"], "spelled_email": r"[(\[](?:at|AT)[)\]]"}
+NEEDS |= {"name": rf"{_NAMES}\.?\x20\p{{Lu}}", "national_id": r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "near_card": NEEDS["card"], "near_phone": NEEDS["phone"], "spelled_email": r"[(\[](?:at|AT)[)\]]"}
 KINDS = [*BASE, *ADDED]
 # Words near a span that speak for its kind, and words that speak against any kind.
 CUES = {
@@ -50,6 +69,12 @@ AGAINST = "version|release|build|isbn|issn|order|invoice|section|chapter|figure|
 LABELERS = ("strict", "listed", "cue", "against", "apart")
 NEAR = 40
 ROUNDS = 30
+#: Items of a block of ``running``.
+BLOCK = 256
+SIZES, WORDS = 8, 32
+#: Features of a span besides its votes, and how many values each has; the weight of their log-odds, as neighbouring features tell alike.
+FEATURES = {"size": SIZES, "shape": 16, "left_word": WORDS, "right_word": WORDS}
+FEATURE_WEIGHT, SMOOTH = 0.5, 1.0
 
 
 def located(text: Column, pattern: str, needs: str) -> tuple[Column, Column]:
@@ -101,66 +126,104 @@ def _votes(kind: str, value: Column, left: Column, right: Column) -> list[Column
     }[kind.removeprefix("near_")]
     listed = {
         "email": value.rlike(rf"\.(?:{'|'.join(HOSTS)})$"), "ip": ~value.rlike(r"^(?:0|22[4-9]|23[0-9]|24[0-9]|25[0-5])\."), "card": digits.rlike(f"^(?:{'|'.join(CARDS)})"),
-        "phone": digits.rlike(f"^(?:{'|'.join(CALLING)})"), "name": value.rlike(rf"(?<!\p{{L}})(?:{'|'.join(GIVEN_NAMES)})(?!\p{{L}})"), "national_id": F.lit(False), "spelled_email": value.rlike(rf"(?:{'|'.join(HOSTS)})$"),
+        "phone": digits.rlike(f"^(?:{'|'.join(CALLING)})"), "name": value.rlike(rf"(?<!\p{{L}}){any_of(GIVEN_NAMES)}(?!\p{{L}})"),
+        "national_id": value.rlike("^(?:[0-6][0-9]{2}|7[0-6][0-9]|77[0-2])-"),  # areas that were ever dealt out
+        "spelled_email": value.rlike(rf"(?:{'|'.join(HOSTS)})$"),
     }[kind.removeprefix("near_")]
     near = F.lower(F.concat(F.right(left, F.lit(NEAR)), F.lit(" "), F.left(right, F.lit(NEAR // 2))))
     apart = left.rlike(r"(?:^|[\s(\[<\"':;,.=])$") & right.rlike(r"^(?:$|[\s)\]>\"':;,.!?])")
     return [_vote(strict, ~strict), _vote(listed), _vote(near.rlike(rf"(?<!\p{{L}})(?:{CUES[kind]})(?!\p{{L}})")), _vote(F.lit(False), near.rlike(rf"(?<!\p{{L}})(?:{AGAINST})(?!\p{{L}})")), _vote(apart, ~apart)]
 
 
+def _word_code(context: Column, pattern: str) -> Column:
+    """A hashed neighbouring word, 1 to WORDS - 1, or 0 without one."""
+    word = F.regexp_extract(F.lower(context), pattern, 1)
+    return F.when(word == "", F.lit(0)).otherwise(F.pmod(F.crc32(word), F.lit(WORDS - 1)).cast("int") + 1)
+
+
+def _features(value: Column, left: Column, right: Column) -> list[Column]:
+    """What the classifier sees of a span, a small number each: size, characters, the words before and after."""
+    size = F.least(F.lit(SIZES - 1), F.floor(F.log2(F.length(value))).cast("int"))
+    shape = sum((value.rlike(p).cast("int") * (1 << i) for i, p in enumerate(("[A-Z]", "[a-z]", "[0-9]{3}", r"[\x20().-]"))), F.lit(0))
+    return [size, shape.cast("int"), _word_code(left, r"(\p{L}+)[^\p{L}]*$"), _word_code(right, r"^[^\p{L}]*(\p{L}+)")]
+
+
 def _shown(valid: Column, ord_: int, kind: str) -> Column:
     def shown(x):
         votes = _votes(kind, x["value"], x["left"], x["right"])
         code = sum((v * 3**i for i, v in enumerate(votes[1:], 1)), votes[0])
-        size = F.least(F.lit(7), F.floor(F.log2(F.length(x["value"]))).cast("int"))
-        return F.struct(x["start"].alias("start"), F.lit(ord_).alias("ord"), x["end"].alias("end"), code.cast("int").alias("votes"), size.alias("size"))
+        seen = zip(FEATURES, _features(x["value"], x["left"], x["right"]), strict=True)
+        return F.struct(x["start"].alias("start"), F.lit(ord_).alias("ord"), x["end"].alias("end"), code.cast("int").alias("votes"), *[c.alias(n) for n, c in seen])
 
     return F.transform(valid, shown)
 
 
+def running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each item the number that ``step`` has made of those before it, starting from 0.
+
+    An array that grows in an aggregate is copied at each item; here it is BLOCK items at most, and
+    then one array a block, so that very many items cost little more than in proportion.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda k: F.slice(items, k * BLOCK + 1, F.lit(BLOCK)))
+    parts = F.when(F.size(items) > 0, parts)
+
+    def inside(part, at):
+        start = F.struct(at.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def add(acc, part):
+        found = inside(part, acc["at"])
+        return F.struct(found["at"].alias("at"), F.concat(acc["out"], F.array(found["out"])).alias("out"))
+
+    whole = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), add, lambda acc: F.flatten(acc["out"]))
+    return F.coalesce(whole, F.array().cast("array<int>"))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__spans``: array of (start, ord, end, votes, size) of all valid base matches and all candidates of added kinds.
+    """``row``, a struct of all columns of ``docs``, and ``found``: array of (start, ord, end, votes, features) of all valid
+    base matches and all candidates of added kinds. As a struct, no input column can clash with an inner one.
 
     Offsets are sums of the lengths of the texts between matches and of the matches, in code points.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    wide = docs.withColumns({f"__{part}_{kind}": col for kind in KINDS for part, col in zip(("gaps", "hits"), located(text, (BASE | ADDED)[kind], NEEDS[kind]), strict=True)})
+    wide = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    wide = wide.withColumns({f"{part}_{kind}": col for kind in KINDS for part, col in zip(("gaps", "hits"), located(text, (BASE | ADDED)[kind], NEEDS[kind]), strict=True)})
     spans = []
     for ord_, kind in enumerate(KINDS):
-        gaps, hits = F.col(f"__gaps_{kind}"), F.col(f"__hits_{kind}")
+        gaps, hits = F.col(f"gaps_{kind}"), F.col(f"hits_{kind}")
         pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("g"), hits.alias("h"), F.slice(gaps, F.lit(2), F.size(hits)).alias("r"))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>").alias("out"))
 
-        def add(acc, x):
-            begin = acc["at"] + F.length(x["g"])
-            end = begin + F.length(x["h"])
-            hit = F.struct(begin.alias("start"), end.alias("end"), x["h"].alias("value"), F.right(x["g"], F.lit(NEAR)).alias("left"), F.left(x["r"], F.lit(NEAR)).alias("right"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+        def hit(x, at):
+            begin = at + F.length(x["g"])
+            left, right = F.right(x["g"], F.lit(NEAR)), F.left(x["r"], F.lit(NEAR))
+            return F.struct(begin.alias("start"), (begin + F.length(x["h"])).alias("end"), x["h"].alias("value"), left.alias("left"), right.alias("right"))
 
-        found = F.when(F.size(hits) > 0, F.aggregate(pairs, start, add, lambda acc: acc["out"])).otherwise(start["out"])
+        found = F.zip_with(pairs, running(pairs, lambda at, x: at + F.length(x["g"]) + F.length(x["h"])), hit)
         spans.append(_shown(F.filter(found, lambda x: _valid(kind, x["value"])), ord_, kind))  # noqa: B023
-    wide = wide.withColumn("__spans", F.array_sort(F.concat(*spans)))
-    return wide.select(*[c for c in docs.columns if c != "__spans"], "__spans")
+    return wide.select("row", F.array_sort(F.concat(*spans)).alias("found"))
 
 
 @dataclass
 class SpanModel:
-    """Log-odds of a span being personal data: a weight per kind, per vote of each labeler and per size."""
+    """Log-odds of a span being personal data: a weight per kind, per vote of each labeler, and per kind and value of each feature."""
 
     kind: list[float]
     votes: list[list[float]]
-    size: list[float]
+    features: dict[str, list[float]]
 
     def odds(self, span: Column) -> Column:
         pick = lambda w, at: F.element_at(F.array(*[F.lit(float(x)) for x in w]), (at + 1).cast("int"))
-        total = pick(self.kind, span["ord"]) + pick(self.size, span["size"])
+        total = pick(self.kind, span["ord"])
         for i, w in enumerate(self.votes):
             total = total + pick(w, F.floor(span["votes"] / F.lit(3**i)).cast("int") % 3)
+        for name, w in self.features.items():
+            total = total + pick(w, span["ord"] * FEATURES[name] + span[name])
         return total
 
 
-def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS) -> dict[tuple[int, int], float]:
-    """Posterior of each (kind, vote pattern) given how often it occurs, by expectation-maximisation.
+def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS) -> tuple[dict[tuple[int, int], float], dict[int, float], list[dict[int, list[float]]]]:
+    """Posterior of each (kind, vote pattern) given how often it occurs, the share of personal data in each kind, and for
+    each labeler how often it votes what (1 for personal data, 0 for other spans), by expectation-maximisation.
 
     Two classes; each labeler's votes are independent given the class, with the same
     reliabilities for all kinds and a prior per kind. Starts from labelers that are right four times in five.
@@ -178,6 +241,7 @@ def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS)
         for k in prior:
             n = sum(c for kk, _, c in patterns if kk == k)
             prior[k] = (sum(c * post[kk, p] for kk, p, c in patterns if kk == k) + 0.7) / (n + 1)
+            prior[k] = min(max(prior[k], 0.001), 0.999)
         for i, t in enumerate(tables):
             for y in (0, 1):
                 weight = [0.0, 0.0, 0.0]
@@ -190,46 +254,50 @@ def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS)
                     t[1][v] = t[0][v] = (t[1][v] + t[0][v]) / 2
             for y in (0, 1):
                 t[y] = [x / sum(t[y]) for x in t[y]]
-    return post
+    return post, prior, tables
 
 
 def train_spans(found: DataFrame) -> SpanModel:
-    """The classifier from all candidates of ``found``.
+    """The classifier from all candidates of ``found``: votes by the labelers' reliabilities, features by their share of
+    soft labels, what expectation-maximisation takes each candidate for.
 
-    Only counts per kind, vote pattern and size reach the driver: 9 * 3**5 * 8 rows at most.
+    Only counts per kind and vote pattern, 9 * 3**5 rows at most, and per kind and value of a feature, 9 * 88
+    rows at most, reach the driver. Without candidates all weights are 0.
     """
-    spans = found.select(F.explode("__spans").alias("s")).select("s.ord", "s.votes", "s.size")
-    rows = [(r["ord"], r["votes"], r["size"], float(r["count"])) for r in spans.groupBy("ord", "votes", "size").count().orderBy("ord", "votes", "size").collect()]
-    counts: dict[tuple[int, int], float] = {}
-    for k, p, _, n in rows:
-        counts[k, p] = counts.get((k, p), 0) + n
-    post = reliabilities([(k, p, n) for (k, p), n in sorted(counts.items())])
-    model = SpanModel([0.0] * len(KINDS), [[0.0] * 3 for _ in LABELERS], [0.0] * 8)
-    cells = [(model.kind, k, model.size, s, [p // 3**i % 3 for i in range(len(LABELERS))], post[k, p], math.log1p(n)) for k, p, s, n in rows]
-    whole = sum(c[-1] for c in cells) or 1.0
-    for _ in range(300):  # logistic regression on soft labels; each pattern weighs by the log of its count
-        steps: dict[tuple[int, int], float] = {}
-        for kinds, k, sizes, s, votes, y, n in cells:
-            odds = kinds[k] + sizes[s] + sum(w[v] for w, v in zip(model.votes, votes, strict=True))
-            miss = n * (y - 1 / (1 + math.exp(-max(-40.0, min(40.0, odds)))))
-            for key in ((-1, k), (-2, s), *enumerate(votes)):
-                steps[key] = steps.get(key, 0.0) + miss
-        for (group, at), step in steps.items():
-            weights = model.kind if group == -1 else model.size if group == -2 else model.votes[group]
-            weights[at] += 2.0 * (step / whole - 0.001 * weights[at])
+    spans = found.select(F.explode("found").alias("s")).select("s.*")
+    rows = spans.groupBy("ord", "votes").count().orderBy("ord", "votes").collect()
+    model = SpanModel([0.0] * len(KINDS), [[0.0] * 3 for _ in LABELERS], {n: [0.0] * (len(KINDS) * size) for n, size in FEATURES.items()})
+    if not rows:
+        return model
+    post, prior, tables = reliabilities([(r["ord"], r["votes"], float(r["count"])) for r in rows])
+    for k, share in prior.items():
+        model.kind[k] = math.log(share / (1 - share))
+    model.votes = [[math.log(t[1][v] / t[0][v]) for v in range(3)] for t in tables]
+    values = ", ".join(f"({k}, {p}, {y!r}D)" for (k, p), y in sorted(post.items()))
+    soft = found.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(ord, votes, y)")
+    seen = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(n).alias("value")) for i, n in enumerate(FEATURES)])
+    labelled = spans.join(F.broadcast(soft), ["ord", "votes"]).select("ord", "y", F.explode(seen).alias("f"))
+    sums = labelled.groupBy("ord", "f.feature", "f.value").agg(F.sum("y").alias("good"), F.sum(1 - F.col("y")).alias("bad"))
+    names = list(FEATURES)
+    totals: dict[tuple[int, int], list[float]] = {}
+    cells = [(r["ord"], r["feature"], r["value"], r["good"], r["bad"]) for r in sums.collect()]
+    for k, f, _, good, bad in cells:
+        total = totals.setdefault((k, f), [0.0, 0.0])
+        total[0], total[1] = total[0] + good, total[1] + bad
+    for k, f, v, good, bad in cells:
+        all_good, all_bad = totals[k, f]
+        share = (good + SMOOTH) / (all_good + 2 * SMOOTH), (bad + SMOOTH) / (all_bad + 2 * SMOOTH)
+        model.features[names[f]][k * FEATURES[names[f]] + v] = FEATURE_WEIGHT * max(-3.0, min(3.0, math.log(share[0] / share[1])))
     return model
 
 
 def decided(found: DataFrame, model: SpanModel) -> DataFrame:
-    """``found`` with ``spans``, array of (start, ord, end): all base spans, and the added ones that the
+    """``row`` and ``spans``, array of (start, ord, end): all base spans, and the added ones that the
     classifier finds likelier personal than not and that overlap no base span."""
-    base = F.filter("__spans", lambda x: x["ord"] < len(BASE))
-    added = F.filter("__spans", lambda x: (x["ord"] >= len(BASE)) & (model.odds(x) > 0))
-    free = F.filter(added, lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    out = found.select("row", F.filter("found", lambda x: x["ord"] < len(BASE)).alias("base"), F.filter("found", lambda x: (x["ord"] >= len(BASE)) & (model.odds(x) > 0)).alias("added"))
+    free = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     slim = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["ord"], x["end"]))
-    out = found.withColumn("__base", base)
-    out = out.withColumn("spans", F.array_sort(F.concat(slim(F.col("__base")), slim(free))))
-    return out.drop("__base", "__spans")
+    return out.select("row", F.array_sort(F.concat(slim(F.col("base")), slim(free))).alias("spans"))
 
 
 def _listing(spans: Column) -> Column:
@@ -250,8 +318,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Null and empty text have no spans (the digest of an empty text). Repeated rows get equal
     results; other columns are not read. No rows give no rows.
     """
-    found = written(candidates(docs.select("doc_id", "text")).drop("text"), "pii-candidates")
-    out = decided(found, train_spans(found))
+    found = candidates(docs.select("doc_id", "text")).select(F.struct("row.doc_id").alias("row"), "found")
+    found = written(found, "pii-candidates")
+    out = decided(found, train_spans(found)).select("row.doc_id", "spans")
     base = F.filter("spans", lambda x: x["ord"] < len(BASE))
     count = lambda o: F.size(F.filter("spans", lambda x: x["ord"] == o)).cast("long")
     return out.select(
@@ -263,24 +332,19 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every personal span replaced by its kind in capitals and brackets; overlapping spans become one.
 
-    n_chars, where it is a column, counts the new text. Null text stays null.
+    n_chars, where it is a column, counts the new text. Null text stays null, texts without spans stay as they
+    are, repeated rows stay equal, all other columns pass, whatever their names. No rows give no rows.
+    The patterns run once: rows and candidates are written, then the classifier is trained and applied to them.
     """
-    model = train_spans(candidates(docs.select("text")))
-    return _cut(decided(candidates(docs), model), docs)
-
-
-def _cut(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    found = written(candidates(docs), "pii-candidates")
+    marked = decided(found, train_spans(found))
     kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def cut(acc, x):
-        fresh = x["start"] >= acc["at"]
-        piece = F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(kinds, x["ord"] + 1))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    whole = F.aggregate("spans", start, cut, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    out = marked.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    text = F.col("row.text")
+    # for each span, where the spans before it end
+    before = running(F.col("spans"), lambda at, x: F.greatest(at, x["end"]))
+    pieces = F.zip_with("spans", before, lambda x, at: F.when(x["start"] >= at, F.concat(F.substring(text, at + 1, x["start"] - at), F.element_at(kinds, x["ord"] + 1))).otherwise(""))
+    last = F.array_max(F.transform("spans", lambda x: x["end"]))
+    whole = F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text)))
+    cut = marked.select("row", F.when(F.size("spans") > 0, whole).otherwise(text).alias("text"))
+    made = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return cut.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

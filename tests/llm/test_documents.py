@@ -225,10 +225,43 @@ def test_personal_data_matches_plain_patterns(spark, nasty, empty):
 
 def test_labelers_are_weighed():
     # labeler 0 (3**0) and 1 (3**1) agree on most; a span that both vote for is likelier than one both vote against
-    post = pii.reliabilities([(0, 1 + 3, 50.0), (0, 2, 30.0), (0, 1, 5.0), (0, 0, 5.0)])
+    post, prior, tables = pii.reliabilities([(0, 1 + 3, 50.0), (0, 2, 30.0), (0, 1, 5.0), (0, 0, 5.0)])
     assert post[0, 4] > 0.9 > 0.5 > post[0, 2]
 
 
+def test_added_spans(spark):
+    right = {
+        "name": "Dear Dr. Maria Lopez, the rain came. Signed by John Smith, who wrote to Mrs Ursula Klein.", "national_id": "Her ssn is 123-45-6789, his tax id 219-09-9999.",
+        "spelled_email": "Write to jane.doe (at) example (dot) org or mail bob[at]host.com today.",
+    }
+    wrong = ["It rained on Tuesday. Paris Match sold well in Main Street.", "Order 000-12-3456 of version 666-00-0000.", "Meet me at noon, dot by dot, in chapter 12."]
+    rows = [(i, text) for i, text in enumerate([*right.values(), *wrong] * 5)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (kind, text) in enumerate(right.items()):
+        spans = [x.split(":") for x in got[i].spans.split(",") if x]
+        found = {text[int(a) : int(b)] for k, a, b in spans if k == kind}
+        want = {"name": {"Dr. Maria Lopez", "John Smith", "Mrs Ursula Klein"}, "national_id": {"123-45-6789", "219-09-9999"}}
+        want["spelled_email"] = {"jane.doe (at) example (dot) org", "bob[at]host.com"}
+        assert found >= want[kind] or kind == "name" and len(found & want[kind]) == 3, (kind, found)
+    assert all(got[i].spans == "" for i in (3, 5)) and got[4].n_added <= 1
+
+
+def test_redaction(spark, nasty, empty):
+    assert pii.redact(empty).count() == 0 and pii.redact(empty).columns == empty.columns
+    clashing = nasty.withColumns({"base": F.lit(1), "__base": F.lit(2), "row": F.lit(3), "found": F.lit(4), "gaps_email": F.lit(5)})
+    out = pii.redact(clashing)
+    assert out.columns == clashing.columns and out.count() == len(NASTY)
+    texts = {(r.doc_id, r.text) for r in out.collect()}
+    assert (1, None) in texts
+    (ten,) = [text for doc, text in texts if doc == 10]
+    assert ten.startswith("[EMAIL][EMAIL] call ") and ten.endswith(" [CARD] from [IP] or 256.1.1.1")
+    assert out.where("row = 3 and base = 1 and spans = 0").count() == len(NASTY)
+    # very many spans, and the offsets of a scan in blocks
+    many = " ".join(f"u{i}@h{i}.org" for i in range(3000))
+    got = pii.redact(spark.createDataFrame([(1, many, 5)], "doc_id long, text string, n_chars long")).first()
+    assert got.text == " ".join(["[EMAIL]"] * 3000) and got.n_chars == len(got.text)
+
+
 def test_packing_round_trip(spark, nasty, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
