@@ -7,19 +7,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
-
-#: Bound of the sample that the index is fitted on (of vectors) and bound of the number of cells.
-FIT_VECTORS, MOST_CELLS = 16384, 2048
-#: Components of a quantised part, codes of a part, vectors of a block, queries of a block, rows reranked per block and query.
-PART, CODES, BLOCK, QUERY_BLOCK, RERANK = 2, 64, 4096, 2048, 96
-#: Cells of the first look, and share of all cells within which the second look may go on.
-FIRST_CELLS, REACH = 4, 0.6
+from .words import mix64
+
+#: Bound of the sample that the index is fitted on (of vectors); there are 4 * sqrt(n) cells, a fourth of the sample at most.
+FIT_VECTORS = 16384
+#: Components of a quantised part, codes of a part.
+PART, CODES = 2, 64
+#: Vectors and queries that meet in one task.
+BLOCK, QUERY_BLOCK = 32768, 4096
+#: Candidates of a query, by distance tables, that are ranked by exact products.
+RERANK = 96
+#: Share of all cells for the first look, and share within which the second look may go on.
+FIRST_SHARE, REACH = 0.02, 0.55
 K = 20
 
 
@@ -36,8 +40,10 @@ class Index:
         return np.argmax(vectors @ self.centroids.T - half, axis=1)
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
-        parts = _parts(residuals)
-        return np.stack([np.argmax(parts[:, m] @ b.T - (b**2).sum(axis=1) / 2, axis=1) for m, b in enumerate(self.books)], axis=1).astype(np.uint8)
+        """Bytes of each residual: its length, then the codes of its direction, so that short residuals, in dense groups, are told apart as well as long ones."""
+        length, parts = _directions(residuals)
+        codes = np.stack([np.argmax(parts[:, m] @ b.T - (b**2).sum(axis=1) / 2, axis=1) for m, b in enumerate(self.books)], axis=1)
+        return np.concatenate([length.astype("<f4").view(np.uint8).reshape(-1, 4), codes.astype(np.uint8)], axis=1)
 
 
 def _parts(vectors: np.ndarray) -> np.ndarray:
@@ -47,6 +53,11 @@ def _parts(vectors: np.ndarray) -> np.ndarray:
     return wide.reshape(n, -1, PART)
 
 
+def _directions(residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    length = np.linalg.norm(residuals, axis=1)
+    return length, _parts(residuals / np.where(length > 0, length, 1.0)[:, None])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     k = min(k, len(x))
     centers = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].copy()
@@ -61,7 +72,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 def fit_index(sample: np.ndarray, cells: int) -> Index:
     centroids = _kmeans(sample, cells, 8, 1)
     index = Index(centroids, np.zeros((0, 1, PART)))
-    parts = _parts(sample - centroids[index.cells(sample)])
+    _, parts = _directions(sample - centroids[index.cells(sample)])
     return Index(centroids, np.stack([_kmeans(parts[:, m], CODES, 6, 2 + m) for m in range(parts.shape[1])]))
 
 
@@ -76,51 +87,100 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, dtype=np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
-def search_block(index: Index, vectors: pd.DataFrame, probes: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of a block of one cell for each query that probes it: distance tables pick RERANK, exact products rank those."""
-    if not len(vectors) or not len(probes):
-        return pd.DataFrame({"query": [], "rep": [], "score": []})
-    vectors = vectors.sort_values("rep", kind="stable")
-    base, codes, reps = _matrix(vectors["vec"]), np.frombuffer(b"".join(vectors["code"]), np.uint8).reshape(len(vectors), -1), vectors["rep"].to_numpy()
-    asked, queries = probes["query"].to_numpy(), _matrix(probes["vec"])
-    out_q, out_r, out_s = [], [], []
-    step = max(1, 2_000_000 // len(base))
-    for a in range(0, len(queries), step):
-        q = queries[a : a + step]
-        if len(base) > RERANK:
-            parts = _parts(q)
-            near = np.zeros((len(q), len(base)), np.float32)
-            for m, book in enumerate(index.books):
-                near += (parts[:, m] @ book.T).astype(np.float32)[:, codes[:, m]]
-            picked = np.sort(np.argpartition(-near, RERANK - 1, axis=1)[:, :RERANK], axis=1)
-        else:
-            picked = np.broadcast_to(np.arange(len(base)), (len(q), len(base)))
-        exact = (base[picked] * q[:, None, :]).sum(axis=2)
-        best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        n = best.shape[1]
-        out_q.append(np.repeat(asked[a : a + step], n))
-        out_r.append(reps[np.take_along_axis(picked, best, 1)].ravel())
-        out_s.append(np.take_along_axis(exact, best, 1).ravel())
-    return pd.DataFrame({"query": np.concatenate(out_q), "rep": np.concatenate(out_r), "score": np.concatenate(out_s)})
-
-
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+def _bytes_of(column: pa.ChunkedArray, kind: type, rows: int) -> np.ndarray:
+    """Equally long binary values as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
+
+
+@dataclass
+class Search:
+    """How a query picks cells and candidates: which looks at which cells, and how candidates are scored."""
+
+    index: Index
+    first_share: float
+    reach: float
+    rerank: int
+    exact: bool
+
+    def probes(self, queries: np.ndarray, worst: np.ndarray | None) -> np.ndarray:
+        """Whether each query looks at each cell: without ``worst`` at its nearest ones, else at those further
+        within reach that could still hold a better score than ``worst``; where that is -inf, at all others."""
+        centroids = self.index.centroids
+        n = len(centroids)
+        first, reach = min(n, max(2, math.ceil(self.first_share * n))), min(n, math.ceil(self.reach * n))
+        near = queries @ centroids.T
+        order = np.argsort(-near / np.maximum(np.linalg.norm(centroids, axis=1), 1e-12), axis=1, kind="stable")
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(n)[None, :], axis=1)
+        if worst is None:
+            return rank < first
+        lost = np.isneginf(worst)[:, None]
+        bound = near + np.linalg.norm(queries, axis=1)[:, None] * self.index.radius
+        return (rank >= first) & (lost | (rank < reach) & (bound >= worst[:, None]))
+
+    def scores(self, queries: np.ndarray, vectors: np.ndarray, cell: int) -> np.ndarray:
+        """Products of queries with the vectors of a cell, from tables of products with the codes, or exact ones."""
+        if self.exact:
+            return queries @ vectors.T
+        parts = _parts(queries)
+        length, codes = np.ascontiguousarray(vectors[:, :4]).view("<f4").ravel(), vectors[:, 4:]
+        near = np.zeros((len(queries), len(vectors)), np.float32)
+        for m, book in enumerate(self.index.books):
+            near += np.take((parts[:, m] @ book.T).astype(np.float32), codes[:, m], axis=1)
+        return near * length + (queries @ self.index.centroids[cell]).astype(np.float32)[:, None]
+
+    def tile(self, coded: pa.Table, asked: pa.Table) -> pa.Table:
+        """The best candidates of a block of vectors for each query of a block, as many as are reranked."""
+        out: list[tuple] = []
+        if coded.num_rows and asked.num_rows:
+            coded = coded.sort_by([("cell", "ascending"), ("rep", "ascending")])
+            reps, cells = coded["rep"].to_numpy(), coded["cell"].to_numpy()
+            held = _bytes_of(coded["payload"], np.float64 if self.exact else np.uint8, len(reps))
+            names, queries = asked["query"].to_numpy(), _bytes_of(asked["vec"], np.float64, asked.num_rows)
+            worst = asked["worst"].to_numpy() if "worst" in asked.column_names else None
+            begins = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            ends = np.append(begins[1:], len(cells))
+            keep = min(self.rerank, len(reps))
+            for k in range(0, len(queries), step := max(16, 8_000_000 // len(reps))):
+                q, w = queries[k : k + step], None if worst is None else worst[k : k + step]
+                looks = self.probes(q, w)
+                near = np.full((len(q), len(reps)), -np.inf, np.float64 if self.exact else np.float32)
+                for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
+                    at = np.flatnonzero(looks[:, cells[a]])
+                    if len(at):
+                        near[at, a:b] = self.scores(q[at], held[a:b], int(cells[a]))
+                best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(reps) else np.broadcast_to(np.arange(len(reps)), near.shape)
+                found = np.take_along_axis(near, best, 1)
+                some = np.isfinite(found)
+                out.append((np.repeat(names[k : k + step], some.sum(axis=1)), reps[best[some]], found[some].astype(np.float64)))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query", "rep", "near"), columns, strict=True)))
+
+
+def _best(found: DataFrame, score: str, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc(score), "rep")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int = FIT_VECTORS, most_cells: int = MOST_CELLS) -> DataFrame:
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int = FIT_VECTORS, first_share: float = FIRST_SHARE, reach: float = REACH,
+    rerank: int = RERANK, exact: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK,
+) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by largest inner product.
 
     ``vectors`` has vec_id and embedding; ``is_query`` says which rows are queries.
     1. Equal vectors are one entry, with its k + 1 least vec_ids; more can't be in a result.
     2. Centroids and codebooks are fitted on at most ``fit_vectors`` vectors of least hash; every
-       vector is indexed. There are 4 * sqrt(n) cells, ``most_cells`` at most. Cells are cut into blocks of
-       about BLOCK vectors, queries into blocks of about QUERY_BLOCK, so that no task gets a whole hot cell.
-    3. A query looks into its FIRST_CELLS nearest cells, then into those within the REACH nearest
-       share of cells where centroid product plus the longest residual could still beat its k-th score.
-    4. In a block, tables of products with the codes pick RERANK vectors, exact products in
-       double precision rank them. Ties go to the smaller vec_id.
+       vector is indexed. There are 4 * sqrt(n) cells, a fourth of ``fit_vectors`` at most.
+    3. Blocks of about ``block`` vectors, whole cells where these are not larger, meet blocks of about
+       ``query_block`` queries. What travels is a vector's code (four bytes and one a part), not the vector.
+    4. A query looks into its nearest ``first_share`` of the cells, then into those within ``reach``
+       where centroid product plus the longest residual could still beat its k-th score.
+    5. Tables of products with the codes pick the ``rerank`` best over all cells of a look; their vectors are
+       then fetched and exact products in double precision rank them. Ties go to the smaller vec_id.
+
+    ``exact`` compares each query with all vectors in double precision and loses none; first_share, reach
+    and rerank don't matter then, and vectors travel instead of codes.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
     vec_ids or vectors of another length than the most frequent one. Repeated rows are one
@@ -144,7 +204,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int =
     n = entries.count()
     few = math.ceil(2 * fit_vectors / max(n, 1) * (1 << 20))  # twice the share that is wanted, so that the sort has a bound
     sample = entries.where(F.expr(f"pmod(xxhash64(rep), {1 << 20})") < few).orderBy(F.xxhash64("rep"), "rep").limit(fit_vectors).select("vec").toArrow()
-    index = fit_index(sample["vec"].combine_chunks().values.to_numpy().reshape(len(sample), -1), min(most_cells, round(4 * math.sqrt(n))))
+    index = fit_index(sample["vec"].combine_chunks().values.to_numpy().reshape(len(sample), -1), max(1, min(fit_vectors // 4, round(4 * math.sqrt(n)))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,55 +212,76 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int =
             if len(x):
                 cell = index.cells(x)
                 rest = x - index.centroids[cell]
-                code = [c.tobytes() for c in index.encode(rest)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(code, pa.binary()), pa.array(np.linalg.norm(rest, axis=1))], ["rep", "vec", "cell", "code", "far"])
+                payload = [v.tobytes() for v in (x if exact else index.encode(rest))]
+                far = pa.array(np.linalg.norm(rest, axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(payload, pa.binary()), far], ["rep", "cell", "payload", "far"])
 
-    coded = written(entries.select("rep", "vec").mapInArrow(assign, "rep long, vec array<double>, cell int, code binary, far double"), "coded")
+    coded = written(entries.select("rep", "vec").mapInArrow(assign, "rep long, cell int, payload binary, far double"), "coded")
     sizes = coded.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).toArrow()  # a row per cell
     radius = np.full(len(index.centroids), -np.inf)
-    radius[sizes["cell"].to_numpy()] = sizes["far"].to_numpy()
-    blocks = np.ones(len(index.centroids), np.int64)
-    blocks[sizes["cell"].to_numpy()] = 1 + sizes["n"].to_numpy() // BLOCK
+    radius[sizes["cell"].to_numpy()] = sizes["far"].to_numpy() * (1 + 1e-9)
+    index.radius = radius
+    held = np.zeros(len(index.centroids), np.int64)
+    held[sizes["cell"].to_numpy()] = sizes["n"].to_numpy()
+    # consecutive cells share blocks; a cell larger than a block has several of its own
+    room = max(1, min(block, math.ceil(n / spark.sparkContext.defaultParallelism)))
+    first_block = (np.cumsum(held) - held) // room
+    last_block = np.maximum(first_block, (np.cumsum(held) - 1) // room)
     queries = entries.where("asks").select(F.col("rep").alias("query"), "vec")
-    query_blocks = 1 + queries.count() // QUERY_BLOCK
-    cells_of = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if blocks.max() > 1 else F.lit(1)
-    spread = coded.select("rep", "vec", "code", "cell", F.expr("pmod(xxhash64(rep), 1000000007)").alias("h"), cells_of.alias("blocks"))
-    spread = spread.select("rep", "vec", "code", "cell", (F.col("h") % F.col("blocks")).cast("int").alias("block"))
-    spread = spread.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(int(query_blocks - 1)))))
-
-    def look(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[pa.RecordBatch]:
-        reach = max(FIRST_CELLS, math.ceil(REACH * len(index.centroids)))
+    query_blocks = 1 + queries.count() // query_block
+    search = Search(index, 1.0 if exact else first_share, reach, k + 1 if exact else rerank, exact)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, rep = batch.column(1).to_numpy(), batch.column(0).to_numpy()
+            width = last_block[cell] - first_block[cell] + 1
+            to = first_block[cell] + (mix64(rep.view(np.uint64)) % width.astype(np.uint64)).astype(np.int64)
+            for part in range(query_blocks):
+                where = [pa.array(to.astype(np.int32)), pa.array(np.full(len(to), part, np.int32))]
+                yield pa.RecordBatch.from_arrays([*where, *(batch.column(i) for i in range(3))], ["block", "part", "rep", "cell", "payload"])
+
+    def ask(batches: Iterator[pa.RecordBatch], again: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 piece = batch.slice(at, 1000)
                 q = _matrix(piece.column(1).to_pylist())
                 if not len(q):
                     continue
-                near = q @ index.centroids.T
-                order = np.argsort(-near / np.maximum(np.linalg.norm(index.centroids, axis=1), 1e-12), axis=1, kind="stable")
-                if first:
-                    cells = [o[:FIRST_CELLS] for o in order]
-                else:
-                    bound = near + np.linalg.norm(q, axis=1)[:, None] * radius
-                    worst = np.array([-np.inf if w is None else w for w in piece.column(2).to_pylist()])
-                    # a query that has found fewer than it asks for goes on into all cells
-                    rest = [o[FIRST_CELLS : reach if w > -np.inf else None] for o, w in zip(order, worst, strict=True)]
-                    cells = [r[bound[i, r] >= worst[i]] for i, r in enumerate(rest)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([c.astype(np.int32) for c in cells], pa.list_(pa.int32()))], ["query", "vec", "cells"])
-
-    def found(asked: DataFrame, first: bool) -> DataFrame:
-        probes = asked.mapInArrow(lambda b: look(b, first), "query long, vec array<double>, cells array<int>")
-        probes = probes.select("query", "vec", F.explode("cells").alias("cell"), F.expr(f"cast(pmod(xxhash64(query), {query_blocks}) as int)").alias("part"))
-        probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), (cells_of - 1).cast("int"))))
-        keys = ["cell", "block", "part"]
-        pairs = spread.groupBy(*keys).cogroup(probes.groupBy(*keys))
-        return _best(pairs.applyInPandas(lambda v, p: search_block(index, v, p, k + 1), "query long, rep long, score double"), k + 1)
-
-    one = written(found(queries, True), "first-look")
-    worst = one.groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
-    worst = worst.select("query", F.when(F.col("n") > k, F.col("worst")).alias("worst"))
-    two = found(queries.join(worst, "query", "left"), False)
-    best = _best(one.unionByName(two), k + 1)
+                worst = np.array([-np.inf if w is None else w for w in piece.column(2).to_pylist()]) if again else None
+                i, cell = np.nonzero(search.probes(q, worst) & (held > 0))
+                spans = last_block[cell] - first_block[cell] + 1
+                i, to = np.repeat(i, spans), np.repeat(first_block[cell], spans) + np.arange(spans.sum()) - np.repeat(np.cumsum(spans) - spans, spans)
+                pairs = np.unique(i * (int(last_block.max()) + 1) + to)
+                i, to = np.divmod(pairs, int(last_block.max()) + 1)
+                name = piece.column(0).to_numpy()[i]
+                part = (mix64(name.view(np.uint64)) % np.uint64(query_blocks)).astype(np.int32)
+                raw = [v.tobytes() for v in q]
+                columns = [pa.array(to.astype(np.int32)), pa.array(part), pa.array(name), pa.array([raw[j] for j in i], pa.binary())]
+                extra = [pa.array(worst[i])] if again else []
+                yield pa.RecordBatch.from_arrays(columns + extra, ["block", "part", "query", "vec", *(["worst"] if again else [])])
+
+    dealt = coded.select("rep", "cell", "payload").mapInArrow(deal, "block int, part int, rep long, cell int, payload binary")
+
+    def found(asked: DataFrame, again: bool) -> DataFrame:
+        """query, rep, score: the best of a look, by exact products."""
+        kind = "block int, part int, query long, vec binary" + (", worst double" if again else "")
+        probes = asked.mapInArrow(lambda b: ask(b, again), kind)
+        pairs = dealt.groupBy("block", "part").cogroup(probes.groupBy("block", "part"))
+        near = pairs.applyInArrow(lambda v, q: search.tile(v, q), "query long, rep long, near double")
+        near = _best(near, "near", search.rerank)
+        if exact:
+            return near.withColumnRenamed("near", "score")
+        both = near.join(entries.select("rep", "vec").hint("merge"), "rep").join(queries.select("query", F.col("vec").alias("asked")).hint("merge"), "query")
+        product = F.aggregate(F.zip_with("vec", "asked", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+        return both.select("query", "rep", product.alias("score"))
+
+    one = written(_best(found(queries, False), "score", k + 1), "first-look")
+    best = one
+    if not exact:
+        worst = one.groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
+        worst = worst.select("query", F.when(F.col("n") > k, F.col("worst")).alias("worst"))
+        two = found(queries.join(worst.hint("merge"), "query", "left"), True)
+        best = _best(one.unionByName(two), "score", k + 1)
     ids = best.join(entries.select("rep", F.explode("ids").alias("vec_id")), "rep").select("query", "vec_id", "score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)

@@ -126,6 +126,11 @@ def test_search_is_exact_on_few_and_good_on_many(spark):
         assert np.allclose(g.score, score[g.vec_id], atol=1e-12)
         hits, total = hits + len(set(order) & set(g.vec_id)), total + 20
     assert set(got.query_id) == set(range(0, 600, 20)) and hits / total >= 0.9
+    whole = ann.nearest(df, F.col("vec_id") % 20 == 0, exact=True, block=100, query_block=7).toPandas()
+    for q, g in whole.groupby("query_id"):
+        score = (x.astype(np.float64) * x[q].astype(np.float64)).sum(axis=1)
+        order = [i for i in np.lexsort((np.arange(600), -score)) if i != q][:20]
+        assert np.allclose(sorted(g.score, reverse=True), score[order], atol=1e-12) and len(set(order) & set(g.vec_id)) >= 19  # sums may differ in their last bits
     few = ann.nearest(df.where("vec_id < 5"), F.col("vec_id") == 0).toPandas()
     assert list(few["rank"]) == [1, 2, 3, 4]
     assert ann.nearest(df.where("false"), F.col("vec_id") == 0).count() == 0
