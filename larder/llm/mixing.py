@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import bucket_starts, within_bucket
-from .shared import bucket16, null_safe, shuffle_key, word_count
+from .ranks import bucket_starts, bucket_sums, within_bucket
+from .shared import bucket16, null_safe, shuffle_key, word_count, written
 
 WEIGHTS = (5, 2, 1)
 SEED = 17
@@ -42,7 +42,8 @@ def mix_sources(
     """``docs`` with size, source_size, target and taken: how many words of each row the mix takes.
 
     Rows of a source are sorted by a seeded hash of doc_id (equal keys by size, then by
-    all columns), sizes are summed in that order by a distributed prefix sum, and the
+    all columns), sizes are summed in that order by a distributed prefix sum (the sums of its
+    buckets are written, so that ``docs`` is read once for them and once for the rows), and the
     source is cut at its exact budget, the whole number below its target. A budget above
     the source's size repeats it: ``taken`` is then the size for each full epoch plus
     the part of the last. The row at the cut gives only its first words.
@@ -52,31 +53,34 @@ def mix_sources(
     columns named like those added here are replaced. No rows give no rows.
     """
     size = word_count(F.col("text")) if size is None else size
-    keyed = docs.withColumns({"__group": null_safe(F.col("source")), "__key": shuffle_key(seed, F.col("doc_id")), "size": size})
-    keyed = keyed.withColumn("__bucket", bucket16(F.col("__key")))
-    starts = bucket_starts(keyed, "__group", "__bucket", F.col("size"))
-    totals = starts.groupBy("__group").agg(F.max("whole").alias("source_size"))
-    named = F.when(F.col("__group") != "n", F.expr("substring(__group, 2)"))
+    # all columns of docs travel as one, so that none can clash with those made here
+    keyed = docs.select(F.struct("*").alias("row"), null_safe(F.col("source")).alias("group"), shuffle_key(seed, F.col("doc_id")).alias("key"), size.alias("size"))
+    keyed = keyed.withColumn("bucket", bucket16(F.col("key")))
+    fine = written(bucket_sums(keyed, "group", "bucket", F.col("size")), "mix-sums")
+    starts = bucket_starts(fine, "group", "bucket")
+    totals = fine.groupBy("group").agg(F.sum("fine").alias("source_size"))
+    named = F.when(F.col("group") != "n", F.expr("substring(`group`, 2)"))
     targets = source_targets(totals.select(named.alias("source"), "source_size"), weights, max_epochs)
-    targets = targets.select(null_safe(F.col("source")).alias("__group"), "target")
-    starts = starts.join(targets, "__group").withColumnRenamed("before", "__before").withColumnRenamed("whole", "source_size")
+    targets = targets.select(null_safe(F.col("source")).alias("group"), "target")
+    starts = starts.join(targets, "group").withColumnRenamed("whole", "source_size")
     plain = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    order = ["__key", "size", *([F.xxhash64(*[F.col(c) for c in plain if docs.schema[c].dataType.typeName() != "map"])] if len(plain) > 3 else [])]
-    rows = keyed.select(*plain, "__group", "__bucket", "__key", "size")
-    rows = rows.withColumn("__in", within_bucket("__group", "__bucket", order, F.col("size")))
-    budget = F.floor("target").cast("long")
-    rows = rows.join(starts, ["__group", "__bucket"])
-    rows = rows.withColumn("__budget", budget).withColumn("__at", F.col("__before") + F.col("__in"))
-    rest = F.col("__budget") - F.expr("__budget div source_size") * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("__at")))
-    taken = F.when(F.col("source_size") > 0, F.expr("__budget div source_size") * F.col("size") + part).otherwise(F.lit(0))
-    return rows.select(*plain, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    hashed = [F.col("row").getField(c) for c in plain if docs.schema[c].dataType.typeName() != "map"]
+    order = ["key", "size", *([F.xxhash64(*hashed)] if len(plain) > 3 else [])]
+    rows = keyed.withColumn("inside", within_bucket("group", "bucket", order, F.col("size")))
+    rows = rows.join(starts, ["group", "bucket"]).withColumn("budget", F.floor("target").cast("long"))
+    rest = F.col("budget") - F.expr("budget div source_size") * F.col("source_size")
+    part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("before") - F.col("inside")))
+    taken = F.when(F.col("source_size") > 0, F.expr("budget div source_size") * F.col("size") + part).otherwise(F.lit(0))
+    kept = [F.col("row").getField(c).alias(c) for c in plain]
+    return rows.select(*kept, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def expand_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as documents: a row per repeat, the last of them cut to its first words where the budget ends.
 
-    ``mixed`` comes from mix_sources and keeps text. Rows of no words are not in a mix.
+    ``mixed`` comes from mix_sources and keeps text. Rows of no words are not in a mix, so null and empty texts go.
+    Repeated rows are repeated as often as each is taken; n_chars, where it is asked for, counts the new text.
+    No rows give no rows.
     """
     full = F.expr("taken div size")
     rest = F.col("taken") - full * F.col("size")

@@ -16,6 +16,8 @@ TOKENIZER, RANKS, END_ID = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", 1
 SPECIAL = "<|endoftext|>"
 #: Costs in tokens of padding: a cut inside a document after a sentence, and anywhere else.
 SENTENCE_CUT, FORCED_CUT = 4.0, 24.0
+#: What a sequence costs besides its padding, so that a short one at a power of two is not free.
+SEQUENCE_COST = 32.0
 #: Sentence ends nearer than this to the last boundary are no boundaries; gaps wider than the second get forced ones.
 MIN_GAP, MAX_GAP = 24, 96
 #: Tokens whose cuts are chosen together.
@@ -123,7 +125,7 @@ def pack_stream(stream: Iterator[tuple[int | None, np.ndarray]], ends_sentence:
         ids = np.concatenate([h[1] for h in held])
         ends = np.cumsum([len(h[1]) for h in held])
         at, price = boundaries(ids, ends, ends_sentence)
-        cuts = at[best_cuts(at, price, room)]
+        cuts = at[best_cuts(at, price + SEQUENCE_COST, room)]
         stop = int(cuts[-1] if last or len(cuts) < 3 else cuts[-2])
         out, k, done = [], 0, 0
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -163,7 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, ranks_pat
     Each input partition is one stream in its own order and is packed alone; only its last
     sequence may be short for want of documents. A document's ids are its text's and then
     id 1, so a null or empty text is the one id 1. Documents longer than a sequence are cut
-    at sentence ends, or every MAX_GAP tokens where there are none. Repeated rows are packed
+    at sentence ends, of which one in MIN_GAP tokens is tried, or every MAX_GAP tokens where there are none; the
+    cuts are the best of these for CHUNK tokens at a time. Repeated rows are packed
     as often as they come; null doc_id stays null. sequence_id is partition * 2**32 + number.
     Other columns are not read. No rows give no rows.
     """

@@ -16,12 +16,13 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import THRESHOLD, score_quality, train_quality
-from .shared import documents
+from .shared import documents, word_count, written
 from .sharding import shard_rows
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    mixed = mix_sources(written(docs, "mix-sizes"), F.col("size"))  # the texts are read once
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

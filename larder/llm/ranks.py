@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bucket_starts(rows: DataFrame, group: str, bucket: str, value: Column) -> DataFrame:
-    """One row per group and bucket: ``before``, the sum of ``value`` in earlier buckets, and ``whole``, the group's sum.
+def bucket_sums(rows: DataFrame, group: str, bucket: str, value: Column) -> DataFrame:
+    """One row per group and bucket: ``fine``, the sum of ``value``. Reads only what ``value`` needs; empty input gives no rows."""
+    return rows.groupBy(group, bucket).agg(F.sum(value).alias("fine"))
 
-    Reads only what ``value`` needs. Empty input gives no rows.
+
+def bucket_starts(fine: DataFrame, group: str, bucket: str) -> DataFrame:
+    """One row per row of ``bucket_sums``: ``before``, the sum of earlier buckets, and ``whole``, the group's sum.
+
+    ``fine`` is read twice; where that is dear, pass it written.
     """
-    fine = rows.groupBy(group, bucket).agg(F.sum(value).alias("fine"))
     fine = fine.withColumn("coarse", F.shiftright(F.col(bucket), 8))
     coarse = fine.groupBy(group, "coarse").agg(F.sum("fine").alias("part"))
     earlier = Window.partitionBy(group).orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1)

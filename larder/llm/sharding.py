@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import bucket_starts, within_bucket
+from .ranks import bucket_starts, bucket_sums, within_bucket
 from .shared import bucket16, null_safe, shuffle_key, written
 
 SEED = 29
@@ -29,13 +29,14 @@ def shard_rows(docs: DataFrame, n_shards: int = 24, seed: int = SEED) -> DataFra
         "doc_id", "source", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
         null_safe(F.col("source")).alias("__group"), shuffle_key(seed, F.col("doc_id")).alias("__key"),
     ).withColumn("__bucket", bucket16(F.col("__key")))
-    starts = bucket_starts(base, "__group", "__bucket", F.lit(1).cast("long"))
+    base = written(base, "shard-rows")  # the texts are read once
+    starts = bucket_starts(bucket_sums(base, "__group", "__bucket", F.lit(1).cast("long")), "__group", "__bucket")
     ranked = base.withColumn("__in", within_bucket("__group", "__bucket", ["__key", "size", "text_crc32"], F.lit(1).cast("long")))
     ranked = ranked.join(starts, ["__group", "__bucket"])
     share = (2 * (F.col("before") + F.col("__in")) + 1).cast("double") / (2 * F.col("whole")).cast("double")
     spread = ranked.select("doc_id", "source", "size", "text_crc32", "__group", share.alias("__share"), F.lit(0).alias("__all"))
     spread = written(spread.withColumn("__slice", F.floor(F.col("__share") * 65536).cast("int")), "shard-ranks")
-    starts = bucket_starts(spread, "__all", "__slice", F.lit(1).cast("long"))
+    starts = bucket_starts(bucket_sums(spread, "__all", "__slice", F.lit(1).cast("long")), "__all", "__slice")
     placed = spread.withColumn("__in", within_bucket("__all", "__slice", ["__share", "__group"], F.lit(1).cast("long")))
     placed = placed.join(starts, ["__all", "__slice"]).withColumn("__rank", F.col("before") + F.col("__in"))
     placed = placed.withColumn("__shard", F.expr(f"__rank * {n_shards}L div whole"))

@@ -36,7 +36,7 @@ def empty(spark):
 
 def test_mix_targets_and_cuts(spark, nasty, empty):
     assert mixing.mix_sources(empty).count() == 0
-    rows = mixing.mix_sources(nasty.drop("__key")).collect()
+    rows = mixing.mix_sources(nasty.withColumns({"row": F.lit(1), "group": F.lit(2), "key": F.lit(3), "bucket": F.lit(4), "inside": F.lit(5), "budget": F.lit(6), "before": F.lit(7)})).collect()
     assert len(rows) == len(NASTY)
     by = defaultdict(list)
     for r in rows:
@@ -284,6 +284,34 @@ def test_packing_round_trip(spark, nasty, empty):
     assert packing.pack_documents(nasty).select("doc_id").count() >= len(NASTY)
 
 
+def test_ids_of_all_texts_equal_the_tokenizers_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    fast = packing._tokenizer(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS))
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert list(fast(r.text or "")) == exact.encode(r.text or "", add_special_tokens=False).ids
+
+
+def test_shards_by_brute_force(spark):
+    # sorted in one list: by seeded key within each source, then by fractional rank and source
+    import hashlib
+    from fractions import Fraction
+
+    docs = [(r.doc_id, r.source, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    by = defaultdict(list)
+    for doc, source, text in docs:
+        by[source].append((hashlib.md5(f"{sharding.SEED}:{doc}".encode()).hexdigest(), len((text or "").encode()) + 8, zlib.crc32((text or "").encode()), doc))
+    spread = [(float(Fraction(2 * i + 1, 2 * len(rows))), "n" if source is None else "s" + source, *x) for source, rows in by.items() for i, x in enumerate(sorted(rows))]
+    n, want = len(spread), {}
+    for rank, (_, _, _, size, crc, doc) in enumerate(sorted(spread)):
+        shard = rank * 24 // n
+        want[doc] = (size, crc, shard, rank - -(-shard * n // 24))
+    got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in sharding.shard_rows(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    assert got == want
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(5)
     for _ in range(30):
