@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.quality import junk_reason
+from ..functions.quality import junk_name_reason, junk_quantity_reason, junk_reason
 from ..functions.weights import best_unit, parse_grams
 
 
@@ -92,7 +92,19 @@ def build_foods(food: DataFrame, nutrients: DataFrame, categories: DataFrame, po
     return derive_salt(named).select("fdc_id", F.trim("description").alias("product_name"), "category", "serving_g", *fixed.NUTRIENTS)
 
 
+def build_report(food: DataFrame, foods: DataFrame) -> DataFrame:
+    """How many source foods there are, and how many of them were inserted and skipped."""
+    inserted = foods.agg(F.count("*").alias("inserted"))
+    return food.agg(F.count("*").alias("total")).crossJoin(inserted).select("total", "inserted", (F.col("total") - F.col("inserted")).alias("skipped"))
+
+
+def distinct_categories(foods: DataFrame) -> DataFrame:
+    """The number of categories that are not blank."""
+    return foods.agg(F.countDistinct(F.when(F.trim("category") != "", F.col("category"))).alias("n_categories"))
+
+
 def category_breakdown(foods: DataFrame, k: int = 15) -> DataFrame:
+    """The ``k`` most frequent categories that are not blank; equals by name."""
     return foods.where(F.trim("category") != "").groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(k)
 
 
@@ -103,6 +115,21 @@ def quality_report(products: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2))
 
 
+def quality_totals(products: DataFrame) -> DataFrame:
+    """One row: all rows, junk by class (name, quantity, language), deleted, their share in per cent to one decimal, and remaining."""
+    name, quantity = F.col("product_name"), F.col("quantity")
+    by_name = junk_name_reason(name).isNotNull()
+    by_quantity = ~by_name & junk_quantity_reason(quantity).isNotNull()
+    counts = products.agg(
+        F.count("*").alias("total"), F.count_if(by_name).alias("junk_name"), F.count_if(by_quantity).alias("junk_quantity"),
+        F.count_if(junk_reason(name, quantity).isNotNull()).alias("deleted"),
+    )
+    return counts.select(
+        "total", "junk_name", "junk_quantity", (F.col("deleted") - F.col("junk_name") - F.col("junk_quantity")).alias("non_english"), "deleted",
+        F.round(F.try_divide(F.col("deleted") * 100.0, "total"), 1).alias("pct_deleted"), (F.col("total") - F.col("deleted")).alias("remaining"),
+    )
+
+
 def drop_junk(products: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, dropped): good rows, and junk rows with their reason."""
     marked = products.withColumn("reason", junk_reason(F.col("product_name"), F.col("quantity")))
@@ -112,13 +139,16 @@ def drop_junk(products: DataFrame) -> tuple[DataFrame, DataFrame]:
 def category_medians(products: DataFrame, min_n: int = 5) -> DataFrame:
     """Nearest-rank quantiles of grams per simple category: index n/4, n/2 and 3n/4 from 0, of categories with ``min_n`` weights.
 
-    A product counts once for each of its tags, so twice where two tags have one name.
+    A product counts once for each of its tags, so twice where two tags have one name. Equal weights are counted
+    first, so that a category with a third of all rows sends one row a weight, not one a product, to its window.
     """
     names = products.sparkSession.createDataFrame(list(fixed.TAG_NAMES.items()), "tag string, name string")
     rows = products.select(F.explode(F.split("categories", ",")).alias("tag"), parse_grams(F.col("quantity")).alias("grams"))
     rows = rows.where(F.col("grams").isNotNull()).select(F.trim("tag").alias("tag"), "grams").join(F.broadcast(names), "tag")
-    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy("grams")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("name")))
-    pick = lambda rank: F.max(F.when(F.col("at") == F.expr(rank), F.col("grams")))
+    counts = rows.groupBy("name", "grams").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy("name").orderBy("grams").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy("name"))})
+    pick = lambda rank: F.min(F.when(F.col("upto") > F.expr(rank), F.col("grams")))
     out = ranked.where(F.col("n") >= min_n).groupBy("name", "n").agg(pick("n div 4").alias("p25_g"), pick("n div 2").alias("median_g"), pick("3 * n div 4").alias("p75_g"))
     unit = best_unit(F.col("median_g"))
     return out.select("name", unit["value"].alias("value"), unit["unit"].alias("unit"), F.col("n").alias("sample_count"), "p25_g", "median_g", "p75_g")

@@ -55,9 +55,13 @@ def _priority(text: Column, table: dict[str, str]) -> Column:
 
 
 def detect_store(rows: DataFrame) -> DataFrame:
-    """Per receipt the display name of the first keyword, in table order, in the whole text in capitals."""
-    ranked = [F.when(F.upper("text").contains(k), F.struct(F.lit(i).alias("ord"), F.lit(v).alias("store"))) for i, (k, v) in enumerate(fixed.STORES.items())]
-    return rows.groupBy(KEY).agg(F.min(F.coalesce(*ranked)).alias("first")).select(KEY, F.col("first.store").alias("store"))
+    """Per receipt the display name of the first keyword, in table order, in the whole text in capitals.
+
+    The lines of a receipt, one small group, are joined by blanks first, as a keyword may go over two lines.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(ORDER, "text")))
+    whole = rows.groupBy(KEY).agg(F.upper(F.array_join(F.transform(ordered, lambda x: x["text"]), " ")).alias("whole"))
+    return whole.select(KEY, _priority(F.col("whole"), fixed.STORES).alias("store"))
 
 
 def receipt_date(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from ..functions import fixed, weights
 from ..functions.lines import strip_codes
 
 NUTRIENTS = fixed.NUTRIENTS
+#: Names of a gram that meet its terms at once.
+PART = 10_000
 
 
 def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
@@ -24,17 +26,22 @@ def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
 def contains_join(terms: DataFrame, names: DataFrame, term: str = "term", name: str = "name") -> DataFrame:
     """Pairs of distinct terms and names that hold them, exactly as a nested loop would find them.
 
-    Each name is indexed under its distinct substrings of one to three letters; each term asks only under its
-    rarest one, of three letters or of its own length, and the pairs are tested. Blank terms match nothing here.
+    Each name is indexed under its distinct substrings of one to three letters that any term asks for; each term asks
+    only under its rarest one, of three letters or of its own length, and the pairs are tested. What a gram has more than
+    PART names is split into parts that its terms meet one by one, so no task gets all of a common gram. Blank terms match
+    nothing here.
     """
     index = names.select(name).distinct().select(name, F.explode(_grams(F.col(name), (1, 2, 3))).alias("gram"))
     asked = terms.where(F.char_length(term) > 0).select(term).distinct()
     asked = asked.select(term, F.explode(F.when(F.char_length(term) < 3, F.array(F.col(term))).otherwise(_grams(F.col(term), (3,)))).alias("gram"))
+    index = index.join(asked.select("gram").distinct(), "gram", "left_semi")
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no name has rules a term out, so it counts as the rarest
     rarest = asked.join(often, "gram", "left").groupBy(term).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rarest = rarest.where("least.n > 0").select(term, F.col("least.gram").alias("gram"))
-    return rarest.join(index, "gram").where(F.col(name).contains(F.col(term))).select(term, name)
+    rarest = rarest.where("least.n > 0").select(term, F.col("least.gram").alias("gram"), F.expr(f"least.n div {PART}").alias("more"))
+    rarest = rarest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "more"))).drop("more")
+    parts = index.join(often, "gram").select("gram", name, F.expr(f"pmod(xxhash64({name}), 1 + n div {PART})").alias("part"))
+    return rarest.join(parts, ["gram", "part"]).where(F.col(name).contains(F.col(term))).select(term, name)
 
 
 def _words(text: Column) -> Column:
@@ -166,7 +173,14 @@ def fuzzy_accept(best: DataFrame, name: str = "name") -> DataFrame:
     good = (F.size(intruding) == 0) & (F.size(other) <= F.size(own) + 3) & (alpha(other) >= alpha(own) - 1) & ~F.col("product_name").rlike(r"^\d+%?\s")
     text = F.trim("product_name")
     short = F.when(F.char_length(text) > 50, F.array_join(F.slice(_words(text), 1, 5), " ")).otherwise(text)
-    return best.where(good).select(name, F.initcap(short).alias("better"), "score")
+    return best.where(good).select(name, titled(short).alias("better"), "score")
+
+
+def titled(text: Column) -> Column:
+    """Each letter that follows no letter in upper case, all others in lower case: "Ben & Jerry's" is "Ben & Jerry'S"."""
+    chars = F.split(F.lower(text), "")
+    upper = lambda c, i: F.when((i == 0) | ~F.coalesce(F.get(chars, i - 1), F.lit("")).rlike(r"\p{L}"), F.upper(c)).otherwise(c)
+    return F.array_join(F.transform(chars, upper), "")
 
 
 def category_default(name: Column) -> Column:

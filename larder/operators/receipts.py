@@ -113,4 +113,7 @@ def user_profile(receipts: DataFrame, key: str, date: str, before: DataFrame | N
 
 
 def run_summary(log: DataFrame) -> DataFrame:
-    return log.groupBy("success").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(~F.col("success"), F.col("base_name")))).alias("failed"))
+    """Rows (success, n, failed): a row of counts for each outcome, failed null, and a row for each failed name, n null."""
+    counts = log.groupBy("success").agg(F.count("*").alias("n")).withColumn("failed", F.lit(None).cast("string"))
+    names = log.where(~F.col("success")).select("success", F.lit(None).cast("long").alias("n"), F.col("base_name").alias("failed"))
+    return counts.unionByName(names)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Advice by nutrient, in order
+#: Advice by nutrient, in the order in which it is given; the last advice is to keep on with the most regular signal.
 ACTIONS = {
-    "fiber_g": "Add more fiber: Buy brown rice, oats, or legumes",
-    "calories": "Increase calories: Add healthy fats (avocado, nuts, olive oil)",
-    "carbs_g": "Boost carbs: Whole grains, fruits, and starchy vegetables",
-    "fat_g": "Healthy fats: Nuts, seeds, avocado, fatty fish",
+    "fiber_g": "fiber is low: eat beans, lentils or wholemeal bread",
+    "calories": "energy is low: eat larger meals, with oil or nut butter",
+    "carbs_g": "carbohydrates are low: eat potatoes, pasta or fruit",
+    "fat_g": "fat is low: eat oily fish, seeds or nuts",
 }
+KEEP_ON = "keep on buying regularly: "
 
 
 def item_frequency(items: DataFrame, key: str, name: str, order: str) -> DataFrame:
@@ -68,7 +69,8 @@ def target_percent(intake: DataFrame, key: str) -> DataFrame:
 
 def insights(intake: DataFrame, regularity: DataFrame, key: str, least: float = 80.0) -> DataFrame:
     """Rows (key, section, name, value): nutrients good and low at ``least`` per cent of their target, the gap of the
-    low ones, the most and the least regular signal, and the actions for low nutrients in order."""
+    low ones, the most and the least regular signal, and the actions for low nutrients in order, the last of
+    which is to keep on with the most regular signal."""
     pct = F.col("avg") / F.col("target") * 100
     good = intake.where(pct >= least).select(key, F.lit("good").alias("section"), F.col("nutrient").alias("name"), pct.alias("value"))
     low = intake.where(pct < least)
@@ -80,7 +82,19 @@ def insights(intake: DataFrame, regularity: DataFrame, key: str, least: float =
     last = F.max("rank").over(Window.partitionBy(key))
     ends = regularity.withColumn("last", last).where((F.col("rank") == 1) | (F.col("rank") == F.col("last")))
     ends = ends.select(key, F.when(F.col("rank") == 1, "most_regular").otherwise("least_regular").alias("section"), F.col("signal").alias("name"), F.col("weekly_ratio").alias("value"))
-    return good.unionByName(gaps).unionByName(acts).unionByName(ends)
+    many = acts.groupBy(key).agg(F.count("*").alias("k"))
+    keep = ends.where("section = 'most_regular'").join(many, key, "left")
+    keep = keep.select(key, F.lit("action").alias("section"), F.concat(F.lit(KEEP_ON), "name").alias("name"), (F.coalesce("k", F.lit(0)) + 1).cast("double").alias("value"))
+    return good.unionByName(gaps).unionByName(acts).unionByName(ends).unionByName(keep)
+
+
+def purchase_insights(items: DataFrame, stores: DataFrame, spent: DataFrame, key: str, name: str, store: str) -> DataFrame:
+    """Rows (key, section, name, value) from item_frequency, store_visits and spending: the most bought item and the most
+    visited store with their numbers, the total spent and per receipt, to four decimals."""
+    top = items.where("rank = 1").select(key, F.lit("top_item").alias("section"), F.col(name).alias("name"), F.col("n").cast("double").alias("value"))
+    shop = stores.where("rank = 1").select(key, F.lit("top_store").alias("section"), F.col(store).alias("name"), F.col("visits").cast("double").alias("value"))
+    money = [spent.select(key, F.lit("spending").alias("section"), F.lit(n).alias("name"), F.round(c, 4).alias("value")) for n, c in (("total", "total_spending"), ("per_receipt", "per_receipt"))]
+    return top.unionByName(shop).unionByName(money[0]).unionByName(money[1])
 
 
 def item_report(items: DataFrame) -> DataFrame:

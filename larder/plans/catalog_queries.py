@@ -110,6 +110,22 @@ def cat14(spark, sf):
     return cat.sample_where(view(spark, sf, "products"), F.col("brands").contains("#2"), "code").select("code", "product_name")
 
 
+@query("cat5_sample_by_brand", "SELECT code, product_name, brands FROM {products} WHERE contains(brands, '#2') ORDER BY code LIMIT 5")
+def cat5_sample(spark, sf):
+    """The report feature of a sample of five products of a brand."""
+    return cat.sample_where(view(spark, sf, "products"), F.col("brands").contains("#2"), "code").select("code", "product_name", "brands")
+
+
+@query("cat10_build_report", f"SELECT t AS total, i AS inserted, t - i AS skipped FROM (SELECT count(*) AS t FROM {{food}}), (SELECT count(*) AS i FROM ({_FOODS}))")
+def cat10_report(spark, sf):
+    return cat.build_report(view(spark, sf, "food"), cat10(spark, sf))
+
+
+@query("cat11_distinct_categories", f"SELECT count(DISTINCT category) FILTER (trim(category) <> '') AS n_categories FROM ({_FOODS})")
+def cat11_distinct(spark, sf):
+    return cat.distinct_categories(cat10(spark, sf))
+
+
 _N = "trim(product_name)"
 _NAME_REASON = rf"""CASE WHEN product_name IS NULL OR {_N} = '' THEN 'empty_name' WHEN length({_N}) <= 2 THEN 'too_short' WHEN regexp_matches({_N}, '^\d+%?\s') THEN 'starts_with_number' WHEN regexp_matches({_N}, '^[\d\-.]+$') THEN 'pure_number'
  {" ".join(f"WHEN regexp_matches({_N}, '{p}') THEN '{s}'" for s, p in quality.SCRIPTS.items())} END"""
@@ -146,6 +162,15 @@ def dq5(spark, sf):
     return cat.quality_report(view(spark, sf, "names"))
 
 
+@query(
+    "dq5_quality_totals",
+    f"""SELECT total, junk_name, junk_quantity, deleted - junk_name - junk_quantity AS non_english, deleted, round(deleted * 100.0 / total, 1)::DOUBLE AS pct_deleted, total - deleted AS remaining FROM (
+ SELECT count(*) AS total, count({_NAME_REASON}) AS junk_name, count(*) FILTER (({_NAME_REASON}) IS NULL AND ({_Q_REASON}) IS NOT NULL) AS junk_quantity, count({_REASON}) AS deleted FROM {{names}})""",
+)
+def dq5_totals(spark, sf):
+    return cat.quality_totals(view(spark, sf, "names"))
+
+
 @query("dq6_drop_junk", f"SELECT code, product_name FROM {{names}} WHERE {_REASON} IS NULL")
 def dq6(spark, sf):
     return cat.drop_junk(view(spark, sf, "names"))[0].select("code", "product_name")

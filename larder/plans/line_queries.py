@@ -120,10 +120,12 @@ _P1 = _q(lines.ONE_PRICE)
 
 @query(
     "ln11_receipt_totals",
-    f"""SELECT receipt_id, arg_max(replace(regexp_extract(text, {_P1}, 1), ',', '.'), line_no) FILTER (contains(upper(text), 'SUBTOTAL') AND {_m('text', lines.ONE_PRICE)}) AS subtotal,
- arg_max(replace(regexp_extract_all(text, {_P1}, 1)[-1], ',', '.'), line_no) FILTER (regexp_matches(upper(text), '\\bTAX\\b') AND {_m('text', lines.ONE_PRICE)}) AS tax,
- arg_max(replace(regexp_extract(text, {_P1}, 1), ',', '.'), line_no) FILTER (starts_with(upper(text), 'TOTAL') AND {_m('text', lines.ONE_PRICE)}) AS total
-FROM {{receipt_lines}} WHERE line_no >= 900 GROUP BY receipt_id""",
+    f"""WITH {_LABELLED}, u AS (SELECT *, upper(text) AS t, {_m('text', lines.ONE_PRICE)} AS priced FROM lab WHERE label IN ('noise', 'metadata', 'discount')),
+k AS (SELECT *, CASE WHEN contains(t, 'SUBTOTAL') AND NOT contains(t, 'PACKAGE') THEN 's' WHEN regexp_matches(t, '\\bTAX\\b') THEN 'x'
+  WHEN contains(t, 'TOTAL') AND NOT regexp_matches(t, 'SUB|PACKAGE|SAVINGS') THEN 't' END AS kind FROM u)
+SELECT receipt_id, arg_max(replace(regexp_extract(text, {_P1}, 1), ',', '.'), line_no) FILTER (kind = 's' AND priced) AS subtotal,
+ arg_max(replace(regexp_extract_all(text, {_P1}, 1)[-1], ',', '.'), line_no) FILTER (kind = 'x' AND priced) AS tax,
+ arg_max(replace(regexp_extract(text, {_P1}, 1), ',', '.'), line_no) FILTER (kind = 't' AND priced) AS total FROM k GROUP BY receipt_id""",
 )
 def ln11(spark, sf):
     return ln.receipt_totals(ln.labelled(_rows(spark, sf)).withColumn("label", effective_label(F.lit(""), F.col("label"))))
@@ -180,7 +182,7 @@ _QTY = _q(r"(?i)^\s*(\d+)\s*(EA|EACH|PC|PCS|DZ|DOZ|DOZEN)?\b")
 _QTY_OF = lambda t: f"coalesce(try_cast(nullif(regexp_extract({t}, {_QTY}, 1), '') AS INT) * CASE WHEN upper(regexp_extract({t}, {_QTY}, 2)) IN ('DZ', 'DOZ', 'DOZEN') THEN 12 ELSE 1 END, 1)::INT"
 
 
-@query("ln16_parse_qty", f"SELECT receipt_id, line_no, {_QTY_OF('text')} AS qty FROM {{receipt_lines}} WHERE line_no % 10 = 1")
+@query("ln16_parse_qty", f"SELECT receipt_id, line_no, {_QTY_OF('text')} AS qty FROM {{receipt_lines}}")
 def ln16(spark, sf):
     return _rows(spark, sf).select("receipt_id", "line_no", lines.parse_qty(F.col("text")).alias("qty"))
 
@@ -201,7 +203,7 @@ def ln17(spark, sf):
 
 
 # turns of a conversation as names and prices on lines of their own
-_TURNS = "SELECT conv_id AS receipt_id, CAST(turn AS INT) AS line_no, CASE WHEN length(text) % 5 = 0 THEN 'S' WHEN length(text) % 11 = 0 THEN 'X' WHEN length(text) % 7 = 0 THEN 'I' WHEN length(text) % 2 = 0 THEN 'P' ELSE 'N' END AS kind, substr(text, 1, 12) AS n, length(text) / CAST(4 AS DOUBLE) AS p FROM {conversations}"
+_TURNS = "SELECT conv_id AS receipt_id, CAST(turn AS INT) AS line_no, CASE WHEN length(text) % 5 = 0 THEN 'S' WHEN length(text) % 11 = 0 THEN 'X' WHEN length(text) % 7 = 0 THEN 'I' WHEN length(text) % 2 = 0 THEN 'P' ELSE 'N' END AS kind, text AS n, length(text) / CAST(4 AS DOUBLE) AS p FROM {conversations}"
 
 
 @query(
@@ -214,7 +216,7 @@ r AS (SELECT receipt_id, i, line_no, CASE WHEN kind = 'N' THEN n END AS pn, CASE
 SELECT receipt_id, line_no, name, price FROM r WHERE name IS NOT NULL""",
 )
 def ln18(spark, sf):
-    turns = spark.sql(_TURNS.replace("substr(text, 1, 12)", "text"), conversations=view(spark, sf, "conversations"))
+    turns = spark.sql(_TURNS, conversations=view(spark, sf, "conversations"))
     name, price = F.when(F.col("kind").isin("N", "I"), F.col("n")), F.when(F.col("kind").isin("P", "I"), F.col("p"))
     return ln.pair_name_price(turns.withColumns({"name": name, "price": price}))
 

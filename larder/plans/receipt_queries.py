@@ -104,10 +104,14 @@ def ag17(spark, sf):
     return rc.user_profile(view(spark, sf, "receipts"), "user_id", "date", before)
 
 
-@query("ag18_run_summary", "SELECT success, n, CASE WHEN success THEN '' ELSE f END AS failed FROM (SELECT o_orderkey % 97 <> 0 AS success, count(*) AS n, string_agg(concat('r', o_orderkey), ',' ORDER BY concat('r', o_orderkey)) AS f FROM {orders} GROUP BY 1)")
+@query(
+    "ag18_run_summary",
+    """SELECT o_orderkey % 97 <> 0 AS success, count(*) AS n, NULL::VARCHAR AS failed FROM {orders} GROUP BY 1
+UNION ALL SELECT false, NULL, concat('r', o_orderkey) FROM {orders} WHERE o_orderkey % 97 = 0""",
+)
 def ag18(spark, sf):
     log = view(spark, sf, "orders").select((F.col("o_orderkey") % 97 != 0).alias("success"), F.concat(F.lit("r"), "o_orderkey").alias("base_name"))
-    return rc.run_summary(log).withColumn("failed", F.array_join("failed", ","))
+    return rc.run_summary(log)
 
 
 def _bought(spark, sf):
@@ -172,10 +176,11 @@ _ACT = " UNION ALL ".join(f"SELECT '{n}' AS nutrient, {i} AS o, {_q(t)} AS advic
 @query(
     "rp10_insights",
     f"""WITH {sq._BINS.replace(sq._DAILY, sq._DETECT)}, reg AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weekly_ratio, 9) DESC, signal) AS rank, count(*) OVER (PARTITION BY user_id) AS last FROM strength),
-low AS (SELECT * FROM intake WHERE avg / target * 100 < 80)
+low AS (SELECT * FROM intake WHERE avg / target * 100 < 80), n_acts AS (SELECT user_id, count(*) FILTER (nutrient IN (SELECT nutrient FROM ({_ACT}))) AS k FROM low GROUP BY user_id)
 SELECT user_id, 'good' AS section, nutrient AS name, round(avg / target * 100, 6) AS value FROM intake WHERE avg / target * 100 >= 80
 UNION ALL SELECT user_id, 'improve', nutrient, round(target - avg, 6) FROM low
 UNION ALL SELECT user_id, 'action', advice, row_number() OVER (PARTITION BY user_id ORDER BY o) FROM low JOIN ({_ACT}) USING (nutrient)
+UNION ALL SELECT user_id, 'action', concat('{rp.KEEP_ON}', signal), coalesce(k, 0) + 1 FROM reg LEFT JOIN n_acts USING (user_id) WHERE rank = 1
 UNION ALL SELECT user_id, CASE WHEN rank = 1 THEN 'most_regular' ELSE 'least_regular' END, signal, round(weekly_ratio, 6) FROM reg WHERE rank = 1 OR rank = last""",
 )
 def rp10(spark, sf):
@@ -184,6 +189,21 @@ def rp10(spark, sf):
     return rp.insights(intake, reg, "user_id").withColumn("value", F.round("value", 6))
 
 
+_FREQUENT = f"SELECT user_id, name, count(*) AS n, min(seen) AS first_seen FROM ({_BOUGHT}) GROUP BY user_id, name"
+
+
+@query(
+    "rp10_purchase_insights",
+    f"""SELECT user_id, 'top_item' AS section, name, n::DOUBLE AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first_seen, name) AS rank FROM ({_FREQUENT})) WHERE rank = 1
+UNION ALL SELECT user_id, 'top_store', store, visits::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY visits DESC, store) AS rank
+  FROM (SELECT user_id, trim(store) AS store, count(*) AS visits FROM {{receipts}} WHERE trim(store) <> '' GROUP BY 1, 2)) WHERE rank = 1
+UNION ALL SELECT user_id, 'spending', 'total', round(sum(coalesce(total_price, 0)), 4) FROM {{receipts}} GROUP BY user_id
+UNION ALL SELECT user_id, 'spending', 'per_receipt', round(sum(coalesce(total_price, 0)) / count(*), 4) FROM {{receipts}} GROUP BY user_id""",
+)
+def rp10_purchases(spark, sf):
+    return rp.purchase_insights(rp1(spark, sf), rp4(spark, sf), rp.spending(view(spark, sf, "receipts"), "user_id", "total_price"), "user_id", "name", "store")
+
+
 @query("rp11_item_report", "SELECT receipt_no, pos, CASE WHEN pos % 2 = 0 THEN upper(name) ELSE name END AS name, coalesce(qty, 1) AS qty, pos % 2 = 0 AND upper(name) <> name AS renamed FROM {receipt_items}")
 def rp11(spark, sf):
     items = view(spark, sf, "receipt_items").select("receipt_no", "pos", "name", "qty", F.when(F.col("pos") % 2 == 0, F.upper("name")).otherwise("").alias("resolved_name"))

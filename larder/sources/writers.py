@@ -16,6 +16,7 @@ def write_signal(df: DataFrame, path: str, key: str | None = None, kind: str = "
 
 
 def write_history(df: DataFrame, path: str) -> None:
+    """A receipt on each line, so that a large history is written and read in parts."""
     df.write.mode("overwrite").json(path)
 
 

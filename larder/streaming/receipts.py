@@ -11,7 +11,7 @@ from ..sources.readers import RECEIPT
 
 
 def receipt_stream(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.readStream.schema(RECEIPT).option("multiLine", True).json(folder)
+    rows = spark.readStream.schema(RECEIPT + ", _corrupt_record string").option("multiLine", True).json(folder)
     return rows.withColumn("source_file", F.col("_metadata.file_path")).where("_corrupt_record is null").drop("_corrupt_record")
 
 
@@ -19,7 +19,7 @@ def append_receipts(spark: SparkSession, folder: str, table: str, checkpoint: st
     """Normalised receipts of new files in ``folder`` to the Parquet table; a batch that runs again adds nothing twice."""
 
     def add(batch: DataFrame, _: int) -> None:
-        new = normalize_receipts(batch).dropDuplicates(["source_file"])
+        new = normalize_receipts(batch)  # a stream gives each file once, whose array may hold several receipts
         try:
             done = spark.read.schema(new.schema).parquet(table)
         except Exception as e:  # noqa: BLE001  the table is not there before the first batch

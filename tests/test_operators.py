@@ -120,6 +120,43 @@ def test_sections_carry_forward(spark):
     assert [r.section for r in lines.active_section(df, exact=True).orderBy("line_no").collect()][3:] == ["HOME", "HOME"]
 
 
+def test_store_over_two_lines(spark):
+    text = {1: ["WHOLE", "FOODS MARKET"], 2: ["my shop", "MILK 3.99"], 3: ["thanks for", "shopping at walmart"]}
+    df = spark.createDataFrame([(r, i, t) for r, ts in text.items() for i, t in enumerate(ts)], "receipt_id int, line_no int, text string")
+    got = {r.receipt_id: r.store for r in lines.detect_store(df).collect()}
+    assert got[1] is not None and got[2] is None and got[3] is not None and got[1] != got[3]
+
+
+def test_rows_are_split_at_wide_gaps(spark):
+    f = [(1, 10.0, 0.0, "WHOLE", 0.9), (1, 10.5, 50.0, "MILK", 0.9), (1, 16.0, 0.0, "OATS", 0.9), (1, 16.5, 50.0, "BREAD", 0.9), (1, 200.0, 0.0, "END", 0.9)]
+    df = spark.createDataFrame(f, "receipt_id int, y double, x double, text string, conf double")
+    rows = fragments.split_rows(df.select("receipt_id", F.when(F.col("y") < 100, 0).otherwise(1).alias("row_no"), "y", "x", "text"))
+    assert sorted((r.row_no, r.part, r.text) for r in rows.collect()) == [(0, 0, "MILK"), (0, 0, "WHOLE"), (0, 1, "BREAD"), (0, 1, "OATS"), (1, 0, "END")]
+
+
+def test_capitals_as_in_titles(spark):
+    names = ["Ben & Jerry's", "7-Up light", "OAT MILK", "crème brûlée", "a1b c"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "t string").select(lookup.titled(F.col("t"))).collect()]
+    assert got == [n.title() for n in names]
+
+
+def test_hot_gram_is_split(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "PART", 3)
+    names = [f"milk {i}" for i in range(20)] + ["bread", "oat milk"]
+    n, t = spark.createDataFrame([(x,) for x in names], "name string"), spark.createDataFrame([("milk",), ("mil",), ("bread",)], "term string")
+    got = sorted((r.term, r.name) for r in lookup.contains_join(t, n).collect())
+    assert got == sorted((a, b) for a in ("milk", "mil", "bread") for b in names if a in b)
+
+
+def test_purchase_insights(spark):
+    items = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (1, "b", 3)], "user_id int, name string, ord int")
+    receipts_ = spark.createDataFrame([(1, " X ", 2.0), (1, "X", None), (1, "Y", 3.5)], "user_id int, store string, total double")
+    found = report.purchase_insights(
+        report.item_frequency(items, "user_id", "name", "ord"), report.store_visits(receipts_, "user_id", "store"), report.spending(receipts_, "user_id", "total"), "user_id", "name", "store"
+    )
+    assert {(r.section, r.name): r.value for r in found.collect()} == {("top_item", "b"): 2.0, ("top_store", "X"): 2.0, ("spending", "total"): 5.5, ("spending", "per_receipt"): 1.8333}
+
+
 def test_fragments(spark):
     f = [(1, 10.0, 0.0, "MILK", 0.9), (1, 11.0, 90.0, "3.99", 0.9), (1, 12.0, 5.0, "MILK", 0.95), (1, 40.0, 0.0, "BREAD", 0.9), (1, 41.0, 80.0, "2.00", 0.3)]
     df = spark.createDataFrame(f, "receipt_id int, y double, x double, text string, conf double")
@@ -157,6 +194,14 @@ def test_report_tables(spark):
     assert empty.count() == 0
 
 
+def test_boosted_line_classifier(spark):
+    rows = [(1, i, i / 60, t, lab) for i, (t, lab) in enumerate([("MILK 3.99", "item"), ("TOTAL 9.00", "noise"), ("2 EA @ 1.00", "qty")] * 20)]
+    df = spark.createDataFrame(rows, "receipt_id int, line_no int, line_pos double, text string, label string")
+    model = classify.train_line_classifier(df, kind="gbt", trees=3, depth=2)
+    out = classify.classify_lines(model, df)
+    assert out.where("label = predicted").count() == 60 and out.where("confidence between 0 and 1").count() == 60
+
+
 def test_line_classifier(spark):
     rows = [(1, i, i / 200, t, lab) for i, (t, lab) in enumerate([("MILK 3.99", "item"), ("TOTAL 9.00", "noise"), ("2 EA @ 1.00", "qty")] * 60)]
     df = spark.createDataFrame(rows, "receipt_id int, line_no int, line_pos double, text string, label string")
