@@ -247,7 +247,18 @@ def ln21(spark, sf):
     return ln.merge_duplicates(view(spark, sf, "receipt_items").select("receipt_no", "pos", "name", "qty", "line_price"), "receipt_no", "pos")
 
 
-@query("ln22_resolve_name")
+_MAP = lambda table: "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in table.items()) + "}"
+_PARTS = lambda t: rf"list_filter(string_split_regex({t}, '\s+'), lambda w: w <> '')"
+_RESOLVED = rf"""WITH a AS (SELECT receipt_id, line_no, regexp_replace(regexp_replace(trim(text), '(?i)(\d+(?:\.\d+)?)\s*o\b', '\1oz', 'g'), '\s+\d+\.\s*$', '', 'g') AS t FROM {{receipt_lines}}),
+b AS (SELECT *, regexp_matches(t, '[''’][sS]$') AS owned, regexp_replace(regexp_replace(t, '[''’][sS]$', ''), '([a-z])([A-Z])', '\1 \2', 'g') AS u FROM a),
+c AS (SELECT *, list_transform({_PARTS("u")}, lambda w: coalesce(map_extract({_MAP(fixed.MISSPELLINGS)}, upper(w))[1], w)) AS mended FROM b),
+d AS (SELECT *, array_to_string(list_transform(mended, lambda w: coalesce(map_extract({_MAP(fixed.ABBREVIATIONS)}, regexp_replace(upper(w), '^[''".,;:]+|[''".,;:]+$', '', 'g'))[1], w)), ' ') AS spelled FROM c),
+e AS (SELECT *, CASE WHEN owned AND NOT ends_with(spelled, 's') THEN concat(spelled, 's') ELSE spelled END AS whole FROM d)
+SELECT receipt_id, line_no, array_to_string(list_transform({_PARTS("whole")}, lambda w: CASE WHEN regexp_matches(w, '^\d') THEN w
+  WHEN upper(w) IN ({", ".join(_q(k) for k in fixed.KEPT_UPPER)}) THEN upper(w) ELSE concat(upper(w[1]), lower(w[2:])) END), ' ') AS resolved_name FROM e"""
+
+
+@query("ln22_resolve_name", _RESOLVED)
 def ln22(spark, sf):
     return _rows(spark, sf).select("receipt_id", "line_no", lines.resolve_name(F.col("text")).alias("resolved_name"))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, weights
+from ..functions import fixed, lines, weights
 from ..operators import lookup as lk
+from .line_queries import _cleaned
 from .registry import query
 from .views import view
 
@@ -46,7 +47,20 @@ def lk7(spark, sf):
     return lk.lookup_foods(view(spark, sf, "searches"), view(spark, sf, "products"), "name", "code").select("name", "tier", "code")
 
 
-@query("lk8_fuzzy_candidates")
+_CLEANED = _cleaned("trim(name)", lines.NAME_STRIPS[4:16])
+_GENERIC = ", ".join(_q(w) for w in fixed.GENERIC_WORDS)
+
+
+@query(
+    "lk8_fuzzy_candidates",
+    rf"""WITH a AS (SELECT DISTINCT name, {_CLEANED} AS query FROM {{searches}}),
+w AS (SELECT name, query, list_transform(list_filter(string_split_regex(regexp_replace(query, '[^a-zA-Z ]', ' ', 'g'), '\s+'),
+  lambda x: length(x) >= 3 AND NOT list_contains([{_GENERIC}], lower(x)))[1:3], lambda x: lower(x)) AS words FROM a),
+p AS (SELECT product_name, lower(product_name) AS found, min(code) AS code FROM {{products}} WHERE product_name IS NOT NULL GROUP BY product_name),
+h AS (SELECT name, query, code, product_name, contains(found, words[1]) AS first_,
+  len(list_filter(list_distinct(words), lambda x: contains(found, x))) = len(list_distinct(words)) AS full_ FROM w JOIN p ON len(words) > 0)
+SELECT name, query, code, product_name FROM (SELECT *, max(full_::INT) OVER (PARTITION BY name) AS some_ FROM h WHERE full_ OR first_) WHERE full_ OR (some_ = 0 AND first_)""",
+)
 def lk8(spark, sf):
     return lk.fuzzy_candidates(view(spark, sf, "searches"), view(spark, sf, "products"))
 
