@@ -17,6 +17,7 @@ from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import THRESHOLD, score_quality, train_quality
 from .shared import documents, word_count, written
+from .sharding import SEED as SHARD_SEED
 from .sharding import shard_rows
 
 
@@ -87,7 +88,61 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+def _nibble_table() -> str:
+    """The 16 steps of the checksum of reversed polynomial 0xEDB88320 over half a byte, as an SQL list."""
+    table = list(range(16))
+    for _ in range(4):
+        table = [(c >> 1) ^ (0xEDB88320 * (c & 1)) for c in table]
+    return f"({table}::BIGINT[])"
+
+
+_HALF = f"xor(xor(c, x) >> 4, {_nibble_table()}[(xor(c, x) & 15) + 1])"
+
 ORACLE_SQL = {
+    "op5_shard_interleave": f"""
+WITH b AS (
+  SELECT doc_id, source, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+  FROM documents),
+d AS (
+  SELECT doc_id, coalesce('s' || source, 'n') AS stratum, (len(bytes) + 8)::BIGINT AS size, md5('{SHARD_SEED}:' || coalesce(doc_id::VARCHAR, '')) AS k,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes),
+           lambda c, x: xor({_HALF} >> 4, {_nibble_table()}[({_HALF} & 15) + 1]))) AS text_crc32
+  FROM b),
+r AS (
+  SELECT *, (2 * row_number() OVER (PARTITION BY stratum ORDER BY k, size, text_crc32) - 1)::DOUBLE
+         / (2 * count(*) OVER (PARTITION BY stratum))::DOUBLE AS share
+  FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY share, stratum) - 1 AS place, count(*) OVER () AS rows_ FROM r),
+h AS (SELECT *, place * 24 // rows_ AS shard_ FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard_::INTEGER AS shard, (place - (shard_ * rows_ + 23) // 24)::BIGINT AS slot,
+       NULL::INTEGER AS grown_shard
+FROM h""",
+    # all pairs that share a shingle, by an inverted list; equal sets are one node
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN coalesce(len(words), 0) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+         ELSE list_sort(list_distinct(list_transform(list_zip(words, words[2:], words[3:], words[4:], words[5:], true),
+              lambda x: concat_ws(' ', x[1], x[2], x[3], x[4], x[5])))) END AS shingles
+  FROM w),
+k AS (SELECT doc_id, len(shingles)::BIGINT AS n, md5(array_to_string(shingles, chr(10))) AS same, shingles FROM s),
+g AS (
+  SELECT same, min(doc_id) AS node, any_value(n) AS n, any_value(shingles) AS shingles
+  FROM k WHERE n > 0 AND doc_id IS NOT NULL GROUP BY same),
+f AS (SELECT node, n, unnest(shingles) AS shingle FROM g),
+l AS (
+  SELECT a.node AS a, b.node AS b
+  FROM f a JOIN f b ON a.shingle = b.shingle AND a.node < b.node AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT node, node AS reached FROM g UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT node, min(reached) AS comp FROM r GROUP BY node),
+o AS (
+  SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.n > 0 AND k.doc_id IS NOT NULL THEN c.comp ELSE k.doc_id END AS component_id
+  FROM k LEFT JOIN g ON k.same = g.same AND k.n > 0 LEFT JOIN c ON g.node = c.node)
+SELECT doc_id, n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM o""",
     "op1_mix_sources": rf"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -109,6 +109,55 @@ def test_fingerprints_match_brute_force(spark, nasty, empty):
     assert len(equal) == 1
 
 
+_M64 = (1 << 64) - 1
+
+
+def _scramble(x: int) -> int:
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M64
+    return x ^ x >> 31
+
+
+def _plain_order_minhash(text: str) -> list[int]:
+    """Slot by slot over a list of (k-mer, occurrence), in plain integers."""
+    if not text:
+        return [0] * fingerprints.SLOTS
+    k = min(fingerprints.K, len(text))
+    seen: dict[str, int] = defaultdict(int)
+    found = []
+    for i in range(len(text) - k + 1):
+        kmer = text[i : i + k]
+        code = 0
+        for c in kmer:
+            code = (code * 0x100000001B3 + ord(c)) & _M64
+        code = _scramble(code)
+        found.append((code, _scramble(code + seen[kmer] * 0x9E3779B97F4A7C15 & _M64) if len(text) > k else code))
+        seen[kmer] += 1
+    slots = []
+    for odd in fingerprints._ODD.tolist():
+        least = sorted(range(len(found)), key=lambda i: found[i][1] * odd & _M64)[: fingerprints.TUPLE]
+        value = len(least)
+        for i in sorted(least):
+            value = _scramble(value * 0x9E3779B97F4A7C15 + found[i][0] & _M64)
+        slots.append(value >> 32 | 1)
+    return slots
+
+
+def test_fingerprints_and_likeness_match_a_plain_reimplementation(spark):
+    texts = [None, "", "abc", "abcde", "aaaaaaaaaaaa", "abababab", "é😀" * 40, *PROSE[:6], PROSE[0], PROSE[0].upper()]
+    ids = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(ids).collect()}
+    order = [(i, texts[i] or "") for i in reversed(range(len(texts)))]
+    share = lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    for (doc, text), (_, after) in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(text) // 3
+        own, changed, following = (_plain_order_minhash(t) for t in (text, text[: len(text) - n] + after[:n], after))
+        as_hex = lambda slots: "".join(f"{x:08x}" for x in slots)
+        assert (got[doc].fingerprint, got[doc].edited_fingerprint) == (as_hex(own), as_hex(changed))
+        assert (got[doc].near_edited, got[doc].near_next) == (share(own, changed), share(own, following))
+    assert got[13].near_next < 0.2 and got[0].near_edited == 1
+
+
 def _components_by_brute_force(rows):
     sets = {}
     for doc, text in rows:
@@ -399,3 +448,48 @@ def test_quality_on_held_out_rows(spark, nasty, empty):
     assert len(odd) == len(NASTY) and all(0 <= r.score <= 1 for r in odd)
     assert quality.train_quality(docs, labels.where("quality = 1")) is None and quality.train_quality(empty, labels) is None
     assert quality.score_quality(empty, None).count() == 0
+
+
+def test_ratios_match_a_plain_count(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "Beta!", "gam-ma", "4711"], 1 + i % 9)), "en", "s", 1) for i in range(80)] + [(80, None, "en", "s", 1), (81, "", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    marks = {i: int(i % 3 > 0) for i in range(82)}
+    got = quality.train_quality(docs, spark.createDataFrame(list(marks.items()), "doc_id long, quality int"))
+    n, of = np.zeros((2, 1 << quality.BITS)), [0, 0]
+    found = quality.batch_features(pa.array([r[1] for r in rows]))
+    for (doc, *_), f in zip(rows, found, strict=True):
+        of[marks[doc]] += 1
+        n[marks[doc], f] += 1
+    p = (n + quality.ALPHA) / (np.array(of)[:, None] + 2 * quality.ALPHA)
+    ratio = np.log(p[1] / p[0])
+    # all rows are in the sample, so the vectors are those of these rows in the order of their keys
+    keys = [hashlib.md5(f"11:{r[0]}".encode()).hexdigest() for r in rows]
+    order = sorted(range(len(rows)), key=keys.__getitem__)
+    w, b = quality.fit_hinge([found[i] for i in order], np.array([1 if marks[rows[i][0]] else -1 for i in order]), ratio)
+    assert got.bias == pytest.approx(b) and np.allclose(got.weight, w * ratio, atol=1e-6)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    # the squared hinge loss has a closed form once it is known which rows are inside the margin
+    rng = np.random.default_rng(9)
+    size, scale = 30, rng.normal(size=30)
+    rows = [np.flatnonzero(rng.random(size) < 0.3) for _ in range(120)]
+    labels = np.array([1 if scale[r].sum() + rng.normal() > 0.3 else -1 for r in rows])
+    x = np.zeros((len(rows), size + 1))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, size] = scale[r], 1
+    share = {y: (labels == y).sum() for y in (-1, 1)}
+    price = np.array([2 * quality.COST * len(labels) / (2 * share[y]) for y in labels])  # classes weigh alike
+    v = np.zeros(size + 1)
+    for _ in range(200):
+        inside = labels * (x @ v) < 1
+        a, c = x[inside], price[inside]
+        solved = np.linalg.solve(np.eye(size + 1) + a.T @ (a * c[:, None]), a.T @ (c * labels[inside]))
+        if np.allclose(solved, v, atol=1e-12):
+            break
+        v = solved
+    w, b = quality.fit_hinge(rows, labels, scale, epochs=2000)
+    assert np.allclose(w, v[:size], atol=1e-6) and b == pytest.approx(v[size], abs=1e-6)
+    few, _ = quality.fit_hinge(rows, labels, scale)
+    assert np.linalg.norm(few - v[:size]) < 0.05 * np.linalg.norm(v[:size])
