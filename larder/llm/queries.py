@@ -11,14 +11,17 @@ from .ann import nearest
 from .fingerprints import fingerprint_documents
 from .htmltext import extract_pages
 from .langid import identify_languages, learn_dictionaries
+from .lexical import search
 from .mixing import SEED, mix_sources
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .pii import find_personal_data
 from .quality import THRESHOLD, score_quality, train_quality
-from .shared import documents, word_count, written
+from .shared import WORD, documents, word_count, written
 from .sharding import SEED as SHARD_SEED
 from .sharding import shard_rows
+from .vectordup import near_vectors
+from .wordruns import word_runs
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +78,38 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the checksum h of doc_id is divisible by 10, the words from the a-th on repeat with period p."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    n = F.size("words").cast("long")
+    held = docs.select("doc_id", F.col("text").cast("string").alias("text"), h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    held = held.select("*", F.when(n > 0, F.expr("floor(h / 10) % size(words)")).alias("a"), n.alias("n"))
+    held = held.withColumn("p", F.expr("1 + (n - a) div (3 + floor(h / 10) % 8)"))
+    again = F.array_join(F.expr("transform(sequence(0L, n - 1L), i -> words[int(if(i < a, i, a + (i - a) % p))])"), " ")
+    return held.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+
+
+def op11_repair_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs(with_planted_runs(documents(spark, sf_dir)))
+    lines = F.expr("array_join(transform(runs, r -> concat_ws(',', r.start, r.length, r.period) || '\\n'), '')")
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))")
+    found = found.withColumns({"n_runs": F.size("runs").cast("long"), "best": longest, "listed": lines})
+    length, period = F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("(1000 * best.length) div -best.period").alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_hyperplane_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_order_minhash": op2_order_minhash,
@@ -86,8 +121,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_dedup": op7_minhash_dedup,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op11_repair_runs": op11_repair_runs,
+    "op12_hyperplane_dedup": op12_hyperplane_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 
+
 def _nibble_table() -> str:
     """The 16 steps of the checksum of reversed polynomial 0xEDB88320 over half a byte, as an SQL list."""
     table = list(range(16))
@@ -166,4 +205,39 @@ SELECT doc_id, size, source_size, target,
        (CASE WHEN source_size > 0 THEN (budget // source_size) * size
              + least(size, greatest(0, budget % source_size - before)) ELSE 0 END)::BIGINT AS taken
 FROM r""",
+    # every pair of vectors; components by recursion
+    "op12_hyperplane_dedup": """
+WITH RECURSIVE v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.e AS e FROM v a JOIN v b ON len(a.e) = len(b.e) AND (a.vec_id <> b.vec_id OR a.e <> b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS reached FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT vec_id, min(reached) AS comp FROM r GROUP BY vec_id),
+n AS (SELECT a, e, count(*) AS n FROM l GROUP BY a, e)
+SELECT o.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.comp, o.vec_id) AS component_id,
+       o.vec_id IS NOT DISTINCT FROM coalesce(c.comp, o.vec_id) AS kept
+FROM embeddings o LEFT JOIN c ON o.vec_id = c.vec_id LEFT JOIN n ON o.vec_id = n.a AND o.embedding::DOUBLE[] = n.e""",
+    "op13_lexical_search": r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms))::BIGINT AS total FROM t WHERE len(terms) > 0),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark) WHERE item_id IS NOT NULL),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY item_id, term),
+u AS (SELECT row_, unnest(terms) AS term FROM t),
+f AS (SELECT row_, term, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY row_, term),
+w AS (SELECT term, floor(1000 * ln((2 * s.docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f CROSS JOIN s GROUP BY term, s.docs),
+m AS (SELECT row_, doc_id, 25 + (75 * len(terms) * s.docs) // s.total AS m FROM t CROSS JOIN s WHERE len(terms) > 0),
+g AS (
+  SELECT q.item_id, m.row_, m.doc_id, sum(q.times * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m)))::BIGINT AS score
+  FROM f JOIN w ON f.term = w.term JOIN m ON f.row_ = m.row_ JOIN q ON f.term = q.term GROUP BY q.item_id, m.row_, m.doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS place FROM g WHERE score > 0)
+SELECT item_id, place::INTEGER AS "rank", doc_id, score FROM o WHERE place <= 10""",
 }
