@@ -25,6 +25,8 @@ CROWD = 128
 TILE = 1024
 #: Vectors that stand for a bucket of more than TILE at first.
 HUBS = 4
+#: Tasks that a group's members are dealt to where they meet their group's row.
+SALTS = 64
 #: Parts of a component, of about TILE vectors, whose mean is its middle. Any middle gives right counts.
 MIDDLE = 64
 _PAIRS = "a long, b long"
@@ -149,11 +151,18 @@ def _part(n: Column) -> Column:
     return F.pmod(F.xxhash64("node", "key"), _parts(n)).cast("int")
 
 
+def _of_group(members: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """``members`` with the columns of their group; each row of ``groups`` is sent SALTS times, so a hot group is no single task."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies.hint("merge"), [group, "salt"]).drop("salt")
+
+
 def _rectangles(members: DataFrame, group: str) -> DataFrame:
     """Rows of tiles: the few of each group meet all its members, in parts of about TILE each. A vector is sent
     once for each part of the other side, so a group with few few is sent hardly more than once."""
     sizes = members.groupBy(group).agg(F.count("*").alias("n_all"), F.count(F.when(F.col("few"), 1)).alias("n_few")).where("n_few > 0")
-    sized = members.join(sizes.hint("merge"), group)
+    sized = _of_group(members, sizes, group)
     many = sized.withColumns({"role": F.lit(1), "part_all": _part(F.col("n_all")), "part_few": F.explode(F.sequence(F.lit(0), _parts(F.col("n_few")) - 1))})
     few = sized.where("few").withColumns({"role": F.lit(0), "part_few": _part(F.col("n_few")), "part_all": F.explode(F.sequence(F.lit(0), _parts(F.col("n_all")) - 1))})
     return many.unionByName(few)
@@ -180,7 +189,7 @@ def _links(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     placed = large.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     largest = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket")
     largest = largest.agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    doubted = placed.join(largest.hint("merge"), "bucket").select("bucket", "node", "key", (F.col("comp") != F.col("top.comp")).alias("few"))
+    doubted = _of_group(placed, largest, "bucket").select("bucket", "node", "key", (F.col("comp") != F.col("top.comp")).alias("few"))
     tiles = _with_vectors(_rectangles(written(doubted, "vector-doubts"), "bucket"), nodes)
     further = tiles.groupBy("bucket", "part_few", "part_all").applyInArrow(_tile_links(least), _PAIRS)
     return components(links.unionByName(further))
@@ -192,9 +201,8 @@ def _counts(nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     A component of TILE nodes or fewer is one task. In a larger one whatever lies within half the angle of a link from the
     middle is linked with its like, by the triangle's inequality, and is counted as one number. The others meet all.
     """
-    placed = nodes.join(labels.hint("merge"), "node")
-    sizes = placed.groupBy("comp").agg(F.count("*").alias("n"))
-    placed = written(placed.join(sizes.hint("merge"), "comp"), "vector-components")
+    sizes = nodes.select("node").join(labels.hint("merge"), "node").groupBy("comp").agg(F.count("*").alias("n"))
+    placed = written(nodes.join(_of_group(labels, sizes, "comp").hint("merge"), "node"), "vector-components")
     small = placed.where(F.col("n") <= TILE).withColumn("role", F.lit(1))
     counts = small.groupBy("comp").applyInArrow(_tile_counts(least), "node long, key long, n long")
     large = placed.where(F.col("n") > TILE).withColumn("part", _part(F.col("n")))
@@ -223,7 +231,7 @@ def _counts(nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     near_rows = spots.unionByName(asked).groupBy("comp", "part").applyInArrow(near, "comp long, node long, key long, weight long, core boolean")
     cores = written(near_rows, "vector-cores")
     inner = cores.where("core").groupBy("comp").agg(F.sum("weight").alias("inner"))
-    of_core = cores.where("core").join(inner.hint("merge"), "comp").select("node", "key", (F.col("inner") - F.col("weight")).alias("n"))
+    of_core = _of_group(cores.where("core"), inner, "comp").select("node", "key", (F.col("inner") - F.col("weight")).alias("n"))
     tiles = _rectangles(cores.withColumn("few", ~F.col("core")), "comp").drop("weight")
     explicit = _with_vectors(tiles, nodes).groupBy("comp", "part_few", "part_all").applyInArrow(_tile_counts(least), "node long, key long, n long")
     return counts.unionByName(of_core).unionByName(explicit).groupBy("node", "key").agg(F.sum("n").alias("n"))
