@@ -2,44 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 KEY = "receipt_id"
 PRICE = r"^\$?\d+\.\d{2}$"
 NEAREST, MARGIN, LEAST, DEFAULT = 50.0, 3.0, 5.0, 8.0
 
 
+def _folded(rows: DataFrame, order: list[str], schema: StructType, fold: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """What ``fold`` makes of the sorted rows of each partition. It carries its state from row to row, so the work is linear
+    and a receipt of any length needs the memory of one batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        held = []
+        for row in fold(given):
+            held.append(row)
+            if len(held) == 8192:
+                yield _batch(held)
+                held = []
+        if held:
+            yield _batch(held)
+
+    names, types = schema.names, to_arrow_schema(schema).types
+
+    def _batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    return rows.repartition(KEY).sortWithinPartitions(KEY, *order).mapInArrow(run, schema)
+
+
 def dedup_fragments(frags: DataFrame, dy: float = 15.0, dx: float = 20.0, least: float = 0.4) -> DataFrame:
     """Fragments of equal text close to the last one kept are one, that of higher conf; those under ``least`` go.
 
-    What is kept depends on what was kept before, so each receipt's fragments are folded in (y, x) order.
+    What is kept depends on what was kept before, so each receipt's fragments are folded in (y, x) order. A fragment
+    without a place is close to none.
     """
-    item = F.struct("y", "x", "text", "conf")
-    lists = frags.where(F.col("conf") >= least).groupBy(KEY).agg(F.array_sort(F.collect_list(item)).alias("all"))
-    empty = F.array().cast("array<struct<y:double,x:double,text:string,conf:double>>")
+    typed = frags.where(F.col("conf") >= least).select(KEY, *[F.col(c).cast("double").alias(c) for c in ("y", "x")], "text", F.col("conf").cast("double").alias("conf"))
 
-    def step(kept: Column, f: Column) -> Column:
-        prev = F.try_element_at(kept, F.lit(-1))
-        same = prev.isNotNull() & (F.abs(f["y"] - prev["y"]) < dy) & (F.abs(f["x"] - prev["x"]) < dx) & (f["text"] == prev["text"])
-        body = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(~F.coalesce(same, F.lit(False)), F.concat(kept, F.array(f))).when(f["conf"] > prev["conf"], F.concat(body, F.array(f))).otherwise(kept)
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        kept = None
+        for row in rows:
+            placed = kept and None not in (row[1], row[2], kept[1], kept[2])
+            if placed and row[0] == kept[0] and row[3] == kept[3] and abs(row[1] - kept[1]) < dy and abs(row[2] - kept[2]) < dx:
+                kept = row if row[4] > kept[4] else kept
+            else:
+                if kept:
+                    yield kept
+                kept = row
+        if kept:
+            yield kept
 
-    typed = F.transform("all", lambda f: F.struct(f["y"].cast("double").alias("y"), f["x"].cast("double").alias("x"), f["text"].alias("text"), f["conf"].cast("double").alias("conf")))
-    return lists.select(KEY, F.explode(F.aggregate(typed, empty, step)).alias("f")).select(KEY, "f.*")
+    return _folded(typed, ["y", "x", "text", "conf"], typed.schema, fold)
 
 
 def row_threshold(frags: DataFrame) -> DataFrame:
     """Per receipt how far a fragment may be from a row's mean y: the 90th percentile of the distances from prices to
     the nearest other text (under 50) plus 3; else 0.7 of the median gap over 1; 5 at least; 8 without gaps.
 
-    The nearest neighbours of a price in y are the last and the next fragment that is no price, so windows find them.
+    The nearest neighbours of a price in y are the last fragment that is no price, from above and from below.
     """
     frags = frags.where(F.char_length(F.trim("text")) > 1).withColumn("price", F.trim("text").rlike(PRICE))
     w = Window.partitionBy(KEY).orderBy("y")
     other = F.when(~F.col("price"), F.col("y"))
     up = F.last(other, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    down = F.first(other, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    down = F.last(other, ignorenulls=True).over(Window.partitionBy(KEY).orderBy(F.desc("y")).rangeBetween(Window.unboundedPreceding, 0))
     near = F.least(F.col("y") - up, down - F.col("y"))
     gap = F.col("y") - F.lag("y").over(w)
     rows = frags.withColumns({"near": F.when(F.col("price"), near), "gap": F.when(gap > 1, gap)})
@@ -52,20 +85,22 @@ def row_threshold(frags: DataFrame) -> DataFrame:
 
 def fragment_rows(frags: DataFrame) -> DataFrame:
     """Fragments with ``row_no``: by y, a new row begins where y is over the threshold from the running mean of the row."""
-    frags = frags.where(F.char_length(F.trim("text")) > 1)
-    lists = frags.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "text"))).alias("all"))
-    lists = lists.join(row_threshold(frags), KEY)
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    frags = frags.where(F.char_length(F.trim("text")) > 1).select(KEY, *[F.col(c).cast("double").alias(c) for c in ("y", "x")], "text")
+    rows = frags.join(row_threshold(frags), KEY)
+    schema = frags.select(KEY, F.lit(0).alias("row_no"), "y", "x", "text").schema
 
-    def step(acc: Column, f: Column) -> Column:
-        fresh = (acc["n"] == 0) | (F.abs(f["y"] - acc["sum"] / F.greatest(acc["n"], F.lit(1))) > F.col("threshold"))
-        row = F.when(fresh, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(
-            row.alias("row"), F.when(fresh, f["y"]).otherwise(acc["sum"] + f["y"]).alias("sum"), F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(row)).alias("out")
-        )
+    def fold(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key, row_no, total, n = None, -1, 0.0, 0
+        for row_key, y, x, text, threshold in rows:
+            if row_key != key or n == 0:
+                key, row_no, total, n = row_key, 0, y or 0.0, 1
+            elif y is not None and abs(y - total / n) > threshold:
+                row_no, total, n = row_no + 1, y, 1
+            else:
+                total, n = total + (y or 0.0), n + 1
+            yield key, row_no, y, x, text
 
-    lists = lists.withColumn("rows", F.aggregate("all", start, step, lambda acc: acc["out"]))
-    return lists.select(KEY, F.explode(F.arrays_zip("all", "rows")).alias("z")).select(KEY, F.col("z.rows").alias("row_no"), "z.all.y", "z.all.x", "z.all.text")
+    return _folded(rows.select(KEY, "y", "x", "text", "threshold"), ["y", "x", "text"], schema, fold)
 
 
 def split_rows(rows: DataFrame) -> DataFrame:
@@ -77,13 +112,15 @@ def split_rows(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"gap": gap, "place": F.row_number().over(by_y), "n": F.count("*").over(w)})
     cut = F.max_by("place", F.struct("gap", -F.col("place"))).over(w)
     rows = rows.withColumns({"cut": cut, "most": F.max("gap").over(w)})
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text")).over(w)), lambda s: s["text"]), " ")
-    rows = rows.withColumn("whole", whole).withColumn("second", (F.col("place") >= F.col("cut")).cast("int"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "text"))), lambda s: s["text"]), " ")
+    wholes = rows.groupBy(KEY, "row_no").agg(whole.alias("whole")).select(
+        KEY, "row_no", (F.col("whole").rlike(r"\d+\.\d{2}\s*$") & (F.char_length("whole") < 50)).alias("priced")
+    )
+    rows = rows.join(wholes, [KEY, "row_no"]).withColumn("second", (F.col("place") >= F.col("cut")).cast("int"))
     part = Window.partitionBy(KEY, "row_no", "second")
     size = F.sum(F.char_length("text") + 1).over(part) - 1
     rows = rows.withColumn("size", size).withColumn("short", F.min("size").over(w))
-    keep = F.col("whole").rlike(r"\d+\.\d{2}\s*$") & (F.char_length("whole") < 50)
-    apart = (F.col("n") > 2) & ~keep & (F.col("most") > 2) & (F.col("short") > 3)
+    apart = (F.col("n") > 2) & ~F.col("priced") & (F.col("most") > 2) & (F.col("short") > 3)
     return rows.select(KEY, "row_no", F.when(apart, F.col("second")).otherwise(0).alias("part"), "x", "y", "text")
 
 

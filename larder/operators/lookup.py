@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, weights
+from ..functions.likeness import lcs_lengths
 from ..functions.lines import strip_codes
 
 NUTRIENTS = fixed.NUTRIENTS
 #: Names of a gram that meet its terms at once.
 PART = 10_000
+#: Parts that a gram's names are dealt to where they learn how many they are.
+SALTS = 32
+#: White space of any script.
+WHITE = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 
 
 def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
@@ -26,22 +30,24 @@ def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
 def contains_join(terms: DataFrame, names: DataFrame, term: str = "term", name: str = "name") -> DataFrame:
     """Pairs of distinct terms and names that hold them, exactly as a nested loop would find them.
 
-    Each name is indexed under its distinct substrings of one to three letters that any term asks for; each term asks
-    only under its rarest one, of three letters or of its own length, and the pairs are tested. What a gram has more than
-    PART names is split into parts that its terms meet one by one, so no task gets all of a common gram. Blank terms match
-    nothing here.
+    Each term asks only under its rarest gram, of three letters or of its own length. How many names have a gram is counted
+    first, map-side and without the names; then only names of a chosen gram travel, in parts by a hash of the name: SALTS
+    at first, then as many as PART asks for, which a term meets one by one. So no task gets all names of a common gram. Blank terms
+    match nothing here.
     """
-    index = names.select(name).distinct().select(name, F.explode(_grams(F.col(name), (1, 2, 3))).alias("gram"))
+    distinct = names.select(name).distinct()
     asked = terms.where(F.char_length(term) > 0).select(term).distinct()
     asked = asked.select(term, F.explode(F.when(F.char_length(term) < 3, F.array(F.col(term))).otherwise(_grams(F.col(term), (3,)))).alias("gram"))
-    index = index.join(asked.select("gram").distinct(), "gram", "left_semi")
+    index = distinct.select(name, F.explode(_grams(F.col(name), (1, 2, 3))).alias("gram"))
     often = index.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no name has rules a term out, so it counts as the rarest
     rarest = asked.join(often, "gram", "left").groupBy(term).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
-    rarest = rarest.where("least.n > 0").select(term, F.col("least.gram").alias("gram"), F.expr(f"least.n div {PART}").alias("more"))
-    rarest = rarest.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), "more"))).drop("more")
-    parts = index.join(often, "gram").select("gram", name, F.expr(f"pmod(xxhash64({name}), 1 + n div {PART})").alias("part"))
-    return rarest.join(parts, ["gram", "part"]).where(F.col(name).contains(F.col(term))).select(term, name)
+    rarest = rarest.where("least.n > 0").select(term, F.col("least.gram").alias("gram"), F.col("least.n").alias("n"))
+    chosen = rarest.groupBy("gram").agg(F.max("n").alias("n")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = index.withColumn("salt", F.pmod(F.xxhash64(name), F.lit(SALTS)).cast("int")).join(chosen, ["gram", "salt"])
+    parts = found.select("gram", name, F.expr(f"pmod(xxhash64({name}, 1), 1 + n div {PART})").alias("part"))
+    asks = rarest.withColumn("part", F.explode(F.expr(f"sequence(0L, n div {PART})"))).drop("n")
+    return asks.join(parts, ["gram", "part"]).where(F.col(name).contains(F.col(term))).select(term, name)
 
 
 def _words(text: Column) -> Column:
@@ -129,40 +135,43 @@ def fuzzy_candidates(names: DataFrame, products: DataFrame, name: str = "name",
     return pairs.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(id_))).where(F.col("__n") <= cap).drop("__n")
 
 
-def _indel(a: str, b: str) -> float:
-    """100 * (1 - insertions and deletions over both lengths)."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 100.0 * 2 * row[-1] / (len(a) + len(b))
+def _score(both: Column, one: Column, two: Column, lcs: Column) -> Column:
+    """Likeness of two texts by their sets of words, 0 to 100, from the number of characters of the words of both, of those of
+    only one, and of the longest common subsequence of the latter.
 
+    Each text is taken as its words, sorted, those of both first; likeness is twice the common subsequence over both
+    lengths. The best of comparing the two texts, and the words of both with either, counts; so 100 if one text has no
+    words of its own. The words of both begin the texts alike, so only what follows need be compared.
+    """
+    ratio = lambda common, total: F.lit(200.0) * common / total
+    whole = ratio(both + 1 + lcs, 2 * (both + 1) + one + two)
+    part = F.greatest(ratio(both, 2 * both + 1 + one), ratio(both, 2 * both + 1 + two))
+    some = (both > 0) & ((one == 0) | (two == 0))
+    return F.when((both + one == 0) | (both + two == 0), 0.0).when(some, 100.0).when(both == 0, ratio(lcs, one + two)).otherwise(F.greatest(whole, part))
 
-def token_set_ratio(a: str, b: str) -> float:
-    """Likeness of two texts by their sets of words: 100 if one holds the other, else the best of three comparisons."""
-    one, two = set(a.split()), set(b.split())
-    if not one or not two:
-        return 0.0
-    both, rest1, rest2 = (" ".join(sorted(s)) for s in (one & two, one - two, two - one))
-    if both and (not rest1 or not rest2):
-        return 100.0
-    full1, full2 = f"{both} {rest1}".strip(), f"{both} {rest2}".strip()
-    best = _indel(full1, full2)
-    return max(best, _indel(both, full1), _indel(both, full2)) if both else best
 
+def token_set_ratios(pairs: DataFrame, one: Column, two: Column, threshold: float = 0.0) -> DataFrame:
+    """``pairs`` with the ``score`` of two texts, those of ``threshold`` or more.
 
-def _scores(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    A common subsequence is no longer than the shorter text, which bounds the score; what the bound leaves out is
+    never compared. Words are parted by any white space; null texts have no words.
+    """
+    words = lambda text: F.array_sort(F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), WHITE), lambda w: w != "")))
+    a, b = words(one), words(two)
+    size = lambda text: F.char_length(text)
+    texts = F.struct(F.array_join(F.array_intersect(a, b), " ").alias("both"), F.array_join(F.array_except(a, b), " ").alias("one"), F.array_join(F.array_except(b, a), " ").alias("two"))
+    rows = pairs.withColumn("__t", texts)
+    sizes = [size(F.col(f"__t.{c}")) for c in ("both", "one", "two")]
+    rows = rows.where(_score(*sizes, F.least(*sizes[1:])) >= threshold)
+    rows = rows.withColumn("__lcs", F.pandas_udf(lcs_lengths, "long")(F.col("__t.one"), F.col("__t.two")))
+    return rows.withColumn("score", _score(*sizes, F.col("__lcs"))).where(F.col("score") >= threshold).drop("__t", "__lcs")
 
 
 def fuzzy_best(candidates: DataFrame, name: str = "name", id_: str = "code", threshold: float = 75.0) -> DataFrame:
-    """The best candidate of each name from ``threshold`` on; the lowest id of equals."""
-    scored = candidates.withColumn("score", F.pandas_udf(_scores, "double")(F.upper("query"), F.upper("product_name")))
-    best = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("score"), id_))
-    return scored.withColumn("__n", best).where((F.col("__n") == 1) & (F.col("score") >= threshold)).drop("__n")
+    """The best candidate of each name from ``threshold`` on; the lowest id of equals. A name's candidates meet as one row a task."""
+    scored = token_set_ratios(candidates, F.upper("query"), F.upper("product_name"), threshold)
+    best = scored.groupBy(name).agg(F.min(F.struct((-F.col("score")).alias("minus"), id_, "query", "product_name")).alias("best"))
+    return best.select(name, f"best.{id_}", "best.query", "best.product_name", (-F.col("best.minus")).alias("score"))
 
 
 def fuzzy_accept(best: DataFrame, name: str = "name") -> DataFrame:

@@ -51,25 +51,66 @@ _CLEANED = _cleaned("trim(name)", lines.NAME_STRIPS[4:16])
 _GENERIC = ", ".join(_q(w) for w in fixed.GENERIC_WORDS)
 
 
-@query(
-    "lk8_fuzzy_candidates",
-    rf"""WITH a AS (SELECT DISTINCT name, {_CLEANED} AS query FROM {{searches}}),
+_CANDIDATES = rf"""WITH a AS (SELECT DISTINCT name, {_CLEANED} AS query FROM {{searches}}),
 w AS (SELECT name, query, list_transform(list_filter(string_split_regex(regexp_replace(query, '[^a-zA-Z ]', ' ', 'g'), '\s+'),
   lambda x: length(x) >= 3 AND NOT list_contains([{_GENERIC}], lower(x)))[1:3], lambda x: lower(x)) AS words FROM a),
 p AS (SELECT product_name, lower(product_name) AS found, min(code) AS code FROM {{products}} WHERE product_name IS NOT NULL GROUP BY product_name),
 h AS (SELECT name, query, code, product_name, contains(found, words[1]) AS first_,
   len(list_filter(list_distinct(words), lambda x: contains(found, x))) = len(list_distinct(words)) AS full_ FROM w JOIN p ON len(words) > 0)
-SELECT name, query, code, product_name FROM (SELECT *, max(full_::INT) OVER (PARTITION BY name) AS some_ FROM h WHERE full_ OR first_) WHERE full_ OR (some_ = 0 AND first_)""",
-)
+SELECT name, query, code, product_name FROM (SELECT *, max(full_::INT) OVER (PARTITION BY name) AS some_ FROM h WHERE full_ OR first_)
+WHERE full_ OR (some_ = 0 AND first_)"""
+
+
+@query("lk8_fuzzy_candidates", _CANDIDATES)
 def lk8(spark, sf):
     return lk.fuzzy_candidates(view(spark, sf, "searches"), view(spark, sf, "products"))
 
 
-@query("lk9_fuzzy_match")
+def _sql_words(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, '\\s+'), lambda x: x <> '')"
+
+
+#: Best match of each name. The longest common subsequence counts the bits that stay unset, one step a character.
+_BEST = rf"""SELECT name, query, code, product_name, score FROM (
+  WITH c AS ({_CANDIDATES}),
+  u AS (SELECT DISTINCT query, product_name, list_sort(list_distinct({_sql_words("upper(query)")})) AS a,
+    list_sort(list_distinct({_sql_words("upper(product_name)")})) AS b FROM c),
+  v AS (SELECT *, length(array_to_string(list_filter(a, lambda x: list_contains(b, x)), ' ')) AS m,
+    array_to_string(list_filter(a, lambda x: NOT list_contains(b, x)), ' ') AS s,
+    array_to_string(list_filter(b, lambda x: NOT list_contains(a, x)), ' ') AS t FROM u),
+  l AS (SELECT *, (1::BIGINT << length(t)) - 1 AS unset FROM v),
+  d AS (SELECT *, CASE WHEN s = '' OR t = '' THEN 0 ELSE length(t) - bit_count(list_reduce(list_prepend(unset, list_transform(string_split(s, ''),
+    lambda x: list_sum(list_transform(range(length(t)), lambda i: CASE WHEN substr(t, i::INT + 1, 1) = x THEN 1::BIGINT << i::INT ELSE 0 END))::BIGINT)),
+    lambda r, f: ((r + (r & f)) | (r - (r & f))) & unset)) END AS lcs FROM l),
+  e AS (SELECT query, product_name, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 WHEN m > 0 AND (s = '' OR t = '') THEN 100
+    WHEN m = 0 THEN 200::DOUBLE * lcs / (length(s) + length(t))
+    ELSE greatest(200::DOUBLE * (m + 1 + lcs) / (2 * (m + 1) + length(s) + length(t)), 200::DOUBLE * m / (2 * m + 1 + length(s)),
+      200::DOUBLE * m / (2 * m + 1 + length(t))) END AS score FROM d)
+  SELECT c.*, score, row_number() OVER (PARTITION BY name ORDER BY score DESC, code) AS place
+  FROM c JOIN e ON c.query = e.query AND c.product_name = e.product_name WHERE score >= 75) WHERE place = 1"""
+_SENSITIVE = ", ".join(_q(w) for w in fixed.SENSITIVE_WORDS)
+_LETTERS = "len(list_filter({}, lambda x: regexp_matches(x, '[a-zA-Z]')))"
+_TITLED = (
+    "array_to_string(list_transform(range(1, length(short) + 1), lambda i: CASE WHEN i = 1 OR NOT regexp_matches(substr(lower(short), i::INT - 1, 1), '\\p{L}') "
+    "THEN upper(substr(lower(short), i::INT, 1)) ELSE substr(lower(short), i::INT, 1) END), '')"
+)
+_MATCHES = rf"""SELECT name, {_TITLED} AS better, score FROM (
+  SELECT *, CASE WHEN length(trim(product_name)) > 50 THEN array_to_string({_sql_words("trim(product_name)")}[1:5], ' ') ELSE trim(product_name) END AS short
+  FROM (SELECT *, {_sql_words("lower(query)")} AS own, {_sql_words("lower(product_name)")} AS other FROM ({_BEST}))
+  WHERE len(list_filter(other, lambda x: list_contains([{_SENSITIVE}], x) AND NOT list_contains(own, x))) = 0 AND len(other) <= len(own) + 3
+    AND {_LETTERS.format("other")} >= {_LETTERS.format("own")} - 1 AND NOT regexp_matches(product_name, '^\d+%?\s'))"""
+
+
+@query("lk9_fuzzy_match", _MATCHES)
 def lk9(spark, sf):
     return lk.fuzzy_accept(lk.fuzzy_best(lk8(spark, sf)))
 
 
+@query("lk10_fuzzy_best", _BEST)
+def lk10(spark, sf):
+    return lk.fuzzy_best(lk8(spark, sf))
+
+
 _FOOD = "SELECT search_id, CASE search_id % 6 WHEN 0 THEN concat(name, ' chip chocolate') WHEN 1 THEN 'Breyers Natural' WHEN 2 THEN 'ORG SWEET POTATO' WHEN 3 THEN concat(name, ' milk') WHEN 4 THEN 'Chicken Breast Strips' ELSE name END AS food FROM {searches}"
 _DEFAULT = "CASE " + " ".join(f"WHEN contains(lower(food), {_q(k)}) THEN {_q(v)}" for k, v in fixed.DEFAULT_WEIGHTS.items()) + " " + " ".join(f"WHEN contains(lower(food), {_q(b)}) THEN {_q(fixed.DEFAULT_WEIGHTS[c])}" for b, c in fixed.BRANDS.items() if c in fixed.DEFAULT_WEIGHTS) + " END"
 

@@ -48,14 +48,14 @@ def read_food_csvs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The food source tables by name, with their columns found by header; optional files may be missing and are then empty.
 
     Rows get ``row_ord``, which rises along the file: splits of a file are read in their order, a row's
-    place in its split comes after.
+    place in its task comes after, however many rows a split has.
     """
     out = {}
     for name, schema in FOOD_TABLES.items():
         path = os.path.join(folder, f"{name}.csv")
         rows = _csv_if_there(spark, path) if name in OPTIONAL else spark.read.csv(path, header=True, multiLine=False)
         if rows is None:
-            out[name] = spark.createDataFrame([], schema + ", row_ord long")
+            out[name] = spark.createDataFrame([], schema + ", row_ord struct<block:long,row:long>")
             continue
         kinds = dict(f.split(" ") for f in schema.split(", "))
         out[name] = rows.select(*[F.col(c).try_cast(k).alias(c) for c, k in kinds.items()], _row_order().alias("row_ord"))
@@ -63,8 +63,8 @@ def read_food_csvs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def _row_order() -> Column:
-    """Where the block of the row begins in its file, then the row's number in its task."""
-    return F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 20)
+    """Where the block of the row begins in its file, then a number that rises along the rows of a task."""
+    return F.struct(F.col("_metadata.file_block_start").cast("long").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def read_receipts(spark: SparkSession, paths: str | list[str]) -> DataFrame:

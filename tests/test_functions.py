@@ -69,10 +69,12 @@ def test_labels_and_features(spark):
     assert _of(spark, ["Milk 2% $3.99 x123456 77"], lines.normalize_line) == ["milk _NUM_ % _PRICE_ x _UPC_ _NUM_"]
 
 
-def test_token_set_ratio():
-    r = lookup.token_set_ratio
-    assert r("A B", "B A C") == 100 and r("", "A") == 0 and r("ABC", "ABD") == pytest.approx(200 / 3)
-    assert r("FUJI APPLE", "FUJI PEAR") == pytest.approx(max(100 * 2 * 7 / 19, 100 * 8 / 14, 100 * 8 / 13))
+def test_token_set_ratio(spark):
+    pairs = [("A B", "B A C"), ("", "A"), ("ABC", "ABD"), ("FUJI APPLE", "FUJI PEAR"), (None, "A"), ("A A  B", "B\u00a0A")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r.score for r in lookup.token_set_ratios(rows, F.col("a"), F.col("b")).orderBy("i").collect()]
+    assert got == pytest.approx([100, 0, 200 / 3, max(100 * 2 * 7 / 19, 100 * 8 / 14, 100 * 8 / 13), 0, 100])
+    assert lookup.token_set_ratios(rows, F.col("a"), F.col("b"), 75).count() == 2
 
 
 def test_nested_catalog_columns(spark):
