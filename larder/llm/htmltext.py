@@ -14,7 +14,7 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Element names of the HTML standard by role, and words that class, id and role use for what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea title xmp noembed noframes audio video".split())
+RAW = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas textarea title xmp noembed noframes audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul caption".split()
@@ -39,6 +39,7 @@ UNLIKELY_ROLE = frozenset("navigation banner complementary contentinfo search di
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|with|without)[_-]\S+", re.I)
 SENTENCE = 40
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+HEADLINES = frozenset(("h1", "h2"))
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reader-comments)(?:$|[\s_-])", re.I)
 #: Words that go along with those of UNLIKELY in names and change nothing about them.
 HELPERS = frozenset(
@@ -308,19 +309,33 @@ def best_container(root: Node, order: list[Node]) -> Node | None:
     return best
 
 
+def _has_headline(node: Node) -> bool:
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if x.tag in HEADLINES:
+            return True
+        stack.extend(c for c in x.children if isinstance(c, Node) and not c.dead)
+    return False
+
+
 def kept_parts(best: Node) -> list[Node]:
-    """The best container and those of its siblings that look like more of the article, in page order."""
+    """The best container and those of its siblings that look like more of the article, in page order. Headlines before
+    a container without one are its own; before one that has one they are the site's."""
     if best.parent is None:
         return [best]
     limit = max(10.0, (best.score or 0.0) * 0.2)
-    kept = []
+    kept: list[Node] = []
+    headless, before = not _has_headline(best), True
     for node in best.parent.children:
         if node is best:
             kept.append(node)
+            before = False
         elif isinstance(node, Node) and not node.dead:
             same = best.attrs.get("class") and node.attrs.get("class") == best.attrs["class"]
             scored = node.score is not None and node.score * (1 - link_density(node)) + (0.2 * (best.score or 0) if same else 0) >= limit
-            if scored or node.tag == "p" and (node.text_len > 80 and link_density(node) < 0.25 or 0 < node.text_len and node.link_len == 0 and re.search(r"\.(?:\s|$)", _own_text(node))):
+            headline = before and headless and node.tag in HEADLINES and node.text_len > 0 and link_density(node) < 0.5
+            if scored or headline or node.tag == "p" and (node.text_len > 80 and link_density(node) < 0.25 or 0 < node.text_len and node.link_len == 0 and re.search(r"\.(?:\s|$)", _own_text(node))):
                 kept.append(node)
     return kept
 
@@ -375,7 +390,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Pages without an article give what the best
     scored container holds, or an empty text where nothing but menus and the like is left. Names
-    of class and id alone never drop what holds most of a page's text (``drop_doubted``).
+    of class and id alone never drop what holds most of a page's text (``drop_doubted``). Formulas' text is kept, not their
+    annotations. Words of label and button elements go as parts of forms, also inside a sentence, and so does a
+    paragraph whose whole class is a notice's.
     Repeated rows give equal rows; other columns are not read. A row is worked on alone, so
     there is no shuffle.
     """

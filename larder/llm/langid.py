@@ -28,9 +28,11 @@ def learn_dictionaries(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_b
 
     ``docs`` has doc_id, text and lang of the rows to learn from; null lang or text is left
     out; of a text over ``sample_bytes`` a window of ``sample_bytes`` // 4 characters, which are no
-    more bytes, teaches, its place chosen by a hash. The sample's size doesn't depend on the table's.
+    more bytes, teaches, its place chosen by a hash. The sample's size doesn't depend on the table's. Repeated rows
+    teach as often as they are in the sample; other columns are not read; no rows give no dictionaries.
     """
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    slim = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    fit = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     # twice the share of rows that is wanted, so that what meets in one task does not grow with the table
     many = fit_counts(fit)
     fit = fit.join(F.broadcast(many), "lang").where(share_of(shuffle_key(5, F.col("doc_id"))) * F.col("rows") < 2 * sample_rows)

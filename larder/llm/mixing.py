@@ -64,7 +64,7 @@ def mix_sources(
     targets = targets.select(null_safe(F.col("source")).alias("group"), "target")
     starts = starts.join(targets, "group").withColumnRenamed("whole", "source_size")
     plain = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
-    hashed = [F.col("row").getField(c) for c in plain if docs.schema[c].dataType.typeName() != "map"]
+    hashed = [F.col("row").getField(c) for c in plain if "map<" not in docs.schema[c].dataType.simpleString()]
     order = ["key", "size", *([F.xxhash64(*hashed)] if len(plain) > 3 else [])]
     rows = keyed.withColumn("inside", within_bucket("group", "bucket", order, F.col("size")))
     rows = rows.join(starts, ["group", "bucket"]).withColumn("budget", F.floor("target").cast("long"))
@@ -79,18 +79,26 @@ def expand_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix as documents: a row per repeat, the last of them cut to its first words where the budget ends.
 
     ``mixed`` comes from mix_sources and keeps text. Rows of no words are not in a mix, so null and empty texts go.
-    Repeated rows are repeated as often as each is taken; n_chars, where it is asked for, counts the new text.
-    No rows give no rows.
+    Repeated rows are repeated as often as each is taken; n_chars, where it is asked for, counts the new text. Other
+    ``columns`` come back as they are, whatever their names. No rows give no rows.
     """
-    full = F.expr("taken div size")
-    rest = F.col("taken") - full * F.col("size")
-    copies = F.expr("sequence(1L, taken div size + if(taken % size > 0, 1L, 0L))")
-    rows = mixed.where((F.col("size") > 0) & (F.col("taken") > 0)).withColumn("__rest", rest)
-    rows = rows.withColumn("__copy", F.explode(copies))
+    taken = mixed.where((F.col("size") > 0) & (F.col("taken") > 0))
+    rows = taken.select(F.struct(*[F.col(c) for c in columns if c != "text"], F.lit(True).alias("__")).alias("row"), "text", "size", "taken")
+    rows = rows.withColumn("copy", F.explode(F.expr("sequence(1L, taken div size + if(taken % size > 0, 1L, 0L))")))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(words, F.lit(1), F.col("__rest").cast("int")), "")
-    cut = F.when(F.col("__copy") > F.expr("taken div size"), head).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut)
-    if "n_chars" in columns:
-        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    return rows.select(*columns)
+    head = F.array_join(F.slice(words, F.lit(1), F.expr("taken % size").cast("int")), "")
+    rows = rows.select("row", F.when(F.col("copy") > F.expr("taken div size"), head).otherwise(F.col("text")).alias("text"))
+    made = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return rows.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text, source and any others) as expand_mix of mix_sources gives them, with all their columns and no others.
+
+    Columns that are named like results of mix_sources, or like anything inside, keep their values.
+    """
+    own = [c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars")]
+    plain = [c for c in docs.columns if c not in own]
+    held = [F.struct(*own).alias("held")] if own else []
+    mixed = expand_mix(mix_sources(docs.select(*plain, *held)), [*plain, *(["held"] if own else [])])
+    return mixed.select(*[F.col("held").getField(c).alias(c) if c in own else F.col(c) for c in docs.columns])

@@ -17,7 +17,12 @@ from .words import mix64, shingle_sets
 WIDTH, BINS = 5, 128
 #: Rounds of (bins of a band, bands). All nodes take part in the first, in each further one those still in doubt.
 #: At a similarity of 0.75 a pair shares no bucket of the first round once in 200,000.
-ROUNDS = ((4, 32), (6, 64), (10, 128))
+ROUNDS = ((4, 32), (6, 64))
+#: Least hashes of what a hub lacks of a member that doesn't link with it; members that share one are candidates in turn.
+RESIDUE = 64
+#: Bins of two signatures, of BINS, that must agree for a pair that only a residue found to be worth reading;
+#: at a similarity of 0.75 fewer agree once in a million pairs.
+AGREE = 72
 #: A pair is linked if 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Spokes of a hub that are checked by one task at once.
@@ -90,7 +95,11 @@ def bucketed(sets: DataFrame, turn: int, rows: int, count: int) -> DataFrame:
                 each = [pa.array(np.repeat(piece.column(i).to_numpy(), count)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(found), *each], ["bucket", "node", "size"])
 
-    buckets = sets.select("node", "size", "bins").mapInArrow(run, "bucket long, node long, size long")
+    return _crowded(sets.select("node", "size", "bins").mapInArrow(run, "bucket long, node long, size long"))
+
+
+def _crowded(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets of more than one node, with n, how many the bucket has."""
     many = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return buckets.join(many.hint("merge"), "bucket")
 
@@ -100,22 +109,36 @@ def stars(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
     The hub is the member that shares buckets with the most others (then of least node), so in a group of
     near copies it is the text that the copies were made from rather than one of its far relatives.
-    Members of the hub's component need no edge, those of too different size can't link.
+    Members of the hub's component need no edge. Those of too different size can't link, but what the hub lacks of them
+    may show what else they link with.
     """
     popular = members.groupBy("node").agg(F.sum(F.col("n") - 1).alias("popular"))
     ranked = members.join(popular.hint("merge"), "node")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("node")).alias("minus"), F.col("size").alias("hub_size"))).alias("hub"))
-    hubs = hubs.select("bucket", (-F.col("hub.minus")).alias("b"), "hub.hub_size")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("popular", (-F.col("node")).alias("minus"))).alias("hub"))
+    hubs = hubs.select("bucket", (-F.col("hub.minus")).alias("b"))
     spokes = members.join(hubs.hint("merge"), "bucket").where(F.col("node") != F.col("b"))
-    spokes = spokes.where(100 * F.least("size", "hub_size") >= PERCENT * F.greatest("size", "hub_size"))
     edges = spokes.groupBy(F.col("node").alias("a"), "b").agg(F.max("n").alias("n"))
     if labels is not None:
         edges = _labelled(_labelled(edges, labels, "a"), labels, "b").where("a_comp != b_comp")
     return edges.select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SPOKES})").alias("part"))
 
 
+def agreeing(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges whose ends agree in AGREE bins or more of their signatures; no text is read for the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, BINS) for i in (3, 4))
+            yield batch.filter(pa.array((one == two).sum(axis=1) >= AGREE)).select(["a", "b", "part"])
+
+    for end, bins in (("a", "bins_a"), ("b", "bins_b")):
+        edges = edges.join(sets.select(F.col("node").alias(end), F.col("bins").alias(bins)).hint("merge"), end)
+    return edges.select("a", "b", "part", "bins_a", "bins_b").mapInArrow(run, "a long, b long, part long")
+
+
 def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """The edges (a, b) whose full shingle sets are similar enough.
+    """The edges (a, b): ``linked`` if their full shingle sets are similar enough, else ``residue``, the RESIDUE least hashes of
+    the shingles of a that b lacks.
 
     The spokes ``a`` of a hub ``b`` meet it by ``part``, SPOKES or so at once, so a hub of very many
     spokes is split and its text repeated once a part; a task holds one hub's set at a time.
@@ -131,16 +154,33 @@ def confirmed(edges: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 piece = batch.slice(k, 256)
-                links: list[tuple[int, int]] = []
+                found: list[tuple[int, int, bool, list[int] | None]] = []
                 keys = zip(*(piece.column(i).to_pylist() for i in range(4)), strict=True)
                 for (b, part, role, node), s in zip(keys, shingle_sets(piece.column(4), WIDTH), strict=True):
                     if role == 0:  # rows of one doc_id may hold several texts
                         hub, key = ([*hub, s] if key == (b, part) else [s]), (b, part)
                     elif any(similar(s, h) for h in hub):
-                        links.append((node, b))
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+                        found.append((node, b, True, None))
+                    else:
+                        lacking = np.setdiff1d(s, np.concatenate(hub), assume_unique=False) if hub else s
+                        found.append((node, b, False, lacking[:RESIDUE].view(np.int64).tolist()))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["a", "b", "linked", "residue"])
+
+    return together.mapInArrow(run, "a long, b long, linked boolean, residue array<long>")
 
-    return together.mapInArrow(run, "a long, b long")
+
+def residues(checked: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bucket, node, size and n: nodes that do not link with one hub and share a shingle that this hub lacks.
+
+    What all members of a bucket have in common, as a passage that half of each repeats, is the hub's as well, so it drops out and what
+    only some of them share is left. Hubs whose spokes are of one component tell nothing new.
+    """
+    loose = _labelled(checked.where("not linked").select("a", "b", "residue"), labels, "a")
+    several = loose.groupBy("b").agg(F.min("a_comp").alias("low"), F.max("a_comp").alias("high")).where("low != high")
+    open_ = loose.join(several.select("b").hint("merge"), "b", "left_semi")
+    buckets = open_.select(F.col("a").alias("node"), "b", F.explode("residue").alias("shingle")).select(F.xxhash64("b", "shingle").alias("bucket"), "node")
+    return _crowded(buckets).join(sizes.select("node", "size").hint("merge"), "node")
 
 
 def similar(s: np.ndarray, t: np.ndarray) -> bool:
@@ -159,11 +199,14 @@ def near_duplicates(docs: DataFrame, rounds: tuple[tuple[int, int], ...] = ROUND
     2. Each node goes into a bucket per band of the first of ``rounds``. The members of a bucket get an
        edge to its hub only (``stars``), so a bucket of n nodes makes n - 1 candidate edges, not all pairs.
        Every edge is checked on the full sets; linked nodes are one component.
-    3. Nodes in doubt are those of buckets that still hold several components. They go into the buckets
+    3. Members of a bucket that don't link with its hub go, by the shingles that the hub lacks, into buckets of their own, so that
+       what links only with each other meets even where a passage that very many documents share fills the signatures.
+       Candidates found so are checked as before.
+    4. Nodes in doubt are those of buckets that still hold several components. They go into the buckets
        of the next round, whose bands are others and longer, so that what is less similar than a link
-       parts and what is linked gets a hub of its own. A round makes at most its number of bands
-       of edges a node, whatever the groups are like: work grows with the rows.
-    4. ``exhaustive`` then makes every node in doubt a hub of its buckets, one after the other, until all
+       parts and what is linked gets a hub of its own. A round makes at most its number of bands of edges a node, and
+       RESIDUE for each of them, whatever the groups are like: work grows with the rows.
+    5. ``exhaustive`` then makes every node in doubt a hub of its buckets, one after the other, until all
        pairs of a first-round bucket are linked, checked, or joined otherwise. It finds what the rounds may
        have missed, but is quadratic in the nodes of a bucket that don't link.
 
@@ -189,7 +232,12 @@ def near_duplicates(docs: DataFrame, rounds: tuple[tuple[int, int], ...] = ROUND
             wanted = members.select("node").distinct()
             texts = docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].cast("string").alias("text"))
             texts = written(texts.join(wanted.hint("merge"), "node", "left_semi"), "candidate-texts")
-        labels = _joined(labels, written(confirmed(edges, texts), "links"))
+        checked = written(confirmed(edges, texts), "links")
+        labels = _joined(labels, checked.where("linked").select("a", "b"))
+        again = written(residues(checked, labels, sets), "residues")
+        if not again.isEmpty():
+            further = written(agreeing(stars(again, labels), sets), "stars")
+            labels = _joined(labels, written(confirmed(further, texts).where("linked").select("a", "b"), "links"))
         doubted = _several(_labelled(members, labels, "node")).select("node").distinct()
         nodes = written(sets.join(doubted.hint("merge"), "node", "left_semi").select("node", "size", "bins"), "doubted")
         if nodes.isEmpty():
@@ -245,5 +293,5 @@ def _each_a_hub(members: DataFrame, labels: DataFrame, texts: DataFrame) -> Data
         spokes = spokes.where(100 * F.least("size", "hub.size") >= PERCENT * F.greatest("size", "hub.size"))
         edges = spokes.groupBy(F.col("node").alias("a"), F.col("hub.node").alias("b")).agg(F.max("n").alias("n"))
         edges = edges.select("a", "b", F.expr(f"pmod(xxhash64(a), 1 + n div {SPOKES})").alias("part"))
-        labels = _joined(labels, written(confirmed(written(edges, "turns"), texts), "links"))
+        labels = _joined(labels, written(confirmed(written(edges, "turns"), texts).where("linked").select("a", "b"), "links"))
         seen = hubs.select("bucket", F.col("hub.node").alias("b"))
