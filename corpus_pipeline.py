@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.langid import identify_languages, learn_dictionaries
-from larder.llm.mixing import expand_mix, mix_sources
+from larder.llm.mixing import mix_documents
 from larder.llm.neardup import near_duplicates, text_key
 from larder.llm.packing import pack_documents
 from larder.llm.pii import redact
@@ -45,9 +45,9 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix at target weights: repeated documents are repeated rows, the one at a source's cut keeps its first words.
 
-    Null source is a source of its own. Documents without words are in no mix. No rows give no rows.
+    All other columns keep their values. Null source is a source of its own. Documents without words are in no mix. No rows give no rows.
     """
-    return expand_mix(mix_sources(docs), docs.columns)
+    return mix_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
