@@ -192,25 +192,29 @@ def titled(text: Column) -> Column:
     return F.array_join(F.transform(chars, upper), "")
 
 
+def _first_held(text: Column, keys: list[str], values: list[Column]) -> Column:
+    """The value of the first key that the text holds; both lists are constants, so the code does not grow with them."""
+    held = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: text.contains(k))
+    place = F.array_position(held, F.lit(True))
+    return F.when(place > 0, F.get(F.array(*values), (place - 1).cast("int")))
+
+
 def category_default(name: Column) -> Column:
     """A struct of value and unit by the first keyword that the name holds, else by the first brand's category."""
-    low = F.lower(name)
 
     def weight(text: str) -> Column:
         value, unit = text.split(" ")
         return F.struct(F.lit(float(value)).alias("value"), F.lit(unit).alias("unit"))
 
-    found = [F.when(low.contains(k), weight(v)) for k, v in fixed.DEFAULT_WEIGHTS.items()]
-    found += [F.when(low.contains(b), weight(fixed.DEFAULT_WEIGHTS[c])) for b, c in fixed.BRANDS.items() if c in fixed.DEFAULT_WEIGHTS]
-    return F.coalesce(*found)
+    table = [*fixed.DEFAULT_WEIGHTS.items(), *[(b, fixed.DEFAULT_WEIGHTS[c]) for b, c in fixed.BRANDS.items() if c in fixed.DEFAULT_WEIGHTS]]
+    return _first_held(F.lower(name), [k for k, _ in table], [weight(v) for _, v in table])
 
 
 def staple_nutrition(name: Column) -> Column:
     """A struct of the nine nutrients by the longest staple that the name holds; the first of equals."""
-    low = F.lower(name)
     order = sorted(fixed.STAPLES, key=len, reverse=True)
-    values = lambda k: F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(NUTRIENTS, fixed.STAPLES[k].split(" "), strict=True)])
-    return F.coalesce(*[F.when(low.contains(k), values(k)) for k in order])
+    values = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(NUTRIENTS, fixed.STAPLES[k].split(" "), strict=True)]) for k in order]
+    return _first_held(F.lower(name), order, values)
 
 
 def has_data(nutrients: Column) -> Column:

@@ -232,7 +232,48 @@ def ln20(spark, sf):
     return ln.line_kinds(_rows(spark, sf)).select("receipt_id", "line_no", "line_kind")
 
 
-@query("ln20_rule_items")
+#: The rule parser as an automaton over a receipt's lines. Its state: the name and the price that wait for each other,
+#: the weight and the quantity that wait for an item.
+_WAITS = "t.receipt_id, t.i, t.line_no"
+_NAME_WEIGHT = "regexp_replace(trim(n), '(?i)(\\d+(?:\\.\\d+)?)\\s*o\\b', '\\1 oz', 'g')"
+_RULE_ROWS = f"""rows_ AS (
+  SELECT receipt_id, line_no, line_kind, text, CASE line_kind WHEN 'item' THEN {_cleaned(_SPLIT_NAME)} WHEN 'name' THEN {_cleaned('text')} END AS n,
+    CASE line_kind WHEN 'item' THEN {_SPLIT_PRICE} WHEN 'price' THEN try_cast(text AS DOUBLE) END AS p
+  FROM kinds WHERE line_kind IN ('item', 'price', 'name', 'weight', 'qty')),
+told AS (SELECT *, coalesce(length(n) > 1 AND NOT {_NOISE('n')}, false) AS ok, nullif(try_cast(nullif(regexp_extract({_NAME_WEIGHT}, {_NW}, 1), '') AS DOUBLE), 0) AS nv,
+    replace(lower(regexp_extract({_NAME_WEIGHT}, {_NW}, 2)), 'lbs', 'lb') AS nu FROM rows_),
+t AS MATERIALIZED (
+  SELECT receipt_id, line_no, row_number() OVER (PARTITION BY receipt_id ORDER BY line_no) AS i, n, p, ok, nv, CASE WHEN nv IS NOT NULL THEN nu END AS nu,
+    CASE line_kind WHEN 'item' THEN 'I' WHEN 'price' THEN 'P' WHEN 'weight' THEN 'W' WHEN 'qty' THEN 'Q' ELSE CASE WHEN ok THEN 'N' ELSE 'X' END END AS kind,
+    CASE line_kind WHEN 'weight' THEN try_cast(nullif(regexp_extract(text, {_q(lines.WEIGHT_LINE)}, 1), '') AS DOUBLE) END AS wv,
+    CASE line_kind WHEN 'weight' THEN lower(regexp_extract(text, {_q(lines.WEIGHT_LINE)}, 2)) END AS wu,
+    CASE line_kind WHEN 'qty' THEN coalesce(try_cast(nullif(regexp_extract(text, '(?i)(\\d+)\\s*EA', 1), '') AS INT),
+      try_cast(nullif(regexp_extract(text, '(?i)(\\d+)\\s*DZ', 1), '') AS INT) * 12) END AS q
+  FROM told),
+r AS (
+  SELECT receipt_id, i, line_no, NULL::VARCHAR AS pn, NULL::DOUBLE AS pv, NULL::VARCHAR AS pu, NULL::DOUBLE AS pp, NULL::DOUBLE AS ww, NULL::VARCHAR AS wwu, NULL::INT AS qq,
+    NULL::VARCHAR AS name, NULL::DOUBLE AS price, NULL::INT AS qty, NULL::DOUBLE AS weight_value, NULL::VARCHAR AS weight_unit FROM (SELECT DISTINCT receipt_id, 0 AS i, -1 AS line_no FROM t)
+  UNION ALL
+  SELECT receipt_id, i, line_no, CASE WHEN kind = 'N' AND pp IS NULL THEN n WHEN kind IN ('W', 'Q') THEN pn END, CASE WHEN kind = 'N' AND pp IS NULL THEN nv WHEN kind IN ('W', 'Q') THEN pv END,
+    CASE WHEN kind = 'N' AND pp IS NULL THEN nu WHEN kind IN ('W', 'Q') THEN pu END, CASE WHEN kind = 'P' AND pn IS NULL THEN p WHEN kind IN ('W', 'Q') THEN pp END,
+    CASE WHEN kind = 'W' THEN coalesce(wv, ww) WHEN emitted AND ev IS NULL THEN NULL ELSE ww END, CASE WHEN kind = 'W' THEN CASE WHEN wv IS NULL THEN wwu ELSE wu END ELSE wwu END,
+    CASE WHEN kind = 'Q' THEN coalesce(q, qq) WHEN emitted THEN NULL ELSE qq END,
+    CASE WHEN emitted THEN en END, CASE WHEN emitted THEN CASE kind WHEN 'I' THEN p WHEN 'N' THEN pp ELSE p END END, CASE WHEN emitted THEN coalesce(qq, 1) END,
+    CASE WHEN emitted THEN coalesce(ev, ww) END, CASE WHEN emitted THEN CASE WHEN ev IS NOT NULL THEN eu WHEN ww IS NOT NULL THEN wwu END END
+  FROM (SELECT {_WAITS}, t.kind, t.n, t.p, t.nv, t.nu, t.wv, t.wu, t.q, r.pn, r.pv, r.pu, r.pp, r.ww, r.wwu, r.qq,
+      (t.kind = 'I' AND t.ok) OR (t.kind = 'N' AND r.pp IS NOT NULL) OR (t.kind = 'P' AND r.pn IS NOT NULL) AS emitted,
+      CASE WHEN t.kind = 'P' THEN r.pn ELSE t.n END AS en, CASE WHEN t.kind = 'P' THEN r.pv ELSE t.nv END AS ev, CASE WHEN t.kind = 'P' THEN r.pu ELSE t.nu END AS eu
+    FROM t JOIN r ON t.receipt_id = r.receipt_id AND t.i = r.i + 1))"""
+
+
+@query(
+    "ln20_rule_items",
+    f"""WITH RECURSIVE {_KINDS}, {_RULE_ROWS}
+SELECT receipt_id, min(line_no)::INT AS line_no, arg_min(name, line_no) AS name, CASE WHEN count(*) > 1 THEN sum(qty) ELSE any_value(qty) END::INT AS qty,
+  CASE WHEN arg_min(coalesce(price, 0), line_no) <> 0 THEN round(sum(coalesce(price, 0)), 2) ELSE arg_min_null(price, line_no) END AS line_price,
+  arg_min_null(weight_value, line_no) AS weight_value, arg_min_null(weight_unit, line_no) AS weight_unit
+FROM r WHERE name IS NOT NULL GROUP BY receipt_id, upper(name)""",
+)
 def ln20_items(spark, sf):
     items = ln.merge_duplicates(ln.rule_items(ln.line_kinds(_rows(spark, sf))))
     return items.select("receipt_id", "line_no", "name", "qty", "line_price", F.col("weight.value").alias("weight_value"), F.col("weight.unit").alias("weight_unit"))
@@ -288,6 +329,27 @@ def ln24(spark, sf):
     return fr.fragments_to_lines(_fragments(spark, sf))
 
 
+# every word from the third on of lines of four words or more lies three lower, so that a row has a gap of over 2
+_UNEVEN = f"""SELECT receipt_id, line_no, w, i, i * 10 AS x, line_no * 40.0 + CASE WHEN i >= 3 AND n >= 4 THEN 3 ELSE 0 END AS y, n,
+  row_number() OVER (PARTITION BY receipt_id, line_no ORDER BY i) AS k, count(*) OVER (PARTITION BY receipt_id, line_no) AS m
+FROM (SELECT receipt_id, line_no, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i, len(string_split(text, ' ')) AS n FROM {{receipt_lines}}) WHERE length(w) >= 2"""
+
+
+@query(
+    "ln26_split_rows",
+    f"""WITH u AS ({_UNEVEN}), l AS (SELECT receipt_id, line_no, string_agg(w, ' ' ORDER BY i) AS whole, count(*) AS m,
+  coalesce(min(length(w)) FILTER (n >= 4), 0) AS least_, sum(length(w) + 1) FILTER (n >= 4 AND i < 3) - 1 AS one, sum(length(w) + 1) FILTER (n >= 4 AND i >= 3) - 1 AS two FROM u GROUP BY receipt_id, line_no),
+s AS (SELECT receipt_id, line_no, m > 2 AND one > 3 AND two > 3 AND NOT (regexp_matches(whole, '\\d+\\.\\d{{2}}\\s*$') AND length(whole) < 50) AS split FROM l)
+SELECT u.receipt_id, (dense_rank() OVER (PARTITION BY u.receipt_id ORDER BY u.line_no) - 1)::INT AS row_no, CASE WHEN coalesce(split, false) AND i >= 3 THEN 1 ELSE 0 END::INT AS part,
+  x::DOUBLE AS x, y::DOUBLE AS y, w AS text FROM u JOIN s ON u.receipt_id = s.receipt_id AND u.line_no = s.line_no""",
+)
+def ln26(spark, sf):
+    words = _rows(spark, sf).select("receipt_id", "line_no", F.size(F.split("text", " ")).alias("n"), F.posexplode(F.split("text", " ")).alias("i", "text")).where(F.char_length("text") >= 2)
+    lower = F.when((F.col("i") >= 2) & (F.col("n") >= 4), 3.0).otherwise(0.0)
+    frags = words.select("receipt_id", (F.col("line_no") * 40.0 + lower).alias("y"), ((F.col("i") + 1) * 10.0).alias("x"), "text")
+    return fr.split_rows(fr.fragment_rows(frags))
+
+
 @query("ln25_row_threshold", f"""WITH f AS (SELECT receipt_id, line_no * 20.0 + i % 3 AS y, regexp_matches(w, '^\\$?\\d+\\.\\d{{2}}$') AS price FROM ({_WORDS})),
 near AS (SELECT receipt_id, y, min(d) AS d FROM (SELECT p.receipt_id, p.y, p.rowid_ AS k, abs(p.y - o.y) AS d FROM (SELECT *, row_number() OVER () AS rowid_ FROM f WHERE price) p JOIN f o ON o.receipt_id = p.receipt_id AND NOT o.price) GROUP BY receipt_id, y, k HAVING min(d) < 50),
 a AS (SELECT receipt_id, list_sort(list(d)) AS ds FROM near GROUP BY receipt_id), g AS (SELECT receipt_id, list_sort(list(gap) FILTER (gap > 1)) AS gs FROM (SELECT receipt_id, y - lag(y) OVER (PARTITION BY receipt_id ORDER BY y) AS gap FROM f) GROUP BY receipt_id)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, lines, weights
 from ..operators import lookup as lk
+from .catalog_queries import _OF, _PARSED
 from .line_queries import _cleaned
 from .registry import query
 from .views import view
@@ -37,10 +38,14 @@ def lk3(spark, sf):
     return lk.store_preference(view(spark, sf, "searches"), view(spark, sf, "products"), "name", "store")
 
 
+_FOOD_HITS = f"""{_PRODUCT_HITS.split("UNION ALL SELECT name, 3")[0]}
+UNION ALL SELECT name, 3, min(code) FROM k JOIN p ON contains(found, long[1].w) WHERE len(long) >= 1 GROUP BY name
+UNION ALL SELECT name, 4, min(code) FROM k JOIN p ON contains(found, long[2].w) WHERE len(long) >= 2 GROUP BY name"""
+
+
 @query(
     "lk7_lookup_foods",
-    f"""WITH {_TERMS}, p AS (SELECT code, lower(product_name) AS found, energy_kcal FROM {{products}}), h AS ({_PRODUCT_HITS.split("UNION ALL SELECT name, 3")[0]}
-UNION ALL SELECT name, 3, min(code) FROM k JOIN p ON contains(found, long[1].w) WHERE len(long) >= 1 GROUP BY name UNION ALL SELECT name, 4, min(code) FROM k JOIN p ON contains(found, long[2].w) WHERE len(long) >= 2 GROUP BY name)
+    f"""WITH {_TERMS}, p AS (SELECT code, lower(product_name) AS found, energy_kcal FROM {{products}}), h AS ({_FOOD_HITS})
 SELECT name, min(tier)::INT AS tier, arg_min(h.code, tier) AS code FROM h JOIN p ON p.code = h.code WHERE energy_kcal IS NOT NULL GROUP BY name""",
 )
 def lk7(spark, sf):
@@ -127,12 +132,65 @@ def lk12(spark, sf):
     return spark.sql(_FOOD, searches=view(spark, sf, "searches")).select("search_id", s["energy_kcal"].alias("energy_kcal"), s["proteins"].alias("proteins"))
 
 
-@query("lk13_resolve_items")
+def _hits(names: str, products: str, foods: bool = False) -> str:
+    """SQL for name and code of each of ``names`` (name) that ``products`` hold, as lookup_products or lookup_foods find it."""
+    terms = _TERMS.replace("{searches}", f"({names})")
+    only = "" if foods else "WHERE quantity <> ''"
+    own = f"p AS (SELECT code, lower(product_name) AS found, energy_kcal FROM {products} {only})"
+    if foods:
+        return f"""(WITH {terms}, {own}, h AS ({_FOOD_HITS})
+  SELECT name, arg_min(h.code, tier) AS code FROM h JOIN p ON p.code = h.code WHERE energy_kcal IS NOT NULL GROUP BY name)"""
+    return f"(WITH {terms}, {own}, h AS ({_PRODUCT_HITS}) SELECT name, arg_min(code, tier) AS code FROM h GROUP BY name)"
+
+
+def _decided(foods: bool) -> str:
+    """The decision table of resolve_items in SQL: which weight, of which source, which nutrients, which name."""
+    good = lambda c: f"CASE WHEN NOT ({c}_energy = 0 AND {c}_fat = 0 AND {c}_carbs = 0 AND {c}_proteins = 0) THEN {c}_energy END"
+    default = lambda name: _DEFAULT.replace("lower(food)", f"lower({name})")
+    grams = lambda w: f"(CAST(string_split({w}, ' ')[1] AS DOUBLE) * {_OF.replace('CASE unit', f'CASE string_split({w}, {_q(chr(32))})[2]')})"
+    apart = lambda x, d: f"coalesce(CASE WHEN {x} = 0 OR {d} = 0 THEN 999 ELSE greatest({x} / {d}, {d} / {x}) END > {weights.DISAGREE}, false)"
+    fits = lambda g, name: f"coalesce({g} <= 25000 AND ({g} >= 20 OR regexp_matches(lower({name}), '{'|'.join(fixed.CONDIMENTS)}')), false)"
+    found = lambda c: ", ".join(f"{c}.{f} AS {c}_{x}" for f, x in (("energy_kcal", "energy"), ("fat", "fat"), ("carbohydrates", "carbs"), ("proteins", "proteins"), ("grams", "grams")))
+    parsed = f"(SELECT code, value * {_OF} AS grams FROM ({_PARSED}))".replace("{products}", "{goods}")
+    staple = " ".join(f"WHEN contains(lower(search), {_q(k)}) THEN {float(fixed.STAPLES[k].split(' ')[0])}" for k in sorted(fixed.STAPLES, key=len, reverse=True))
+    food = good("food") if foods else "NULL"
+    return f"""WITH i AS (SELECT *, coalesce(nullif(resolved_name, ''), name) AS search FROM {{wanted}}),
+g AS (SELECT * FROM {{goods}} LEFT JOIN {parsed} USING (code)),
+c AS (SELECT name, better FROM ({_MATCHES.replace("{searches}", "(SELECT search AS name FROM i)").replace("{products}", "{goods}")})),
+o AS (SELECT name AS search, g.* FROM {_hits("SELECT search AS name FROM i", "g")} JOIN g USING (code)),
+z AS (SELECT name AS better, g.* FROM {_hits("SELECT better AS name FROM c", "g")} JOIN g USING (code)),
+e AS (SELECT name AS search, g.* FROM {_hits("SELECT search AS name FROM i", "g", True)} JOIN g USING (code)),
+j AS (SELECT i.search_id, i.search, i.qty, i.own_value, i.given_source, c.better, {found("o")}, {found("z")}, {found("e").replace(" AS e_", " AS food_")},
+    {default("i.search")} AS d, coalesce({default("i.search")}, {default("c.better")}) AS d2
+  FROM i LEFT JOIN o ON o.search = i.search LEFT JOIN c ON c.name = i.search LEFT JOIN z ON z.better = c.better LEFT JOIN e ON e.search = i.search),
+f AS (SELECT *, own_value IS NOT NULL AND given_source <> '' AS own, own_value IS NULL AND given_source = 'nonfood' AS skip, {grams("d")} AS dg, {grams("d2")} AS dg2,
+    {fits("o_grams", "search")} AS direct, {fits("z_grams", "better")} AS second_ FROM j),
+r AS (SELECT *, CASE WHEN own THEN given_source WHEN skip THEN 'nonfood' WHEN direct AND {apart("o_grams", "dg")} THEN 'category_default_override' WHEN direct THEN 'off_db'
+    WHEN second_ AND {apart("z_grams", "dg2")} THEN 'category_default_override' WHEN second_ THEN 'off_db_fuzzy' WHEN d IS NOT NULL THEN 'category_default' ELSE '' END AS weight_source,
+  CASE WHEN own THEN own_value * {weights.GRAMS["oz"]} WHEN skip THEN NULL WHEN direct AND {apart("o_grams", "dg")} THEN dg WHEN direct THEN o_grams
+    WHEN second_ AND {apart("z_grams", "dg2")} THEN dg2 WHEN second_ THEN z_grams ELSE dg END * qty AS total,
+  CASE WHEN NOT skip THEN coalesce(CASE WHEN own THEN coalesce({good("o")}, {good("z")}) WHEN direct THEN {good("o")} WHEN second_ THEN {good("z")} END, {food}, CASE {staple} END) END AS kcal_per100,
+  CASE WHEN better IS NOT NULL AND upper(better) <> upper(search) AND NOT skip
+    AND CASE WHEN own THEN {good("o")} IS NULL AND {good("z")} IS NOT NULL ELSE NOT direct END THEN better ELSE search END AS resolved_name FROM f)
+SELECT search_id, resolved_name, qty, weight_source, round(total, 2) AS weight_grams, kcal_per100, round(kcal_per100 * total / 100, 2) AS kcal FROM r"""
+
+
+def _resolved(spark, sf, foods: bool):
+    weight = F.when(F.col("own_value").isNotNull(), F.struct(F.col("own_value").alias("value"), F.lit("oz").alias("unit")))
+    items = view(spark, sf, "wanted").select("search_id", "name", "resolved_name", "qty", weight.alias("weight"), F.col("given_source").alias("weight_source"))
+    goods = view(spark, sf, "goods")
+    out = lk.resolve_items(items, goods, goods.withColumnRenamed("code", "fdc_id") if foods else None)
+    return out.select("search_id", "resolved_name", "qty", "weight_source", "weight_grams", F.col("per100.energy_kcal").alias("kcal_per100"), F.col("actual.energy_kcal").alias("kcal"))
+
+
+@query("lk13_resolve_items", _decided(False))
 def lk13(spark, sf):
-    items = view(spark, sf, "searches").select("search_id", "name", F.lit("").alias("resolved_name"), (F.col("search_id") % 3 + 1).cast("int").alias("qty"), weights.parse_quantity(F.when(F.col("search_id") % 5 == 0, F.lit("12 oz"))).alias("weight"))
-    items = items.withColumn("weight_source", F.when(F.col("weight").isNotNull(), "receipt").when(F.col("search_id") % 7 == 0, "nonfood").otherwise(""))
-    out = lk.resolve_items(items, view(spark, sf, "products"))
-    return out.select("search_id", "name", "resolved_name", "qty", "weight_source", "weight_grams", F.col("per100.energy_kcal").alias("kcal_per100"), F.col("actual.energy_kcal").alias("kcal"))
+    return _resolved(spark, sf, False)
+
+
+@query("lk14_resolve_with_foods", _decided(True))
+def lk14(spark, sf):
+    return _resolved(spark, sf, True)
 
 
 @query("lk15_scale_nutrition", "SELECT code, round(g * (code % 3 + 1), 2) AS weight_grams, CASE WHEN energy_kcal IS NOT NULL THEN round(energy_kcal * (g * (code % 3 + 1)) / 100, 2) END AS kcal FROM (SELECT code, energy_kcal, CASE WHEN code % 4 <> 0 THEN (code % 50)::DOUBLE END AS g FROM {products})")

@@ -63,6 +63,16 @@ FROM {numbered}""",
     "searches": """
 SELECT p_partkey AS search_id, CASE p_partkey % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN concat('organic ', p_name) WHEN 2 THEN substr(p_name, 1, 6) WHEN 3 THEN concat('my fine ', p_name) WHEN 4 THEN concat(p_name, ' extra') ELSE p_name END AS name,
        p_brand AS store FROM {part}""",
+    "goods": """
+SELECT code, CASE code % 4 WHEN 0 THEN concat(product_name, ' milk') WHEN 1 THEN concat(product_name, ' chicken breast') ELSE product_name END AS product_name,
+       quantity, energy_kcal, fat, carbohydrates, proteins
+FROM {products}""",
+    "wanted": """
+SELECT p_partkey AS search_id, CASE p_partkey % 9 WHEN 0 THEN concat(p_name, ' milk') WHEN 1 THEN concat('my fine ', p_name) WHEN 2 THEN p_name WHEN 3 THEN concat('eggs ', substr(p_name, 1, 1))
+            WHEN 4 THEN concat('milk ', p_name) WHEN 5 THEN upper(concat(p_name, ' chicken breast')) WHEN 6 THEN concat('nothing ', p_partkey) WHEN 7 THEN concat('chicken breast fine ', p_name) ELSE concat(p_name, 's milk') END AS name,
+       CASE WHEN p_partkey % 11 = 0 THEN 'apple juice' ELSE '' END AS resolved_name, CAST(p_partkey % 3 + 1 AS INT) AS qty,
+       CASE WHEN p_partkey % 5 = 0 THEN CAST(12 AS DOUBLE) END AS own_value, CASE WHEN p_partkey % 5 = 0 THEN 'receipt' WHEN p_partkey % 7 = 0 THEN 'nonfood' ELSE '' END AS given_source
+FROM {part}""",
     "receipt_lines": """
 SELECT receipt_id, line_no, text FROM (
   SELECT l_orderkey AS receipt_id, CAST(n * 10 AS INT) AS line_no,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.receipts import adapt_incremental, normalize_receipts
+from ..operators.receipts import normalize_receipts
 from ..sources.readers import RECEIPT
 
 
@@ -16,17 +16,15 @@ def receipt_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_receipts(spark: SparkSession, folder: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Normalised receipts of new files in ``folder`` to the Parquet table; a batch that runs again adds nothing twice."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        new = normalize_receipts(batch)  # a stream gives each file once, whose array may hold several receipts
-        try:
-            done = spark.read.schema(new.schema).parquet(table)
-        except Exception as e:  # noqa: BLE001  the table is not there before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            done = spark.createDataFrame([], new.schema)
-        adapt_incremental(done.limit(0), new.join(done.select("source_file"), "source_file", "left_anti"), "source_file").write.mode("append").parquet(table)
+    """Normalised receipts of new files in ``folder`` to the Parquet table, a folder ``batch`` each.
+
+    The checkpoint knows which files were read, and a batch that runs again, after a failure, gets its old number and replaces
+    its own folder. So nothing is added twice, and a batch reads its own files only. ``checkpoint`` and ``table`` belong
+    together: a new checkpoint needs a new table.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        normalize_receipts(batch).write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
 
     writer = receipt_stream(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -209,5 +209,9 @@ def test_line_classifier(spark):
     out = classify.classify_lines(model, df)
     assert out.where("label = predicted").count() == 180 and out.where("confidence between 0 and 1").count() == 180
     assert len(classify.top_features(model)) == 15
-    assert classify.cv_accuracy(df, folds=2, kind="forest", trees=3)[0] > 0.9
+    many = df.withColumn("receipt_id", (F.col("line_no") % 9).cast("int"))
+    mean, deviation = classify.cv_accuracy(many, folds=2, kind="forest", trees=3)
+    assert mean > 0.9 and 0 <= deviation < 0.1
+    folds = classify.with_folds(many, 5).groupBy("receipt_id").agg(F.countDistinct("fold").alias("n"))
+    assert {r.n for r in folds.collect()} == {1}
     assert math.isclose(sum(v for _, v in classify.top_features(model, 999)), 1.0, abs_tol=1e-6)

@@ -117,6 +117,13 @@ def test_stream_adds_each_receipt_once(spark, tmp_path):
         (src / f"{name}.json").write_text(json.dumps(RECEIPT))
         append_receipts(spark, str(src), table, point).awaitTermination(60)
         assert spark.read.parquet(table).count() == n + 1
+    append_receipts(spark, str(src), table, point).awaitTermination(60)  # nothing new
+    assert spark.read.parquet(table).count() == 2
+    # the last batch did its work but was not noted as done: it runs again and replaces what it wrote
+    (tmp_path / "point" / "commits" / "1").unlink()
+    (tmp_path / "point" / "commits" / ".1.crc").unlink(missing_ok=True)
+    append_receipts(spark, str(src), table, point).awaitTermination(60)
+    assert spark.read.parquet(table).count() == 2 and {r["batch"] for r in spark.read.parquet(table).collect()} == {0, 1}
 
 
 def test_entry(spark):
@@ -127,7 +134,7 @@ def test_entry(spark):
 
 CHECKED = [
     "ag9_impute_dates", "ag11_daily_signal", "ag15_receipt_keys", "sg4_smoothed_signal", "sg8_detection_report", "sg13_dominant_period", "rp2_item_prices", "rp10_insights", "cat3_extract_named", "cat10_build_foods",
-    "wt8_category_medians", "dq4_junk_reason", "dq5_quality_totals", "cat10_build_report", "cat11_distinct_categories", "ag18_run_summary", "rp10_purchase_insights", "ln9_detect_store", "ln11_receipt_totals", "ln16_parse_qty", "lk1_lookup_products", "lk2_contains_join", "lk7_lookup_foods", "ln5_rule_label", "ln7_active_section", "ln17_extract_items", "ln18_pair_name_price", "ln21_merge_duplicates", "ln24_fragments_to_lines", "ml2_merge_annotations",
+    "wt8_category_medians", "dq4_junk_reason", "dq5_quality_totals", "cat10_build_report", "cat11_distinct_categories", "ag18_run_summary", "rp10_purchase_insights", "ln9_detect_store", "ln11_receipt_totals", "ln20_rule_items", "ln26_split_rows", "lk2_contains_join", "lk9_fuzzy_match", "lk13_resolve_items", "lk14_resolve_with_foods", "sg12_dft", "ln16_parse_qty", "lk1_lookup_products", "lk2_contains_join", "lk7_lookup_foods", "ln5_rule_label", "ln7_active_section", "ln17_extract_items", "ln18_pair_name_price", "ln21_merge_duplicates", "ln24_fragments_to_lines", "ml2_merge_annotations",
 ]
 
 
