@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lines
+from .boosting import SoftmaxBoosting
 
 FEATURES, NGRAMS, LEAST_DOCS = 200, 2, 2
 TREES, DEPTH, STEP, LEAF, SEED = 300, 5, 0.1, 3, 42
@@ -71,11 +72,18 @@ def text_features() -> list:
     ]
 
 
-def line_classifier(kind: str = "gbt", trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Pipeline:
-    """Boosted trees, one against the rest, or a random forest, on hand-made and text features."""
-    how = {"maxDepth": depth, "minInstancesPerNode": LEAF, "seed": seed, "labelCol": "y", "featuresCol": "features"}
-    model = OneVsRest(classifier=GBTClassifier(maxIter=trees, stepSize=STEP, **how), labelCol="y", featuresCol="features") if kind == "gbt" else RandomForestClassifier(numTrees=trees, **how)
-    return Pipeline(stages=[*text_features(), VectorAssembler(inputCols=["hand", "tfidf"], outputCol="features"), StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), model])
+def line_classifier(kind: str = "softmax", trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> Pipeline:
+    """A classifier of lines on hand-made and text features: "softmax", boosted trees of all classes at once; "gbt", boosted
+    trees of one class against the rest; "forest", a random forest. The first makes no random choice and needs no seed."""
+    how = {"maxDepth": depth, "minInstancesPerNode": LEAF, "labelCol": "y", "featuresCol": "features"}
+    if kind == "softmax":
+        model = SoftmaxBoosting(maxIter=trees, stepSize=STEP, **how)
+    elif kind == "gbt":
+        model = OneVsRest(classifier=GBTClassifier(maxIter=trees, stepSize=STEP, seed=seed, **how), labelCol="y", featuresCol="features")
+    else:
+        model = RandomForestClassifier(numTrees=trees, seed=seed, **how)
+    features = VectorAssembler(inputCols=["hand", "tfidf"], outputCol="features")
+    return Pipeline(stages=[*text_features(), features, StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), model])
 
 
 def train_line_classifier(rows: DataFrame, **how) -> PipelineModel:

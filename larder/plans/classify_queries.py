@@ -42,6 +42,15 @@ def ml3(spark, sf):
     return files.select("image", "line_num", "file_ord", ml.effective_label(F.col("corrected_label"), F.col("auto_label")).alias("label"))
 
 
+@query("ml6_boosted_lines")
+def ml6(spark, sf):
+    """Softmax boosting fitted on all labelled lines, 10 rounds: how many lines of each label get which label."""
+    rows = ln.labelled(view(spark, sf, "receipt_lines"))
+    rows = rows.withColumn("label", ml.effective_label(F.lit(""), F.col("label")))
+    model = ml.train_line_classifier(rows, kind="softmax", trees=10)
+    return ml.classify_lines(model, rows).groupBy("label", "predicted").agg(F.count("*").alias("n"))
+
+
 @query("ml9_classify_lines")
 def ml9(spark, sf):
     """A small forest fitted on all labelled lines, applied to every line."""
