@@ -1,6 +1,6 @@
 """Word lists, lookup tables and patterns that results depend on, in their natural order.
 
-Each table is plain text, a line per entry, ``key = value`` where an entry has a value.
+Tables of texts are plain text, a line per entry, ``key = value`` where an entry has a value; tables of numbers are literals.
 The order matters wherever the first entry that fits decides.
 """
 
@@ -604,151 +604,152 @@ GROCERY OUTLET = Grocery Outlet
 TRADER JOE'S = Trader Joe's
 """)
 
-DEFAULT_WEIGHTS = _pairs(r"""
-cookie = 6.3 oz
-cookies = 6.3 oz
-chip = 4.8 oz
-chips = 4.8 oz
-crackers = 5.0 oz
-cracker = 5.0 oz
-popcorn = 3.5 oz
-nuts = 7.1 oz
-pretzels = 5.0 oz
-granola bar = 1.8 oz
-energy bar = 1.8 oz
-protein bar = 1.8 oz
-trail mix = 7.1 oz
-milk = 2.2 lb
-yogurt = 7.1 oz
-cheese = 7.1 oz
-cottage cheese = 7.1 oz
-cream cheese = 7.8 oz
-butter = 8.8 oz
-cream = 8.8 oz
-sour cream = 8.8 oz
-ice cream = 14.4 oz
-bread = 11.6 oz
-tortilla = 12.6 oz
-bagels = 12.0 oz
-bagel = 12.0 oz
-rolls = 11.6 oz
-muffins = 7.9 oz
-croissants = 8.1 oz
-pita = 8.0 oz
-buns = 11.6 oz
-english muffins = 12.0 oz
-baguette = 10.0 oz
-cereal = 14.1 oz
-granola = 14.1 oz
-oatmeal = 14.1 oz
-pasta = 16.0 oz
-rice = 28.2 oz
-noodles = 8.0 oz
-flour = 16.0 oz
-canned = 11.6 oz
-beans = 15.0 oz
-canned vegetables = 14.1 oz
-canned fruit = 15.0 oz
-canned soup = 15.3 oz
-canned fish = 5.0 oz
-soup = 14.8 oz
-frozen = 14.1 oz
-frozen vegetables = 21.2 oz
-frozen fruit = 15.9 oz
-frozen pizza = 13.8 oz
-frozen meal = 14.1 oz
-frozen dessert = 14.6 oz
-cuisine = 14.1 oz
-frozen fries = 26.5 oz
-chicken = 12.5 oz
-chicken breast = 12.5 oz
-ground beef = 16.0 oz
-beef = 10.6 oz
-pork = 7.1 oz
-turkey = 10.6 oz
-turkey breast = 8.0 oz
-bacon = 6.3 oz
-sausage = 10.6 oz
-hot dog = 16.0 oz
-deli meat = 8.0 oz
-ham = 8.0 oz
-salami = 3.5 oz
-salmon = 12.0 oz
-tuna = 5.0 oz
-shrimp = 16.0 oz
-eggs = 18.0 oz
-apples = 2.2 lb
-banana = 27.1 oz
-orange = 3.3 lb
-lemon = 17.6 oz
-avocado = 12.0 oz
-mango = 10.6 oz
-strawberries = 15.9 oz
-blueberries = 10.6 oz
-berries = 10.6 oz
-grapes = 17.6 oz
-tomato = 14.1 oz
-potato = 2.2 lb
-onion = 17.6 oz
-carrot = 17.6 oz
-lettuce = 15.9 oz
-broccoli = 17.6 oz
-spinach = 10.6 oz
-cucumber = 15.9 oz
-pepper = 1.8 oz
-mushroom = 8.8 oz
-plums = 1.0 lb
-juice = 2.2 lb
-orange juice = 2.2 lb
-apple juice = 2.2 lb
-soda = 17.6 oz
-water = 26.5 oz
-sparkling water = 26.5 oz
-energy drink = 12.5 oz
-sports drink = 12.5 oz
-coffee = 8.8 oz
-tea = 2.0 oz
-plant milk = 2.2 lb
-almond milk = 2.2 lb
-oat milk = 2.2 lb
-soy milk = 2.2 lb
-coconut milk = 2.2 lb
-ketchup = 17.6 oz
-mustard = 8.0 oz
-mayonnaise = 13.2 oz
-bbq sauce = 13.4 oz
-hot sauce = 8.6 oz
-salsa = 8.8 oz
-pasta sauce = 12.3 oz
-sauce = 12.3 oz
-salad dressing = 12.3 oz
-soy sauce = 8.8 oz
-vinegar = 17.6 oz
-oil = 26.5 oz
-olive oil = 26.5 oz
-hummus = 7.1 oz
-peanut butter = 14.5 oz
-jam = 12.0 oz
-honey = 16.0 oz
-syrup = 17.6 oz
-pickles = 11.3 oz
-sugar = 17.6 oz
-chocolate = 6.3 oz
-chocolate bar = 6.3 oz
-baking mix = 14.8 oz
-pizza = 14.1 oz
-burrito = 9.7 oz
-ramen = 3.0 oz
-instant noodles = 3.0 oz
-tortellini = 8.8 oz
-ravioli = 10.6 oz
-waffle = 7.1 oz
-pancake = 8.8 oz
-baby food = 8.4 oz
-hazelnut spread = 12.7 oz
-chocolate spread = 12.3 oz
-cashew = 7.1 oz
-""")
+# value and unit
+DEFAULT_WEIGHTS: dict[str, tuple[float, str]] = {
+    "cookie": (6.3, "oz"),
+    "cookies": (6.3, "oz"),
+    "chip": (4.8, "oz"),
+    "chips": (4.8, "oz"),
+    "crackers": (5.0, "oz"),
+    "cracker": (5.0, "oz"),
+    "popcorn": (3.5, "oz"),
+    "nuts": (7.1, "oz"),
+    "pretzels": (5.0, "oz"),
+    "granola bar": (1.8, "oz"),
+    "energy bar": (1.8, "oz"),
+    "protein bar": (1.8, "oz"),
+    "trail mix": (7.1, "oz"),
+    "milk": (2.2, "lb"),
+    "yogurt": (7.1, "oz"),
+    "cheese": (7.1, "oz"),
+    "cottage cheese": (7.1, "oz"),
+    "cream cheese": (7.8, "oz"),
+    "butter": (8.8, "oz"),
+    "cream": (8.8, "oz"),
+    "sour cream": (8.8, "oz"),
+    "ice cream": (14.4, "oz"),
+    "bread": (11.6, "oz"),
+    "tortilla": (12.6, "oz"),
+    "bagels": (12.0, "oz"),
+    "bagel": (12.0, "oz"),
+    "rolls": (11.6, "oz"),
+    "muffins": (7.9, "oz"),
+    "croissants": (8.1, "oz"),
+    "pita": (8.0, "oz"),
+    "buns": (11.6, "oz"),
+    "english muffins": (12.0, "oz"),
+    "baguette": (10.0, "oz"),
+    "cereal": (14.1, "oz"),
+    "granola": (14.1, "oz"),
+    "oatmeal": (14.1, "oz"),
+    "pasta": (16.0, "oz"),
+    "rice": (28.2, "oz"),
+    "noodles": (8.0, "oz"),
+    "flour": (16.0, "oz"),
+    "canned": (11.6, "oz"),
+    "beans": (15.0, "oz"),
+    "canned vegetables": (14.1, "oz"),
+    "canned fruit": (15.0, "oz"),
+    "canned soup": (15.3, "oz"),
+    "canned fish": (5.0, "oz"),
+    "soup": (14.8, "oz"),
+    "frozen": (14.1, "oz"),
+    "frozen vegetables": (21.2, "oz"),
+    "frozen fruit": (15.9, "oz"),
+    "frozen pizza": (13.8, "oz"),
+    "frozen meal": (14.1, "oz"),
+    "frozen dessert": (14.6, "oz"),
+    "cuisine": (14.1, "oz"),
+    "frozen fries": (26.5, "oz"),
+    "chicken": (12.5, "oz"),
+    "chicken breast": (12.5, "oz"),
+    "ground beef": (16.0, "oz"),
+    "beef": (10.6, "oz"),
+    "pork": (7.1, "oz"),
+    "turkey": (10.6, "oz"),
+    "turkey breast": (8.0, "oz"),
+    "bacon": (6.3, "oz"),
+    "sausage": (10.6, "oz"),
+    "hot dog": (16.0, "oz"),
+    "deli meat": (8.0, "oz"),
+    "ham": (8.0, "oz"),
+    "salami": (3.5, "oz"),
+    "salmon": (12.0, "oz"),
+    "tuna": (5.0, "oz"),
+    "shrimp": (16.0, "oz"),
+    "eggs": (18.0, "oz"),
+    "apples": (2.2, "lb"),
+    "banana": (27.1, "oz"),
+    "orange": (3.3, "lb"),
+    "lemon": (17.6, "oz"),
+    "avocado": (12.0, "oz"),
+    "mango": (10.6, "oz"),
+    "strawberries": (15.9, "oz"),
+    "blueberries": (10.6, "oz"),
+    "berries": (10.6, "oz"),
+    "grapes": (17.6, "oz"),
+    "tomato": (14.1, "oz"),
+    "potato": (2.2, "lb"),
+    "onion": (17.6, "oz"),
+    "carrot": (17.6, "oz"),
+    "lettuce": (15.9, "oz"),
+    "broccoli": (17.6, "oz"),
+    "spinach": (10.6, "oz"),
+    "cucumber": (15.9, "oz"),
+    "pepper": (1.8, "oz"),
+    "mushroom": (8.8, "oz"),
+    "plums": (1.0, "lb"),
+    "juice": (2.2, "lb"),
+    "orange juice": (2.2, "lb"),
+    "apple juice": (2.2, "lb"),
+    "soda": (17.6, "oz"),
+    "water": (26.5, "oz"),
+    "sparkling water": (26.5, "oz"),
+    "energy drink": (12.5, "oz"),
+    "sports drink": (12.5, "oz"),
+    "coffee": (8.8, "oz"),
+    "tea": (2.0, "oz"),
+    "plant milk": (2.2, "lb"),
+    "almond milk": (2.2, "lb"),
+    "oat milk": (2.2, "lb"),
+    "soy milk": (2.2, "lb"),
+    "coconut milk": (2.2, "lb"),
+    "ketchup": (17.6, "oz"),
+    "mustard": (8.0, "oz"),
+    "mayonnaise": (13.2, "oz"),
+    "bbq sauce": (13.4, "oz"),
+    "hot sauce": (8.6, "oz"),
+    "salsa": (8.8, "oz"),
+    "pasta sauce": (12.3, "oz"),
+    "sauce": (12.3, "oz"),
+    "salad dressing": (12.3, "oz"),
+    "soy sauce": (8.8, "oz"),
+    "vinegar": (17.6, "oz"),
+    "oil": (26.5, "oz"),
+    "olive oil": (26.5, "oz"),
+    "hummus": (7.1, "oz"),
+    "peanut butter": (14.5, "oz"),
+    "jam": (12.0, "oz"),
+    "honey": (16.0, "oz"),
+    "syrup": (17.6, "oz"),
+    "pickles": (11.3, "oz"),
+    "sugar": (17.6, "oz"),
+    "chocolate": (6.3, "oz"),
+    "chocolate bar": (6.3, "oz"),
+    "baking mix": (14.8, "oz"),
+    "pizza": (14.1, "oz"),
+    "burrito": (9.7, "oz"),
+    "ramen": (3.0, "oz"),
+    "instant noodles": (3.0, "oz"),
+    "tortellini": (8.8, "oz"),
+    "ravioli": (10.6, "oz"),
+    "waffle": (7.1, "oz"),
+    "pancake": (8.8, "oz"),
+    "baby food": (8.4, "oz"),
+    "hazelnut spread": (12.7, "oz"),
+    "chocolate spread": (12.3, "oz"),
+    "cashew": (7.1, "oz"),
+}
 
 BRANDS = _pairs(r"""
 breyers = ice cream
@@ -971,94 +972,94 @@ RAW SUGAR
 """)
 
 # energy_kcal fat saturated_fat carbohydrates sugars fiber proteins salt sodium, per 100 g
-STAPLES = _pairs(r"""
-apple = 52 0.2 0.0 13.8 10.4 2.4 0.3 0.0 0.001
-banana = 89 0.3 0.1 22.8 12.2 2.6 1.1 0.0 0.001
-orange = 47 0.1 0.0 11.8 9.4 2.4 0.9 0.0 0.0
-lemon = 29 0.3 0.0 9.3 2.5 2.8 1.1 0.0 0.002
-mango = 60 0.4 0.1 15.0 13.7 1.6 0.8 0.0 0.001
-avocado = 160 14.7 2.1 8.5 0.7 6.7 2.0 0.0 0.007
-strawberr = 32 0.3 0.0 7.7 4.9 2.0 0.7 0.0 0.001
-blueberr = 57 0.3 0.0 14.5 10.0 2.4 0.7 0.0 0.001
-blackberr = 43 0.5 0.0 9.6 4.9 5.3 1.4 0.0 0.001
-raspberr = 52 0.7 0.0 11.9 4.4 6.5 1.2 0.0 0.001
-grape = 69 0.2 0.1 18.1 15.5 0.9 0.7 0.0 0.002
-pear = 57 0.1 0.0 15.2 9.8 3.1 0.4 0.0 0.001
-peach = 39 0.3 0.0 9.5 8.4 1.5 0.9 0.0 0.0
-plum = 46 0.3 0.0 11.4 9.9 1.4 0.7 0.0 0.0
-cherry = 50 0.3 0.1 12.2 8.5 1.6 1.0 0.0 0.003
-watermelon = 30 0.2 0.0 7.6 6.2 0.4 0.6 0.0 0.001
-cantaloupe = 34 0.2 0.1 8.2 7.9 0.9 0.8 0.0 0.016
-pineapple = 50 0.1 0.0 13.1 9.9 1.4 0.5 0.0 0.001
-kiwi = 61 0.5 0.0 14.7 9.0 3.0 1.1 0.0 0.003
-broccoli = 34 0.4 0.0 6.6 1.7 2.6 2.8 0.0 0.033
-carrot = 41 0.2 0.0 9.6 4.7 2.8 0.9 0.0 0.069
-spinach = 23 0.4 0.1 3.6 0.4 2.2 2.9 0.0 0.079
-lettuce = 15 0.2 0.0 2.9 1.3 1.3 1.4 0.0 0.028
-tomato = 18 0.2 0.0 3.9 2.6 1.2 0.9 0.0 0.005
-cucumber = 15 0.1 0.0 3.6 1.7 0.5 0.7 0.0 0.002
-potato = 77 0.1 0.0 17.5 0.8 2.1 2.0 0.0 0.006
-sweet potato = 86 0.1 0.0 20.1 4.2 3.0 1.6 0.0 0.055
-onion = 40 0.1 0.0 9.3 4.2 1.7 1.1 0.0 0.004
-garlic = 149 0.5 0.1 33.1 1.0 2.1 6.4 0.0 0.017
-pepper = 20 0.2 0.0 4.6 2.4 1.7 0.9 0.0 0.003
-bell pepper = 20 0.2 0.0 4.6 2.4 1.7 0.9 0.0 0.003
-mushroom = 22 0.3 0.0 3.3 2.0 1.0 3.1 0.0 0.005
-celery = 16 0.2 0.0 3.0 1.3 1.6 0.7 0.0 0.08
-corn = 86 1.2 0.2 19.0 3.2 2.7 3.3 0.0 0.015
-zucchini = 17 0.3 0.1 3.1 2.5 1.0 1.2 0.0 0.008
-cauliflower = 25 0.3 0.1 5.0 1.9 2.0 1.9 0.0 0.03
-asparagus = 20 0.1 0.0 3.9 1.9 2.1 2.2 0.0 0.002
-green bean = 31 0.1 0.0 7.0 3.3 3.4 1.8 0.0 0.006
-cabbage = 25 0.1 0.0 5.8 3.2 2.5 1.3 0.0 0.018
-kale = 49 0.9 0.1 8.8 2.3 3.6 4.3 0.0 0.038
-dumpling = 206 6.0 2.0 28.0 2.0 1.5 8.0 0.0 0.45
-vermicelli = 335 0.1 0.0 82.3 0.0 0.9 0.2 0.0 0.01
-bean curd = 76 4.8 0.7 1.9 0.0 0.3 8.1 0.0 0.007
-beancurd = 76 4.8 0.7 1.9 0.0 0.3 8.1 0.0 0.007
-tofu = 76 4.8 0.7 1.9 0.0 0.3 8.1 0.0 0.007
-sesame oil = 884 100.0 14.2 0.0 0.0 0.0 0.0 0.0 0.0
-ginger = 80 0.8 0.2 17.8 1.7 2.0 1.8 0.0 0.013
-green onion = 32 0.2 0.0 7.3 2.3 2.6 1.8 0.0 0.016
-noodle = 138 2.1 0.3 25.2 0.6 1.2 4.5 0.0 0.234
-starch noodle = 335 0.1 0.0 82.3 0.0 0.0 0.1 0.0 0.01
-rice cake = 387 0.7 0.2 85.5 0.0 1.6 7.0 0.0 0.018
-kimchi = 15 0.5 0.1 2.4 1.1 1.6 1.1 0.0 0.498
-mayonnaise = 680 74.9 12.0 0.6 0.6 0.0 1.0 0.0 0.635
-chili oil = 884 100.0 13.5 0.0 0.0 0.0 0.0 0.0 0.0
-ice tea = 33 0.0 0.0 8.0 8.0 0.0 0.0 0.0 0.004
-topo chico = 0 0.0 0.0 0.0 0.0 0.0 0.0 0.0 0.018
-lactaid = 52 2.0 1.2 6.0 6.0 0.0 3.3 0.0 0.05
-tropicana = 45 0.2 0.0 10.4 8.4 0.2 0.7 0.0 0.001
-ghirardelli = 500 28.0 17.0 60.0 50.0 4.0 5.0 0.0 0.02
-hot pot = 30 1.0 0.2 4.0 2.0 0.5 1.0 0.0 0.8
-soup base = 30 1.0 0.2 4.0 2.0 0.5 1.0 0.0 0.8
-napa = 16 0.2 0.0 3.2 1.4 1.2 1.2 0.0 0.009
-sujebi = 110 1.0 0.2 22.0 1.0 1.0 3.5 0.0 0.35
-quaker = 389 6.9 1.2 66.3 0.0 10.6 16.9 0.0 0.002
-foster farm = 120 3.0 0.8 0.0 0.0 0.0 21.0 0.0 0.34
-egg = 155 11.0 3.3 1.1 1.1 0.0 13.0 0.0 0.124
-chicken breast = 165 3.6 1.0 0.0 0.0 0.0 31.0 0.0 0.074
-chicken = 239 13.6 3.8 0.0 0.0 0.0 27.3 0.0 0.082
-ground beef = 254 20.0 7.7 0.0 0.0 0.0 17.2 0.0 0.075
-salmon = 208 13.4 3.1 0.0 0.0 0.0 20.4 0.0 0.059
-shrimp = 99 0.3 0.1 0.2 0.0 0.0 24.0 0.0 0.111
-pork = 242 14.0 5.2 0.0 0.0 0.0 27.3 0.0 0.062
-turkey = 189 7.4 2.0 0.0 0.0 0.0 29.3 0.0 0.068
-bacon = 541 42.0 14.0 1.4 0.0 0.0 37.0 0.0 1.717
-ham = 145 5.5 1.8 1.5 0.0 0.0 21.8 0.0 1.203
-hot dog = 290 26.0 9.6 2.0 0.0 0.0 10.3 0.0 1.09
-sausage = 301 24.0 8.5 2.4 0.0 0.0 19.0 0.0 0.87
-milk = 61 3.3 1.9 4.8 5.1 0.0 3.2 0.0 0.043
-butter = 717 81.1 51.4 0.1 0.1 0.0 0.9 0.0 0.643
-yogurt = 59 0.4 0.1 3.6 3.2 0.0 10.0 0.0 0.036
-cheddar = 403 33.1 21.1 1.3 0.5 0.0 24.9 0.0 0.621
-mozzarella = 280 17.1 10.9 3.1 1.0 0.0 27.5 0.0 0.627
-cream cheese = 342 34.2 19.2 4.1 3.2 0.0 5.9 0.0 0.321
-rice = 130 0.3 0.1 28.2 0.0 0.4 2.7 0.0 0.001
-bread = 265 3.2 0.7 49.0 5.0 2.7 9.4 0.0 0.491
-pasta = 131 1.1 0.2 25.0 0.6 1.8 5.0 0.0 0.001
-""")
+STAPLES: dict[str, tuple[float, ...]] = {
+    "apple": (52, 0.2, 0.0, 13.8, 10.4, 2.4, 0.3, 0.0, 0.001),
+    "banana": (89, 0.3, 0.1, 22.8, 12.2, 2.6, 1.1, 0.0, 0.001),
+    "orange": (47, 0.1, 0.0, 11.8, 9.4, 2.4, 0.9, 0.0, 0.0),
+    "lemon": (29, 0.3, 0.0, 9.3, 2.5, 2.8, 1.1, 0.0, 0.002),
+    "mango": (60, 0.4, 0.1, 15.0, 13.7, 1.6, 0.8, 0.0, 0.001),
+    "avocado": (160, 14.7, 2.1, 8.5, 0.7, 6.7, 2.0, 0.0, 0.007),
+    "strawberr": (32, 0.3, 0.0, 7.7, 4.9, 2.0, 0.7, 0.0, 0.001),
+    "blueberr": (57, 0.3, 0.0, 14.5, 10.0, 2.4, 0.7, 0.0, 0.001),
+    "blackberr": (43, 0.5, 0.0, 9.6, 4.9, 5.3, 1.4, 0.0, 0.001),
+    "raspberr": (52, 0.7, 0.0, 11.9, 4.4, 6.5, 1.2, 0.0, 0.001),
+    "grape": (69, 0.2, 0.1, 18.1, 15.5, 0.9, 0.7, 0.0, 0.002),
+    "pear": (57, 0.1, 0.0, 15.2, 9.8, 3.1, 0.4, 0.0, 0.001),
+    "peach": (39, 0.3, 0.0, 9.5, 8.4, 1.5, 0.9, 0.0, 0.0),
+    "plum": (46, 0.3, 0.0, 11.4, 9.9, 1.4, 0.7, 0.0, 0.0),
+    "cherry": (50, 0.3, 0.1, 12.2, 8.5, 1.6, 1.0, 0.0, 0.003),
+    "watermelon": (30, 0.2, 0.0, 7.6, 6.2, 0.4, 0.6, 0.0, 0.001),
+    "cantaloupe": (34, 0.2, 0.1, 8.2, 7.9, 0.9, 0.8, 0.0, 0.016),
+    "pineapple": (50, 0.1, 0.0, 13.1, 9.9, 1.4, 0.5, 0.0, 0.001),
+    "kiwi": (61, 0.5, 0.0, 14.7, 9.0, 3.0, 1.1, 0.0, 0.003),
+    "broccoli": (34, 0.4, 0.0, 6.6, 1.7, 2.6, 2.8, 0.0, 0.033),
+    "carrot": (41, 0.2, 0.0, 9.6, 4.7, 2.8, 0.9, 0.0, 0.069),
+    "spinach": (23, 0.4, 0.1, 3.6, 0.4, 2.2, 2.9, 0.0, 0.079),
+    "lettuce": (15, 0.2, 0.0, 2.9, 1.3, 1.3, 1.4, 0.0, 0.028),
+    "tomato": (18, 0.2, 0.0, 3.9, 2.6, 1.2, 0.9, 0.0, 0.005),
+    "cucumber": (15, 0.1, 0.0, 3.6, 1.7, 0.5, 0.7, 0.0, 0.002),
+    "potato": (77, 0.1, 0.0, 17.5, 0.8, 2.1, 2.0, 0.0, 0.006),
+    "sweet potato": (86, 0.1, 0.0, 20.1, 4.2, 3.0, 1.6, 0.0, 0.055),
+    "onion": (40, 0.1, 0.0, 9.3, 4.2, 1.7, 1.1, 0.0, 0.004),
+    "garlic": (149, 0.5, 0.1, 33.1, 1.0, 2.1, 6.4, 0.0, 0.017),
+    "pepper": (20, 0.2, 0.0, 4.6, 2.4, 1.7, 0.9, 0.0, 0.003),
+    "bell pepper": (20, 0.2, 0.0, 4.6, 2.4, 1.7, 0.9, 0.0, 0.003),
+    "mushroom": (22, 0.3, 0.0, 3.3, 2.0, 1.0, 3.1, 0.0, 0.005),
+    "celery": (16, 0.2, 0.0, 3.0, 1.3, 1.6, 0.7, 0.0, 0.08),
+    "corn": (86, 1.2, 0.2, 19.0, 3.2, 2.7, 3.3, 0.0, 0.015),
+    "zucchini": (17, 0.3, 0.1, 3.1, 2.5, 1.0, 1.2, 0.0, 0.008),
+    "cauliflower": (25, 0.3, 0.1, 5.0, 1.9, 2.0, 1.9, 0.0, 0.03),
+    "asparagus": (20, 0.1, 0.0, 3.9, 1.9, 2.1, 2.2, 0.0, 0.002),
+    "green bean": (31, 0.1, 0.0, 7.0, 3.3, 3.4, 1.8, 0.0, 0.006),
+    "cabbage": (25, 0.1, 0.0, 5.8, 3.2, 2.5, 1.3, 0.0, 0.018),
+    "kale": (49, 0.9, 0.1, 8.8, 2.3, 3.6, 4.3, 0.0, 0.038),
+    "dumpling": (206, 6.0, 2.0, 28.0, 2.0, 1.5, 8.0, 0.0, 0.45),
+    "vermicelli": (335, 0.1, 0.0, 82.3, 0.0, 0.9, 0.2, 0.0, 0.01),
+    "bean curd": (76, 4.8, 0.7, 1.9, 0.0, 0.3, 8.1, 0.0, 0.007),
+    "beancurd": (76, 4.8, 0.7, 1.9, 0.0, 0.3, 8.1, 0.0, 0.007),
+    "tofu": (76, 4.8, 0.7, 1.9, 0.0, 0.3, 8.1, 0.0, 0.007),
+    "sesame oil": (884, 100.0, 14.2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "ginger": (80, 0.8, 0.2, 17.8, 1.7, 2.0, 1.8, 0.0, 0.013),
+    "green onion": (32, 0.2, 0.0, 7.3, 2.3, 2.6, 1.8, 0.0, 0.016),
+    "noodle": (138, 2.1, 0.3, 25.2, 0.6, 1.2, 4.5, 0.0, 0.234),
+    "starch noodle": (335, 0.1, 0.0, 82.3, 0.0, 0.0, 0.1, 0.0, 0.01),
+    "rice cake": (387, 0.7, 0.2, 85.5, 0.0, 1.6, 7.0, 0.0, 0.018),
+    "kimchi": (15, 0.5, 0.1, 2.4, 1.1, 1.6, 1.1, 0.0, 0.498),
+    "mayonnaise": (680, 74.9, 12.0, 0.6, 0.6, 0.0, 1.0, 0.0, 0.635),
+    "chili oil": (884, 100.0, 13.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "ice tea": (33, 0.0, 0.0, 8.0, 8.0, 0.0, 0.0, 0.0, 0.004),
+    "topo chico": (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.018),
+    "lactaid": (52, 2.0, 1.2, 6.0, 6.0, 0.0, 3.3, 0.0, 0.05),
+    "tropicana": (45, 0.2, 0.0, 10.4, 8.4, 0.2, 0.7, 0.0, 0.001),
+    "ghirardelli": (500, 28.0, 17.0, 60.0, 50.0, 4.0, 5.0, 0.0, 0.02),
+    "hot pot": (30, 1.0, 0.2, 4.0, 2.0, 0.5, 1.0, 0.0, 0.8),
+    "soup base": (30, 1.0, 0.2, 4.0, 2.0, 0.5, 1.0, 0.0, 0.8),
+    "napa": (16, 0.2, 0.0, 3.2, 1.4, 1.2, 1.2, 0.0, 0.009),
+    "sujebi": (110, 1.0, 0.2, 22.0, 1.0, 1.0, 3.5, 0.0, 0.35),
+    "quaker": (389, 6.9, 1.2, 66.3, 0.0, 10.6, 16.9, 0.0, 0.002),
+    "foster farm": (120, 3.0, 0.8, 0.0, 0.0, 0.0, 21.0, 0.0, 0.34),
+    "egg": (155, 11.0, 3.3, 1.1, 1.1, 0.0, 13.0, 0.0, 0.124),
+    "chicken breast": (165, 3.6, 1.0, 0.0, 0.0, 0.0, 31.0, 0.0, 0.074),
+    "chicken": (239, 13.6, 3.8, 0.0, 0.0, 0.0, 27.3, 0.0, 0.082),
+    "ground beef": (254, 20.0, 7.7, 0.0, 0.0, 0.0, 17.2, 0.0, 0.075),
+    "salmon": (208, 13.4, 3.1, 0.0, 0.0, 0.0, 20.4, 0.0, 0.059),
+    "shrimp": (99, 0.3, 0.1, 0.2, 0.0, 0.0, 24.0, 0.0, 0.111),
+    "pork": (242, 14.0, 5.2, 0.0, 0.0, 0.0, 27.3, 0.0, 0.062),
+    "turkey": (189, 7.4, 2.0, 0.0, 0.0, 0.0, 29.3, 0.0, 0.068),
+    "bacon": (541, 42.0, 14.0, 1.4, 0.0, 0.0, 37.0, 0.0, 1.717),
+    "ham": (145, 5.5, 1.8, 1.5, 0.0, 0.0, 21.8, 0.0, 1.203),
+    "hot dog": (290, 26.0, 9.6, 2.0, 0.0, 0.0, 10.3, 0.0, 1.09),
+    "sausage": (301, 24.0, 8.5, 2.4, 0.0, 0.0, 19.0, 0.0, 0.87),
+    "milk": (61, 3.3, 1.9, 4.8, 5.1, 0.0, 3.2, 0.0, 0.043),
+    "butter": (717, 81.1, 51.4, 0.1, 0.1, 0.0, 0.9, 0.0, 0.643),
+    "yogurt": (59, 0.4, 0.1, 3.6, 3.2, 0.0, 10.0, 0.0, 0.036),
+    "cheddar": (403, 33.1, 21.1, 1.3, 0.5, 0.0, 24.9, 0.0, 0.621),
+    "mozzarella": (280, 17.1, 10.9, 3.1, 1.0, 0.0, 27.5, 0.0, 0.627),
+    "cream cheese": (342, 34.2, 19.2, 4.1, 3.2, 0.0, 5.9, 0.0, 0.321),
+    "rice": (130, 0.3, 0.1, 28.2, 0.0, 0.4, 2.7, 0.0, 0.001),
+    "bread": (265, 3.2, 0.7, 49.0, 5.0, 2.7, 9.4, 0.0, 0.491),
+    "pasta": (131, 1.1, 0.2, 25.0, 0.6, 1.8, 5.0, 0.0, 0.001),
+}
 
 TAG_NAMES = _pairs(r"""
 en:cookies = cookies

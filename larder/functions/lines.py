@@ -28,6 +28,20 @@ NAME_STRIPS = [
     (r"\s*↓\s*$", ""), (r"(?i)\s+t\s+F\s*$", ""), (r"\s+\d{8,15}(?:KF)?\s*$", ""), (r"(?i)\s+NF\s*\$?\s*$", ""), (r"(?i)\s+[FTNXOAB]\s*\$\s*$", ""),
     (r"\s+\d{9,15}\s+", " "), (r"\s+\d{9,15}\s*$", ""), (r"(?i)\s+APPROVED.*$", ""), (r"^[.:()]+\s*|\s*[.:()]+$", ""), (r"^\d\s+([A-Z]{2})", "$1"),
 ]
+#: Date and time before other text; product codes inside a line.
+STAMP = r"(?i)^(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s+\d{1,2}:\d{2}(?:\s*[AP]M)?)\s+(.{10,})$"
+CODE_BEGINS, NEXT_CODE = r"(^|\s)(\d{9,13}\s)", r"( )(\d{9,13}\s)"
+#: Names that are no items, counts of quantity lines and their units of twelve.
+STORE_LINE = r"(?i)^[A-Z],\s+\w+\s+STORE"
+TILL_WORDS = ["USD", "CAD", "TILL", "VISA", "LEOSO"]
+QUANTITY = r"(?i)^\s*(\d+)\s*(EA|EACH|PC|PCS|DZ|DOZ|DOZEN)?\b"
+DOZENS = ["DZ", "DOZ", "DOZEN"]
+#: What name resolution mends, and the marks that stand for prices, codes and numbers, in order.
+CUT_OUNCES, LAST_COUNT, POSSESSIVE = r"(?i)(\d+(?:\.\d+)?)\s*o\b", r"\s+\d+\.\s*$", "['’][sS]$"
+OUTER_MARKS = "^['\".,;:]+|['\".,;:]+$"
+LINE_MARKS = [
+    (r"\$?\d+\.\d{2}", " _PRICE_ "), (r"\d{6,}", " _UPC_ "), (r"\d+", " _NUM_ "), (r"[^\p{L}\p{N}\s@#%_]", " "), (r"\s+", " "),
+]
 FOREIGN_SCRIPT = r"^[　-鿿가-힯\s/\[\]()·]+$"
 
 
@@ -49,15 +63,13 @@ def fix_units(text: Column) -> Column:
 def unmerged(text: Column) -> Column:
     """The lines that a merged line holds: date and time before ten or more other characters are a line of their
     own; with two or more codes of 9 to 13 digits each begins a line."""
-    stamp = r"(?i)^(\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\s+\d{1,2}:\d{2}(?:\s*[AP]M)?)\s+(.{10,})$"
-    dated = F.array(F.trim(F.regexp_extract(text, stamp, 1)), F.trim(F.regexp_extract(text, stamp, 2)))
-    code = r"(^|\s)(\d{9,13}\s)"
+    dated = F.array(F.trim(F.regexp_extract(text, STAMP, 1)), F.trim(F.regexp_extract(text, STAMP, 2)))
     padded = F.concat(text, F.lit(" "))
     # two passes, as a match takes the space that a following code would begin with
-    marked = F.regexp_replace(F.regexp_replace(padded, code, "\u0001$2"), r"( )(\d{9,13}\s)", "\u0001$2")
+    marked = F.regexp_replace(F.regexp_replace(padded, CODE_BEGINS, "\u0001$2"), NEXT_CODE, "\u0001$2")
     parts = F.filter(F.transform(F.split(marked, "\u0001"), lambda p: F.trim(p)), lambda p: p != "")
     many = F.size(F.split(marked, "\u0001")) > 2
-    return F.when(text.rlike(stamp), dated).when(many, parts).otherwise(F.array(F.trim(text)))
+    return F.when(text.rlike(STAMP), dated).when(many, parts).otherwise(F.array(F.trim(text)))
 
 
 def is_noise(name: Column) -> Column:
@@ -117,15 +129,14 @@ def valid_item(name: Column) -> Column:
     upper = F.upper(F.trim(name))
     letters = F.char_length(F.regexp_replace(name, r"[^\p{L}]", ""))
     bad = is_noise(name) | is_store_noise(name) | (letters < 3) | upper.rlike(any_of(fixed.PAYMENT_WORDS)) | upper.isin(fixed.NONFOOD_BRANDS)
-    bad = bad | name.rlike(r"(?i)^[A-Z],\s+\w+\s+STORE") | upper.isin("USD", "CAD", "TILL", "VISA", "LEOSO") | name.rlike(FOREIGN_SCRIPT)
+    bad = bad | name.rlike(STORE_LINE) | upper.isin(TILL_WORDS) | name.rlike(FOREIGN_SCRIPT)
     return F.coalesce(~bad, F.lit(False))
 
 
 def parse_qty(line: Column) -> Column:
     """Leading count of a quantity line, dozens times twelve; 1 without one."""
-    pattern = r"(?i)^\s*(\d+)\s*(EA|EACH|PC|PCS|DZ|DOZ|DOZEN)?\b"
-    count = F.regexp_extract(line, pattern, 1).try_cast("int")
-    return F.coalesce(F.when(F.upper(F.regexp_extract(line, pattern, 2)).isin("DZ", "DOZ", "DOZEN"), count * 12).otherwise(count), F.lit(1))
+    count = F.regexp_extract(line, QUANTITY, 1).try_cast("int")
+    return F.coalesce(F.when(F.upper(F.regexp_extract(line, QUANTITY, 2)).isin(DOZENS), count * 12).otherwise(count), F.lit(1))
 
 
 def line_weight(line: Column) -> Column:
@@ -137,14 +148,14 @@ def line_weight(line: Column) -> Column:
 
 def resolve_name(name: Column) -> Column:
     """Misspellings mended, abbreviations written out, words capitalised; measures and listed words keep their case."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(name), r"(?i)(\d+(?:\.\d+)?)\s*o\b", "$1oz"), r"\s+\d+\.\s*$", "")
-    owned = text.rlike("['’][sS]$")
-    text = F.regexp_replace(F.regexp_replace(text, "['’][sS]$", ""), "([a-z])([A-Z])", "$1 $2")
+    text = F.regexp_replace(F.regexp_replace(F.trim(name), CUT_OUNCES, "$1oz"), LAST_COUNT, "")
+    owned = text.rlike(POSSESSIVE)
+    text = F.regexp_replace(F.regexp_replace(text, POSSESSIVE, ""), "([a-z])([A-Z])", "$1 $2")
     typo = F.create_map(*[F.lit(x) for pair in fixed.MISSPELLINGS.items() for x in pair])
     short = F.create_map(*[F.lit(x) for pair in fixed.ABBREVIATIONS.items() for x in pair])
     words = lambda t: F.filter(F.split(t, r"\s+"), lambda w: w != "")
     mended = F.transform(words(text), lambda w: F.coalesce(F.try_element_at(typo, F.upper(w)), w))
-    bare = lambda w: F.regexp_replace(F.upper(w), "^['\".,;:]+|['\".,;:]+$", "")
+    bare = lambda w: F.regexp_replace(F.upper(w), OUTER_MARKS, "")
     full = F.array_join(F.transform(mended, lambda w: F.coalesce(F.try_element_at(short, bare(w)), w)), " ")
     full = F.when(owned & ~full.endswith("s"), F.concat(full, F.lit("s"))).otherwise(full)
     shown = lambda w: F.when(w.rlike(r"^\d"), w).when(F.upper(w).isin(fixed.KEPT_UPPER), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
@@ -153,9 +164,10 @@ def resolve_name(name: Column) -> Column:
 
 def normalize_line(text: Column) -> Column:
     """Lower case with prices, codes and numbers as marks, for n-grams."""
-    t = F.regexp_replace(F.lower(F.trim(text)), r"\$?\d+\.\d{2}", " _PRICE_ ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\d{6,}", " _UPC_ "), r"\d+", " _NUM_ ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^\p{L}\p{N}\s@#%_]", " "), r"\s+", " "))
+    t = F.lower(F.trim(text))
+    for pattern, mark in LINE_MARKS:
+        t = F.regexp_replace(t, pattern, mark)
+    return F.trim(t)
 
 
 # Features by pattern. The first list is of the wide feature set, the second of the positional one.

@@ -10,6 +10,11 @@ from . import fixed
 # Grams of a unit, in two precisions
 GRAMS = {"g": 1.0, "kg": 1000.0, "oz": 28.3495, "lb": 453.592, "ml": 1.0, "l": 1000.0}
 COARSE_GRAMS = {"g": 1.0, "kg": 1000.0, "oz": 28.35, "fl oz": 28.35, "lb": 453.6, "lbs": 453.6, "ml": 1.0, "l": 1000.0, "cl": 10.0}
+#: Amounts in names, in quantities, and in quantities with decimal commas; ounces cut to ``o``.
+NAME_AMOUNT = r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|lb|lbs|oz|ml|l)\b"
+AMOUNT = r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|lb|lbs|oz|fl oz|ml|l|cl)\b"
+COMMA_AMOUNT = r"(?i)(\d+(?:[.,]\d+)?)\s*(kg|g|lb|lbs|oz|fl oz|ml|l|cl)\b"
+CUT_OUNCES = r"(?i)(\d+(?:\.\d+)?)\s*o\b"
 MOST_GRAMS, LEAST_GRAMS = 25000, 20
 NO_RATIO, DISAGREE = 999.0, 5.0
 
@@ -31,25 +36,22 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def extract_weight(name: Column) -> Column:
     """Weight named in a product name, ``16o`` read as ``16 oz``; a weight of 0 and no match are null."""
-    text = F.regexp_replace(F.trim(name), r"(?i)(\d+(?:\.\d+)?)\s*o\b", "$1 oz")
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|lb|lbs|oz|ml|l)\b"
-    value, unit = _number(text, pattern), F.lower(F.regexp_extract(text, pattern, 2))
+    text = F.regexp_replace(F.trim(name), CUT_OUNCES, "$1 oz")
+    value, unit = _number(text, NAME_AMOUNT), F.lower(F.regexp_extract(text, NAME_AMOUNT, 2))
     return _weight(F.when(value != 0, value), F.when(unit == "lbs", "lb").otherwise(unit))
 
 
 def parse_quantity(text: Column) -> Column:
     """First amount of a quantity; fl oz counts as oz, cl as ten ml. Decimal commas are not read: ``1,5 l`` is 5 l."""
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(kg|g|lb|lbs|oz|fl oz|ml|l|cl)\b"
-    value, unit = _number(text, pattern), F.lower(F.regexp_extract(text, pattern, 2))
+    value, unit = _number(text, AMOUNT), F.lower(F.regexp_extract(text, AMOUNT, 2))
     value = F.when(unit == "cl", value * 10).otherwise(value)
     return _weight(value, F.when(unit == "lbs", "lb").when(unit == "fl oz", "oz").when(unit == "cl", "ml").otherwise(unit))
 
 
 def parse_grams(text: Column) -> Column:
     """Grams of a quantity, decimal commas read; null outside 0 to 25000 grams."""
-    pattern = r"(?i)(\d+(?:[.,]\d+)?)\s*(kg|g|lb|lbs|oz|fl oz|ml|l|cl)\b"
-    value = F.regexp_replace(F.regexp_extract(text, pattern, 1), ",", ".").try_cast("double")
-    grams = value * _lookup(F.lower(F.regexp_extract(text, pattern, 2)), COARSE_GRAMS)
+    value = F.regexp_replace(F.regexp_extract(text, COMMA_AMOUNT, 1), ",", ".").try_cast("double")
+    grams = value * _lookup(F.lower(F.regexp_extract(text, COMMA_AMOUNT, 2)), COARSE_GRAMS)
     return F.when((grams > 0) & (grams <= MOST_GRAMS), grams)
 
 

@@ -201,19 +201,14 @@ def _first_held(text: Column, keys: list[str], values: list[Column]) -> Column:
 
 def category_default(name: Column) -> Column:
     """A struct of value and unit by the first keyword that the name holds, else by the first brand's category."""
-
-    def weight(text: str) -> Column:
-        value, unit = text.split(" ")
-        return F.struct(F.lit(float(value)).alias("value"), F.lit(unit).alias("unit"))
-
     table = [*fixed.DEFAULT_WEIGHTS.items(), *[(b, fixed.DEFAULT_WEIGHTS[c]) for b, c in fixed.BRANDS.items() if c in fixed.DEFAULT_WEIGHTS]]
-    return _first_held(F.lower(name), [k for k, _ in table], [weight(v) for _, v in table])
+    return _first_held(F.lower(name), [k for k, _ in table], [F.struct(F.lit(v).alias("value"), F.lit(u).alias("unit")) for _, (v, u) in table])
 
 
 def staple_nutrition(name: Column) -> Column:
     """A struct of the nine nutrients by the longest staple that the name holds; the first of equals."""
     order = sorted(fixed.STAPLES, key=len, reverse=True)
-    values = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(NUTRIENTS, fixed.STAPLES[k].split(" "), strict=True)]) for k in order]
+    values = [F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(NUTRIENTS, fixed.STAPLES[k], strict=True)]) for k in order]
     return _first_held(F.lower(name), order, values)
 
 

@@ -117,7 +117,9 @@ def lk10(spark, sf):
 
 
 _FOOD = "SELECT search_id, CASE search_id % 6 WHEN 0 THEN concat(name, ' chip chocolate') WHEN 1 THEN 'Breyers Natural' WHEN 2 THEN 'ORG SWEET POTATO' WHEN 3 THEN concat(name, ' milk') WHEN 4 THEN 'Chicken Breast Strips' ELSE name END AS food FROM {searches}"
-_DEFAULT = "CASE " + " ".join(f"WHEN contains(lower(food), {_q(k)}) THEN {_q(v)}" for k, v in fixed.DEFAULT_WEIGHTS.items()) + " " + " ".join(f"WHEN contains(lower(food), {_q(b)}) THEN {_q(fixed.DEFAULT_WEIGHTS[c])}" for b, c in fixed.BRANDS.items() if c in fixed.DEFAULT_WEIGHTS) + " END"
+_WEIGHTS = {k: f"{value} {unit}" for k, (value, unit) in fixed.DEFAULT_WEIGHTS.items()}
+_HELD = [*_WEIGHTS.items(), *[(b, _WEIGHTS[c]) for b, c in fixed.BRANDS.items() if c in _WEIGHTS]]
+_DEFAULT = "CASE " + " ".join(f"WHEN contains(lower(food), {_q(k)}) THEN {_q(v)}" for k, v in _HELD) + " END"
 
 
 @query("lk11_category_default", f"SELECT search_id, CAST(string_split(d, ' ')[1] AS DOUBLE) AS value, string_split(d, ' ')[2] AS unit FROM (SELECT search_id, {_DEFAULT} AS d FROM ({_FOOD}))")
@@ -126,7 +128,12 @@ def lk11(spark, sf):
     return spark.sql(_FOOD, searches=view(spark, sf, "searches")).select("search_id", w["value"].alias("value"), w["unit"].alias("unit"))
 
 
-@query("lk12_staple_nutrition", "SELECT search_id, CAST(string_split(d, ' ')[1] AS DOUBLE) AS energy_kcal, CAST(string_split(d, ' ')[7] AS DOUBLE) AS proteins FROM (SELECT search_id, CASE " + " ".join(f"WHEN contains(lower(food), {_q(k)}) THEN {_q(fixed.STAPLES[k])}" for k in sorted(fixed.STAPLES, key=len, reverse=True)) + f" END AS d FROM ({_FOOD}))")
+_STAPLES = sorted(fixed.STAPLES, key=len, reverse=True)
+_STAPLE = " ".join(f"WHEN contains(lower(food), {_q(k)}) THEN [{', '.join(map(repr, map(float, fixed.STAPLES[k])))}]" for k in _STAPLES)
+
+
+@query("lk12_staple_nutrition", f"""SELECT search_id, CAST(d[1] AS DOUBLE) AS energy_kcal, CAST(d[7] AS DOUBLE) AS proteins
+FROM (SELECT search_id, CASE {_STAPLE} END AS d FROM ({_FOOD}))""")
 def lk12(spark, sf):
     s = lk.staple_nutrition(F.col("food"))
     return spark.sql(_FOOD, searches=view(spark, sf, "searches")).select("search_id", s["energy_kcal"].alias("energy_kcal"), s["proteins"].alias("proteins"))
@@ -152,7 +159,7 @@ def _decided(foods: bool) -> str:
     fits = lambda g, name: f"coalesce({g} <= 25000 AND ({g} >= 20 OR regexp_matches(lower({name}), '{'|'.join(fixed.CONDIMENTS)}')), false)"
     found = lambda c: ", ".join(f"{c}.{f} AS {c}_{x}" for f, x in (("energy_kcal", "energy"), ("fat", "fat"), ("carbohydrates", "carbs"), ("proteins", "proteins"), ("grams", "grams")))
     parsed = f"(SELECT code, value * {_OF} AS grams FROM ({_PARSED}))".replace("{products}", "{goods}")
-    staple = " ".join(f"WHEN contains(lower(search), {_q(k)}) THEN {float(fixed.STAPLES[k].split(' ')[0])}" for k in sorted(fixed.STAPLES, key=len, reverse=True))
+    staple = " ".join(f"WHEN contains(lower(search), {_q(k)}) THEN {float(fixed.STAPLES[k][0])}" for k in _STAPLES)
     food = good("food") if foods else "NULL"
     return f"""WITH i AS (SELECT *, coalesce(nullif(resolved_name, ''), name) AS search FROM {{wanted}}),
 g AS (SELECT * FROM {{goods}} LEFT JOIN {parsed} USING (code)),
