@@ -69,8 +69,11 @@ AGAINST = "version|release|build|isbn|issn|order|invoice|section|chapter|figure|
 LABELERS = ("strict", "listed", "cue", "against", "apart")
 NEAR = 40
 ROUNDS = 30
+#: How many spans of a kind weigh as much as those of all kinds, when a labeler's reliability for the kind is estimated.
+PULL = 50
 #: Items of a block of ``running``.
 BLOCK = 256
+MOST = (1 << 31) - 1
 SIZES, WORDS = 8, 32
 #: Features of a span besides its votes, and how many values each has; the weight of their log-odds, as neighbouring features tell alike.
 FEATURES = {"size": SIZES, "shape": 16, "left_word": WORDS, "right_word": WORDS}
@@ -181,7 +184,8 @@ def running(items: Column, step: Callable[[Column, Column], Column]) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``row``, a struct of all columns of ``docs``, and ``found``: array of (start, ord, end, votes, features) of all valid
-    base matches and all candidates of added kinds. As a struct, no input column can clash with an inner one.
+    base matches and of the candidates of added kinds that overlap none of these, so that nothing is observed twice.
+    As a struct, no input column can clash with an inner one.
 
     Offsets are sums of the lengths of the texts between matches and of the matches, in code points.
     """
@@ -200,60 +204,87 @@ def candidates(docs: DataFrame) -> DataFrame:
 
         found = F.zip_with(pairs, running(pairs, lambda at, x: at + F.length(x["g"]) + F.length(x["h"])), hit)
         spans.append(_shown(F.filter(found, lambda x: _valid(kind, x["value"])), ord_, kind))  # noqa: B023
-    return wide.select("row", F.array_sort(F.concat(*spans)).alias("found"))
+    return wide.select("row", F.array_sort(F.concat(*spans)).alias("found")).select("row", _apart(F.col("found")).alias("found"))
+
+
+def _apart(found: Column) -> Column:
+    """``found``, sorted by start and kind, without added spans that overlap a base one.
+
+    Such a base span begins before the added one and ends after its start, or begins after it and before its end;
+    a scan from each side tells the last end and the next start, in proportion to the spans.
+    """
+    base = lambda x: x["ord"] < len(BASE)
+    ends = running(found, lambda at, x: F.greatest(at, F.when(base(x), x["end"]).otherwise(0)))
+    # the least start of what follows, as the greatest distance from the largest int
+    starts = F.reverse(running(F.reverse(found), lambda at, x: F.greatest(at, F.when(base(x), MOST - x["start"]).otherwise(0))))
+    marked = F.arrays_zip(found.alias("x"), ends.alias("ended"), starts.alias("begins"))
+    free = F.filter(marked, lambda m: base(m["x"]) | (m["ended"] <= m["x"]["start"]) & (MOST - m["begins"] >= m["x"]["end"]))
+    mixed = F.exists(found, base) & F.exists(found, lambda x: ~base(x))
+    return F.when(mixed, F.transform(free, lambda m: m["x"])).otherwise(found)
 
 
 @dataclass
 class SpanModel:
-    """Log-odds of a span being personal data: a weight per kind, per vote of each labeler, and per kind and value of each feature."""
+    """Log-odds of a span being personal data: a weight per kind, per kind and vote of each labeler, and per kind and value of each feature."""
 
     kind: list[float]
-    votes: list[list[float]]
+    votes: list[list[float]]  # of each labeler, three of each kind
     features: dict[str, list[float]]
 
     def odds(self, span: Column) -> Column:
         pick = lambda w, at: F.element_at(F.array(*[F.lit(float(x)) for x in w]), (at + 1).cast("int"))
         total = pick(self.kind, span["ord"])
         for i, w in enumerate(self.votes):
-            total = total + pick(w, F.floor(span["votes"] / F.lit(3**i)).cast("int") % 3)
+            total = total + pick(w, span["ord"] * 3 + F.floor(span["votes"] / F.lit(3**i)).cast("int") % 3)
         for name, w in self.features.items():
             total = total + pick(w, span["ord"] * FEATURES[name] + span[name])
         return total
 
 
-def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS) -> tuple[dict[tuple[int, int], float], dict[int, float], list[dict[int, list[float]]]]:
-    """Posterior of each (kind, vote pattern) given how often it occurs, the share of personal data in each kind, and for
-    each labeler how often it votes what (1 for personal data, 0 for other spans), by expectation-maximisation.
+#: What a labeler votes, at the start, on personal data and on other spans: abstains, for, against.
+START = {1: [0.25, 0.6, 0.15], 0: [0.25, 0.15, 0.6]}
+Tables = list[dict[int, list[float]]]
+
+
+def _table(patterns: list[tuple[int, float, float]], labeler: int, start: dict[int, list[float]], pull: float) -> dict[int, list[float]]:
+    """How often a labeler votes what on either class, of (vote pattern, spans, share of personal data) and ``start`` as ``pull`` spans more."""
+    t = {}
+    for y in (0, 1):
+        weight = [0.0, 0.0, 0.0]
+        for p, n, share in patterns:
+            weight[p // 3**labeler % 3] += n * (share if y else 1 - share)
+        t[y] = [(w + pull * s) / (sum(weight) + pull) for w, s in zip(weight, start[y], strict=True)]
+    for v in (1, 2):  # a vote never speaks against what it is for
+        if (t[1][v] < t[0][v]) == (v == 1):
+            t[1][v] = t[0][v] = (t[1][v] + t[0][v]) / 2
+    return {y: [x / sum(t[y]) for x in t[y]] for y in (0, 1)}
+
+
+def reliabilities(patterns: list[tuple[int, int, float]], rounds: int = ROUNDS, pull: float = PULL) -> tuple[dict[tuple[int, int], float], dict[int, float], dict[int, Tables]]:
+    """Posterior of each (kind, vote pattern) given how often it occurs, the share of personal data in each kind, and for each
+    kind and labeler how often it votes what (1 for personal data, 0 for other spans), by expectation-maximisation.
 
-    Two classes; each labeler's votes are independent given the class, with the same
-    reliabilities for all kinds and a prior per kind. Starts from labelers that are right four times in five.
+    Two classes; each labeler's votes are independent given the class, with a prior per kind. Its reliability for a kind
+    is that for all kinds, with a weight of ``pull`` spans, and what the kind's own spans show, so kinds with few
+    spans share and those with many have their own. Starts from labelers that are right four times in five.
     """
-    prior = {k: 0.7 for k, _, _ in patterns}
-    tables = [{1: [0.25, 0.6, 0.15], 0: [0.25, 0.15, 0.6]} for _ in LABELERS]
-    votes = lambda p: [p // 3**i % 3 for i in range(len(LABELERS))]
+    kinds = sorted({k for k, _, _ in patterns})
+    prior = dict.fromkeys(kinds, 0.7)
+    tables = {k: [START] * len(LABELERS) for k in kinds}
     post: dict[tuple[int, int], float] = {}
     for _ in range(rounds):
         for k, p, _n in patterns:
             a, b = math.log(prior[k]), math.log(1 - prior[k])
-            for t, v in zip(tables, votes(p), strict=True):
+            for i, t in enumerate(tables[k]):
+                v = p // 3**i % 3
                 a, b = a + math.log(t[1][v]), b + math.log(t[0][v])
             post[k, p] = 1 / (1 + math.exp(max(-50, min(50, b - a))))
-        for k in prior:
-            n = sum(c for kk, _, c in patterns if kk == k)
-            prior[k] = (sum(c * post[kk, p] for kk, p, c in patterns if kk == k) + 0.7) / (n + 1)
-            prior[k] = min(max(prior[k], 0.001), 0.999)
-        for i, t in enumerate(tables):
-            for y in (0, 1):
-                weight = [0.0, 0.0, 0.0]
-                for k, p, c in patterns:
-                    weight[p // 3**i % 3] += c * (post[k, p] if y else 1 - post[k, p])
-                start = [0.25, 0.6, 0.15] if y else [0.25, 0.15, 0.6]
-                t[y] = [(w + 5 * s) / (sum(weight) + 5) for w, s in zip(weight, start, strict=True)]
-            for v in (1, 2):  # a vote never speaks against what it is for
-                if (t[1][v] < t[0][v]) == (v == 1):
-                    t[1][v] = t[0][v] = (t[1][v] + t[0][v]) / 2
-            for y in (0, 1):
-                t[y] = [x / sum(t[y]) for x in t[y]]
+        seen = {k: [(p, n, post[kk, p]) for kk, p, n in patterns if kk == k] for k in kinds}
+        for k in kinds:
+            share = (sum(n * y for _, n, y in seen[k]) + 0.7) / (sum(n for _, n, _ in seen[k]) + 1)
+            prior[k] = min(max(share, 0.001), 0.999)
+        shared = [_table([x for k in kinds for x in seen[k]], i, START, 5) for i in range(len(LABELERS))]
+        tables = {k: [_table(seen[k], i, t, pull) for i, t in enumerate(shared)] for k in kinds}
     return post, prior, tables
 
 
@@ -266,13 +297,15 @@ def train_spans(found: DataFrame) -> SpanModel:
     """
     spans = found.select(F.explode("found").alias("s")).select("s.*")
     rows = spans.groupBy("ord", "votes").count().orderBy("ord", "votes").collect()
-    model = SpanModel([0.0] * len(KINDS), [[0.0] * 3 for _ in LABELERS], {n: [0.0] * (len(KINDS) * size) for n, size in FEATURES.items()})
+    model = SpanModel([0.0] * len(KINDS), [[0.0] * (3 * len(KINDS)) for _ in LABELERS], {n: [0.0] * (len(KINDS) * size) for n, size in FEATURES.items()})
     if not rows:
         return model
     post, prior, tables = reliabilities([(r["ord"], r["votes"], float(r["count"])) for r in rows])
     for k, share in prior.items():
         model.kind[k] = math.log(share / (1 - share))
-    model.votes = [[math.log(t[1][v] / t[0][v]) for v in range(3)] for t in tables]
+    for k, own in tables.items():
+        for weights, t in zip(model.votes, own, strict=True):
+            weights[3 * k : 3 * k + 3] = [math.log(t[1][v] / t[0][v]) for v in range(3)]
     values = ", ".join(f"({k}, {p}, {y!r}D)" for (k, p), y in sorted(post.items()))
     soft = found.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(ord, votes, y)")
     seen = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(n).alias("value")) for i, n in enumerate(FEATURES)])
@@ -293,11 +326,9 @@ def train_spans(found: DataFrame) -> SpanModel:
 
 def decided(found: DataFrame, model: SpanModel) -> DataFrame:
     """``row`` and ``spans``, array of (start, ord, end): all base spans, and the added ones that the
-    classifier finds likelier personal than not and that overlap no base span."""
-    out = found.select("row", F.filter("found", lambda x: x["ord"] < len(BASE)).alias("base"), F.filter("found", lambda x: (x["ord"] >= len(BASE)) & (model.odds(x) > 0)).alias("added"))
-    free = F.filter("added", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    slim = lambda spans: F.transform(spans, lambda x: F.struct(x["start"], x["ord"], x["end"]))
-    return out.select("row", F.array_sort(F.concat(slim(F.col("base")), slim(free))).alias("spans"))
+    classifier finds likelier personal than not. Candidates overlap no base span."""
+    kept = F.filter("found", lambda x: (x["ord"] < len(BASE)) | (model.odds(x) > 0))
+    return found.select("row", F.transform(kept, lambda x: F.struct(x["start"], x["ord"], x["end"])).alias("spans"))
 
 
 def _listing(spans: Column) -> Column:

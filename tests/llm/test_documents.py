@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -278,6 +279,86 @@ def test_labelers_are_weighed():
     assert post[0, 4] > 0.9 > 0.5 > post[0, 2]
 
 
+def test_reliability_is_of_the_kind_where_it_has_spans():
+    # labelers 0 and 2 tell kind 0 apart and 1 votes at random there, on kind 1 it is 1 and 2; kind 2 has a single span
+    patterns = [(0, v * (1 + 9) + 3 * w, 200.0) for v in (1, 2) for w in (1, 2)] + [(1, v * (3 + 9) + w, 200.0) for v in (1, 2) for w in (1, 2)] + [(2, 1, 1.0)]
+    _, _, tables = pii.reliabilities(patterns)
+    told = {k: [t[1][1] - t[0][1] for t in tables[k]] for k in tables}
+    assert told[0][0] > told[0][1] + 0.5 and told[1][1] > told[1][0] + 0.5 and told[0][1] < told[2][0] < told[0][0]
+    # without spans of their own all kinds share
+    _, _, alike = pii.reliabilities(patterns, pull=1e9)
+    assert all(abs(alike[0][0][y][v] - alike[1][0][y][v]) < 1e-5 for y in (0, 1) for v in range(3))
+
+
+def test_candidates_overlap_no_base_span(spark):
+    texts = ["card 4111 1111 1111 1111 and +1 415 555 2671", "pay 4111 1111 1111 1111 12 34 5 or call +1 415 555 2671 (2024-05-11 10 30)", "Dear Dr. Maria Lopez, a@b.org"]
+    texts += ["+1 415 555 2671 " * 300 + "Mr John Smith 1.2.3.4 " * 300, " ", None]
+    rows = {r.row.doc_id: r for r in pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kinds = {d: [pii.KINDS[x.ord] for x in r.found] for d, r in rows.items()}
+    assert kinds[0] == ["card", "phone"] and sorted(kinds[1]) == ["near_card", "near_phone"] and kinds[2] == ["name", "email"]
+    assert kinds[3].count("phone") + kinds[3].count("near_phone") <= 300 and kinds[3].count("name") == kinds[3].count("ip") == 300 and kinds[4] == kinds[5] == []
+    for r in rows.values():
+        base = [(x.start, x.end) for x in r.found if x.ord < len(pii.BASE)]
+        added = [(x.start, x.end) for x in r.found if x.ord >= len(pii.BASE)]
+        assert not any(a < y and x < b for a, b in base for x, y in added)
+
+
+def _planted_spans(n: int = 1500) -> tuple[list[tuple[int, str]], list[set[tuple[str, int, int]]]]:
+    """Texts with personal data of the added kinds and look-alikes, with and without words that speak for or against; and where the data are."""
+    rng = random.Random(7)
+    pick, number = rng.choice, rng.randrange
+    digits = lambda k: "".join(pick("0123456789") for _ in range(k))
+    family = "Keller Lopez Smith Novak Brown Garcia Meyer Dubois Rossi Jansen".split()
+
+    def card() -> str:
+        while True:
+            d = "4" + digits(15)
+            if sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+                return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    data = {
+        "name": lambda: f"{pick(['Dr. ', 'Mrs ', ''])}{pick(pii.GIVEN_NAMES)} {pick(family)}",
+        "national_id": lambda: f"{number(100, 660)}-{number(10, 99)}-{number(1000, 9999)}",
+        "near_card": card, "near_phone": lambda: f"+1 {number(201, 989)} 555 {number(1000, 9999)}",
+        "spelled_email": lambda: f"{pick(family).lower()}.{number(99)} (at) {pick(['example', 'mail', 'host'])} (dot) {pick(['org', 'com', 'net'])}",
+    }
+    cue = {"name": ["dear", "signed by", "contact"], "national_id": ["ssn", "tax id"], "near_card": ["card", "pay by visa"], "near_phone": ["phone", "call"], "spelled_email": ["write to", "e-mail"]}
+    after = {"near_card": " 12 34 5", "near_phone": " (2024-05-11 10 30)"}  # the base match is longer and fails
+    false = {
+        "name": lambda: f"{pick(['Mark', 'Jack', 'Frank', 'Victor', 'Jean'])} {pick(['Schemes', 'Sockets', 'Discussion', 'Ludorum', 'Jackets'])}",
+        "national_id": lambda: f"{pick(['000', '666', '987'])}-{pick(['00', '45'])}-{number(1000, 9999)}", "near_card": lambda: "0" + card()[1:],
+        "near_phone": lambda: f"+{number(100, 119)} {number(1000, 9999)} 200 {number(1000, 9999)}", "spelled_email": lambda: f"{pick(['noon', 'gate', 'rest'])} (at) gate.{number(10, 99)}",
+    }
+    plain, against = ["then", "and so", "we saw"], ["see table", "in chapter", "for order"]
+    texts, wanted = [], []
+    for i in range(n):
+        text, spans = "It rained.", set()
+        for kind in rng.sample(sorted(data), 2):
+            real = rng.random() < 0.6
+            lead = pick(cue[kind] + plain if real else plain + against * 2)
+            value = (data if real else false)[kind]()
+            text += f" So {lead} "
+            if real:
+                spans.add((kind, len(text), len(text) + len(value)))
+            text += value + after.get(kind, "") + ", it is said."
+        texts.append((i, text))
+        wanted.append(spans)
+    return texts, wanted
+
+
+def test_added_spans_on_planted_data(spark):
+    texts, wanted = _planted_spans()
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    found = [{(k, int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].split(",") if x) if k in pii.ADDED} for i in range(len(texts))]
+    figures = {}
+    for kind in pii.ADDED:
+        of = lambda sets: {(i, *x) for i, s in enumerate(sets) for x in s if x[0] == kind}  # noqa: B023, E731
+        right = len(of(found) & of(wanted))
+        figures[kind] = right / max(1, len(of(found))), right / len(of(wanted))
+    # names without a title, and no word for them before, are the hard ones
+    assert all(p >= 0.95 and r >= (0.8 if kind == "name" else 0.98) for kind, (p, r) in figures.items()), figures
+
+
 def test_added_spans(spark):
     right = {
         "name": "Dear Dr. Maria Lopez, the rain came. Signed by John Smith, who wrote to Mrs Ursula Klein.", "national_id": "Her ssn is 123-45-6789, his tax id 219-09-9999.",
@@ -292,7 +373,7 @@ def test_added_spans(spark):
         want = {"name": {"Dr. Maria Lopez", "John Smith", "Mrs Ursula Klein"}, "national_id": {"123-45-6789", "219-09-9999"}}
         want["spelled_email"] = {"jane.doe (at) example (dot) org", "bob[at]host.com"}
         assert found >= want[kind] or kind == "name" and len(found & want[kind]) == 3, (kind, found)
-    assert all(got[i].spans == "" for i in (3, 5)) and got[4].n_added <= 1
+    assert all(got[i].spans == "" for i in (3, 4, 5))
 
 
 def test_redaction(spark, nasty, empty):
