@@ -20,10 +20,12 @@ FIT_VECTORS = 16384
 PART, CODES = 2, 64
 #: Vectors and queries that meet in one task.
 BLOCK, QUERY_BLOCK = 32768, 4096
-#: Candidates of a query, by distance tables, that are ranked by exact products.
+#: Candidates of a query and block that are ranked by products in Spark, by distance tables in the first look, by products in the second.
 RERANK = 96
-#: Share of all cells for the first look, and share within which the second look may go on.
-FIRST_SHARE, REACH = 0.02, 0.55
+#: Share of all cells for the first look.
+FIRST_SHARE = 0.02
+#: Share of the lengths of what is added up that rounding may take from a bound.
+ROUNDING = 1e-5
 K = 20
 
 
@@ -40,10 +42,13 @@ class Index:
         return np.argmax(vectors @ self.centroids.T - half, axis=1)
 
     def encode(self, residuals: np.ndarray) -> np.ndarray:
-        """Bytes of each residual: its length, then the codes of its direction, so that short residuals, in dense groups, are told apart as well as long ones."""
+        """Bytes of each residual: its length, how far its code is from it, then the codes of its direction, so that short
+        residuals, in dense groups, are told apart as well as long ones."""
         length, parts = _directions(residuals)
         codes = np.stack([np.argmax(parts[:, m] @ b.T - (b**2).sum(axis=1) / 2, axis=1) for m, b in enumerate(self.books)], axis=1)
-        return np.concatenate([length.astype("<f4").view(np.uint8).reshape(-1, 4), codes.astype(np.uint8)], axis=1)
+        off = sum(((parts[:, m] - b[codes[:, m]]) ** 2).sum(axis=1) for m, b in enumerate(self.books))
+        numbers = np.stack([length, length * np.sqrt(off)], axis=1).astype("<f8")
+        return np.concatenate([numbers.view(np.uint8).reshape(len(length), -1), codes.astype(np.uint8)], axis=1)
 
 
 def _parts(vectors: np.ndarray) -> np.ndarray:
@@ -98,36 +103,43 @@ class Search:
 
     index: Index
     first_share: float
-    reach: float
     rerank: int
     exact: bool
 
     def probes(self, queries: np.ndarray, worst: np.ndarray | None) -> np.ndarray:
-        """Whether each query looks at each cell: without ``worst`` at its nearest ones, else at those further
-        within reach that could still hold a better score than ``worst``; where that is -inf, at all others."""
+        """Whether each query looks at each cell: without ``worst`` at its nearest ones, else at all that could hold a
+        score as good as ``worst``; where that is -inf, at all."""
         centroids = self.index.centroids
         n = len(centroids)
-        first, reach = min(n, max(2, math.ceil(self.first_share * n))), min(n, math.ceil(self.reach * n))
-        near = queries @ centroids.T
-        order = np.argsort(-near / np.maximum(np.linalg.norm(centroids, axis=1), 1e-12), axis=1, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[None, :], axis=1)
+        near, lengths = queries @ centroids.T, np.linalg.norm(centroids, axis=1)
         if worst is None:
-            return rank < first
-        lost = np.isneginf(worst)[:, None]
-        bound = near + np.linalg.norm(queries, axis=1)[:, None] * self.index.radius
-        return (rank >= first) & (lost | (rank < reach) & (bound >= worst[:, None]))
-
-    def scores(self, queries: np.ndarray, vectors: np.ndarray, cell: int) -> np.ndarray:
-        """Products of queries with the vectors of a cell, from tables of products with the codes, or exact ones."""
+            order = np.argsort(-near / np.maximum(lengths, 1e-12), axis=1, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.arange(n)[None, :], axis=1)
+            return rank < min(n, max(2, math.ceil(self.first_share * n)))
+        bound = near + np.linalg.norm(queries, axis=1)[:, None] * (self.index.radius + ROUNDING * (self.index.radius + lengths))
+        return ~(bound < worst[:, None])
+
+    def scores(self, queries: np.ndarray, vectors: np.ndarray, cell: int, worst: np.ndarray | None) -> np.ndarray:
+        """Products of queries with the vectors of a cell, from tables of products with the codes, or exact ones. With ``worst``
+        the exact ones of the vectors whose code, with how far it may be from its vector, allows one that good; -inf for others."""
         if self.exact:
             return queries @ vectors.T
-        parts = _parts(queries)
-        length, codes = np.ascontiguousarray(vectors[:, :4]).view("<f4").ravel(), vectors[:, 4:]
-        near = np.zeros((len(queries), len(vectors)), np.float32)
-        for m, book in enumerate(self.index.books):
-            near += np.take((parts[:, m] @ book.T).astype(np.float32), codes[:, m], axis=1)
-        return near * length + (queries @ self.index.centroids[cell]).astype(np.float32)[:, None]
+        parts, books, centroid = _parts(queries), self.index.books, self.index.centroids[cell]
+        length, off = np.ascontiguousarray(vectors[:, :16]).view("<f8").T
+        codes = vectors[:, 16 : 16 + len(books)]
+        near = np.zeros((len(queries), len(vectors)))
+        for m, book in enumerate(books):
+            near += np.take(parts[:, m] @ book.T, codes[:, m], axis=1)
+        near = near * length + (queries @ centroid)[:, None]
+        if worst is None:
+            return near
+        off = off + ROUNDING * (length + np.linalg.norm(centroid))
+        hopeless = near + np.linalg.norm(queries, axis=1)[:, None] * off < worst[:, None]
+        some = np.flatnonzero(~hopeless.all(axis=0))
+        near[:, some] = queries @ np.ascontiguousarray(vectors[some, 16 + len(books) :]).view("<f8").T
+        near[hopeless] = -np.inf
+        return near
 
     def tile(self, coded: pa.Table, asked: pa.Table) -> pa.Table:
         """The best candidates of a block of vectors for each query of a block, as many as are reranked."""
@@ -141,18 +153,18 @@ class Search:
             begins = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
             ends = np.append(begins[1:], len(cells))
             keep = min(self.rerank, len(reps))
-            for k in range(0, len(queries), step := max(16, 8_000_000 // len(reps))):
+            for k in range(0, len(queries), step := max(16, 4_000_000 // len(reps))):
                 q, w = queries[k : k + step], None if worst is None else worst[k : k + step]
                 looks = self.probes(q, w)
-                near = np.full((len(q), len(reps)), -np.inf, np.float64 if self.exact else np.float32)
+                near = np.full((len(q), len(reps)), -np.inf)
                 for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
                     at = np.flatnonzero(looks[:, cells[a]])
                     if len(at):
-                        near[at, a:b] = self.scores(q[at], held[a:b], int(cells[a]))
+                        near[at, a:b] = self.scores(q[at], held[a:b], int(cells[a]), None if w is None else w[at])
                 best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(reps) else np.broadcast_to(np.arange(len(reps)), near.shape)
                 found = np.take_along_axis(near, best, 1)
                 some = np.isfinite(found)
-                out.append((np.repeat(names[k : k + step], some.sum(axis=1)), reps[best[some]], found[some].astype(np.float64)))
+                out.append((np.repeat(names[k : k + step], some.sum(axis=1)), reps[best[some]], found[some]))
         columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query", "rep", "near"), columns, strict=True)))
 
@@ -163,7 +175,7 @@ def _best(found: DataFrame, score: str, k: int) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int = FIT_VECTORS, first_share: float = FIRST_SHARE, reach: float = REACH,
+    vectors: DataFrame, is_query: Column, k: int = K, fit_vectors: int = FIT_VECTORS, first_share: float = FIRST_SHARE,
     rerank: int = RERANK, exact: bool = False, block: int = BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows found for each query, by largest inner product.
@@ -173,14 +185,17 @@ def nearest(
     2. Centroids and codebooks are fitted on at most ``fit_vectors`` vectors of least hash; every
        vector is indexed. There are 4 * sqrt(n) cells, a fourth of ``fit_vectors`` at most.
     3. Blocks of about ``block`` vectors, whole cells where these are not larger, meet blocks of about
-       ``query_block`` queries. What travels is a vector's code (four bytes and one a part), not the vector.
-    4. A query looks into its nearest ``first_share`` of the cells, then into those within ``reach``
-       where centroid product plus the longest residual could still beat its k-th score.
-    5. Tables of products with the codes pick the ``rerank`` best over all cells of a look; their vectors are
-       then fetched and exact products in double precision rank them. Ties go to the smaller vec_id.
-
-    ``exact`` compares each query with all vectors in double precision and loses none; first_share, reach
-    and rerank don't matter then, and vectors travel instead of codes.
+       ``query_block`` queries.
+    4. A query looks into its nearest ``first_share`` of the cells, where tables of products with the codes pick
+       the ``rerank`` best; exact products of these give a score that the k + 1 nearest reach at least.
+    5. Then it looks into all cells where centroid product plus the longest residual could reach that score, and there at
+       the vectors whose code product plus the code's distance from the vector could. None that could is left out, so the
+       rows themselves only decide how much is compared, not what is found. What travels is a vector and its code.
+    6. The ``rerank`` best of these by product are fetched and ranked by exact products in double precision. Ties go to
+       the smaller vec_id.
+
+    ``exact`` compares each query with all vectors in double precision without an index; first_share
+    and rerank don't matter then.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
     vec_ids or vectors of another length than the most frequent one. Repeated rows are one
@@ -212,11 +227,12 @@ def nearest(
             if len(x):
                 cell = index.cells(x)
                 rest = x - index.centroids[cell]
-                payload = [v.tobytes() for v in (x if exact else index.encode(rest))]
+                whole = pa.array([v.tobytes() for v in x], pa.binary())
+                code = whole if exact else pa.array([v.tobytes() for v in index.encode(rest)], pa.binary())
                 far = pa.array(np.linalg.norm(rest, axis=1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), pa.array(payload, pa.binary()), far], ["rep", "cell", "payload", "far"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), code, whole, far], ["rep", "cell", "payload", "whole", "far"])
 
-    coded = written(entries.select("rep", "vec").mapInArrow(assign, "rep long, cell int, payload binary, far double"), "coded")
+    coded = written(entries.select("rep", "vec").mapInArrow(assign, "rep long, cell int, payload binary, whole binary, far double"), "coded")
     sizes = coded.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).toArrow()  # a row per cell
     radius = np.full(len(index.centroids), -np.inf)
     radius[sizes["cell"].to_numpy()] = sizes["far"].to_numpy() * (1 + 1e-9)
@@ -229,7 +245,7 @@ def nearest(
     last_block = np.maximum(first_block, (np.cumsum(held) - 1) // room)
     queries = entries.where("asks").select(F.col("rep").alias("query"), "vec")
     query_blocks = 1 + queries.count() // query_block
-    search = Search(index, 1.0 if exact else first_share, reach, k + 1 if exact else rerank, exact)
+    search = Search(index, 1.0 if exact else first_share, k + 1 if exact else max(rerank, k + 1), exact)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,13 +276,15 @@ def nearest(
                 extra = [pa.array(worst[i])] if again else []
                 yield pa.RecordBatch.from_arrays(columns + extra, ["block", "part", "query", "vec", *(["worst"] if again else [])])
 
-    dealt = coded.select("rep", "cell", "payload").mapInArrow(deal, "block int, part int, rep long, cell int, payload binary")
+    def dealt(again: bool) -> DataFrame:
+        payload = F.concat("payload", "whole") if again else F.col("payload")
+        return coded.select("rep", "cell", payload.alias("payload")).mapInArrow(deal, "block int, part int, rep long, cell int, payload binary")
 
     def found(asked: DataFrame, again: bool) -> DataFrame:
         """query, rep, score: the best of a look, by exact products."""
         kind = "block int, part int, query long, vec binary" + (", worst double" if again else "")
         probes = asked.mapInArrow(lambda b: ask(b, again), kind)
-        pairs = dealt.groupBy("block", "part").cogroup(probes.groupBy("block", "part"))
+        pairs = dealt(again).groupBy("block", "part").cogroup(probes.groupBy("block", "part"))
         near = pairs.applyInArrow(lambda v, q: search.tile(v, q), "query long, rep long, near double")
         near = _best(near, "near", search.rerank)
         if exact:
@@ -280,8 +298,8 @@ def nearest(
     if not exact:
         worst = one.groupBy("query").agg(F.min("score").alias("worst"), F.count("*").alias("n"))
         worst = worst.select("query", F.when(F.col("n") > k, F.col("worst")).alias("worst"))
-        two = found(queries.join(worst.hint("merge"), "query", "left"), True)
-        best = _best(one.unionByName(two), "score", k + 1)
+        # the second look finds all of the first that count once more
+        best = _best(found(queries.join(worst.hint("merge"), "query", "left"), True), "score", k + 1)
     ids = best.join(entries.select("rep", F.explode("ids").alias("vec_id")), "rep").select("query", "vec_id", "score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ids = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
