@@ -66,7 +66,9 @@ def pivot_nutrients(long: DataFrame, order: str) -> DataFrame:
     counts; sugars come from the stand-in id where the main one is absent."""
     ids = [*map(int, fixed.NUTRIENT_IDS), fixed.SUGARS_STAND_IN]
     rows = long.where(F.col("nutrient_id").isin(ids)).select("fdc_id", "nutrient_id", F.col("amount").try_cast("double").alias("amount"), order)
-    wide = rows.where(F.col("amount").isNotNull()).groupBy("fdc_id").pivot("nutrient_id", ids).agg(F.max_by("amount", order))
+    # one group a food, whose last amounts stand side by side, not one a food and nutrient
+    last = [F.max_by("amount", F.when(F.col("nutrient_id") == i, F.col(order))).alias(str(i)) for i in ids]
+    wide = rows.where(F.col("amount").isNotNull()).groupBy("fdc_id").agg(*last)
     named = {name: F.col(i) for i, name in fixed.NUTRIENT_IDS.items()}
     named["sugars"] = F.coalesce(named["sugars"], F.col(str(fixed.SUGARS_STAND_IN)))
     return wide.select("fdc_id", *[c.alias(n) for n, c in named.items()])
