@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, weights
+from ..functions import fixed, lines, matching, weights
 from ..functions.likeness import lcs_lengths
 from ..functions.lines import strip_codes
 
@@ -194,9 +194,8 @@ def titled(text: Column) -> Column:
 
 def _first_held(text: Column, keys: list[str], values: list[Column]) -> Column:
     """The value of the first key that the text holds; both lists are constants, so the code does not grow with them."""
-    held = F.transform(F.array(*[F.lit(k) for k in keys]), lambda k: text.contains(k))
-    place = F.array_position(held, F.lit(True))
-    return F.when(place > 0, F.get(F.array(*values), (place - 1).cast("int")))
+    place = matching.first_fit(text, [(str(i), lines.any_of([k])) for i, k in enumerate(keys)]).cast("int")
+    return F.when(place.isNotNull(), F.get(F.array(*values), place))
 
 
 def category_default(name: Column) -> Column:
