@@ -3,6 +3,8 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,3 +71,17 @@ def test_equal_binned_rows_are_grown_once_with_their_count(spark):
     assert few.count() < 60 and few.agg(F.sum("n")).first()[0] == 60
     sums = [boosting.histograms(t, forest, 0, [boosting.Tree.of_depth(2) for _ in range(3)], 0).select("klass", "node", "feature", "bin", F.round("residual", 9), F.round("weight", 9), "n") for t in (table, few)]
     assert sorted(sums[0].collect()) == sorted(sums[1].collect())
+
+
+def test_equal_texts_of_a_batch_are_matched_once():
+    seen = []
+    got = matching.once(pa.array(["a", "b", None, "a"]), lambda t: seen.extend(t.to_pylist()) or pc.utf8_upper(t))
+    assert got.to_pylist() == ["A", "B", None, "A"] and seen == ["a", "b"]
+
+
+def test_names_are_resolved_in_batches(spark):
+    plan = _plan(queries.QUERIES["ln22_resolve_name"](spark, SMALL))
+    assert "ArrowEvalPython" in plan and "transform(" not in plan  # every word met all abbreviations before
+    texts = ["", None, "  ORG  milk's ", "12oz 'BRST.' 3.", "GV", "x oz"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
+    assert [r.n for r in df.select("id", lines.resolve_name(F.col("t")).alias("n")).orderBy("id").collect()] == ["", None, "Organic Milks", "12oz Breast", "Great Value", "X OZ"]
