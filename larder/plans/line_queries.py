@@ -347,7 +347,7 @@ def ln26(spark, sf):
     words = _rows(spark, sf).select("receipt_id", "line_no", F.size(F.split("text", " ")).alias("n"), F.posexplode(F.split("text", " ")).alias("i", "text")).where(F.char_length("text") >= 2)
     lower = F.when((F.col("i") >= 2) & (F.col("n") >= 4), 3.0).otherwise(0.0)
     frags = words.select("receipt_id", (F.col("line_no") * 40.0 + lower).alias("y"), ((F.col("i") + 1) * 10.0).alias("x"), "text")
-    return fr.split_rows(fr.fragment_rows(frags))
+    return fr.split_fragments(frags)
 
 
 @query("ln25_row_threshold", f"""WITH f AS (SELECT receipt_id, line_no * 20.0 + i % 3 AS y, regexp_matches(w, '^\\$?\\d+\\.\\d{{2}}$') AS price FROM ({_WORDS})),
@@ -362,5 +362,6 @@ def ln25(spark, sf):
 def ln27(spark, sf):
     """Every fifth word comes twice, the second time a little off and surer."""
     frags = _fragments(spark, sf).drop("line_no")
-    twice = frags.where("(x / 10) % 5 = 0").select("receipt_id", (F.col("y") + 0.25).alias("y"), (F.col("x") + 2).alias("x"), "text", F.lit(0.99).alias("conf"))
-    return fr.dedup_fragments(frags.unionByName(twice))
+    again = F.when(F.expr("(x / 10) % 5 = 0"), F.struct((F.col("y") + 0.25).alias("y"), (F.col("x") + 2).alias("x"), F.lit(0.99).alias("conf")))
+    both = frags.select("receipt_id", "text", F.explode(F.array_compact(F.array(F.struct("y", "x", "conf"), again))).alias("at"))
+    return fr.dedup_fragments(both.select("receipt_id", "at.y", "at.x", "text", "at.conf"))

@@ -85,3 +85,10 @@ def test_names_are_resolved_in_batches(spark):
     texts = ["", None, "  ORG  milk's ", "12oz 'BRST.' 3.", "GV", "x oz"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(1)
     assert [r.n for r in df.select("id", lines.resolve_name(F.col("t")).alias("n")).orderBy("id").collect()] == ["", None, "Organic Milks", "12oz Breast", "Great Value", "X OZ"]
+
+
+@pytest.mark.parametrize("name", ["ln24_fragments_to_lines", "ln26_split_rows", "ln27_dedup_fragments"])
+def test_fragments_are_made_and_folded_once(spark, name):
+    plan = _plan(queries.QUERIES[name](spark, SMALL))
+    assert len(re.findall(r"FileScan parquet.*lineitem\.parquet", plan.split("Initial Plan")[-1])) == 1  # two to four before
+    assert plan.count("MapInArrow") == 1 and "Join [receipt_id" not in plan
